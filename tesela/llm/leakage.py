@@ -101,30 +101,32 @@ class PassageIndex:
 
     def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(window, item window, distance)`` of verified candidates: pairs of at most ``edits`` word edits."""
-        pairs = []
+        pairs, items = [], max(1, len(self.windows))
         for per_walk, own in zip(self._keys(windows), self.keys):
             for keys, (known, order) in zip(per_walk, own):
                 low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
                 n = high - low
                 hit = np.repeat(np.arange(len(windows)), n)
-                pairs.append(np.stack([hit, order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]], 1))
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        distance = edit_distances(windows[pairs[:, 0]], self.windows[pairs[:, 1]])
+                pairs.append(hit * items + order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+        window, item = np.divmod(np.unique(np.concatenate(pairs)), items)
+        distance = np.zeros(len(window), np.int64)
+        other = np.flatnonzero((windows[window] != self.windows[item]).any(1))
+        distance[other] = edit_distances(windows[window[other]], self.windows[item[other]])
         good = distance <= self.edits
-        return pairs[good, 0], pairs[good, 1], distance[good]
+        return window[good], item[good], distance[good]
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Word edit distance of each row of ``a`` to the same row of ``b``."""
     n, m = a.shape[1], b.shape[1]
-    row = np.tile(np.arange(m + 1), (len(a), 1))
+    a, b = a.T, b.T
+    row = [np.full(a.shape[1], j, np.int16) for j in range(m + 1)]
     for i in range(n):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
+        new = [np.full(a.shape[1], i + 1, np.int16)]
         for j in range(m):
-            new[:, j + 1] = np.minimum(np.minimum(row[:, j + 1], new[:, j]) + 1, row[:, j] + (a[:, i] != b[:, j]))
+            new.append(np.minimum(np.minimum(row[j + 1], new[j]) + 1, row[j] + (a[i] != b[j])))
         row = new
-    return row[:, m]
+    return row[m].astype(np.int64)
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, size: int = 12, edits: int = 1) -> DataFrame:
