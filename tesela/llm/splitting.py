@@ -40,7 +40,9 @@ def cut_block(texts: list[bytes], tokens: list[np.ndarray], lengths: np.ndarray,
     byte0, tok0 = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(n_tok)])
     at = np.concatenate([[0], np.cumsum(lengths[np.concatenate(tokens)])])  # byte of each token boundary; boundary i is before token i
     end_of = np.repeat(tok0[1:], n_tok)  # of token i's text
-    inner = np.setdiff1d(np.arange(1, len(at) - 1), tok0)
+    is_edge = np.zeros(len(at), bool)
+    is_edge[tok0] = True
+    inner = np.flatnonzero(~is_edge)
     blank = _BLANK[raw]
     here = at[inner]
     whole_char = (raw[here] & 0xC0) != 0x80
@@ -51,8 +53,10 @@ def cut_block(texts: list[bytes], tokens: list[np.ndarray], lengths: np.ndarray,
     lines = np.concatenate([[0], np.cumsum(breaks)])
     last = byte0[np.searchsorted(tok0, inner, "right")]
     n_breaks = lines[np.minimum(next_solid[here], last)] - lines[here]
-    stops = np.concatenate([np.array(_sentence_ends(t), np.int64) + b for t, b in zip(texts, byte0)] or [np.empty(0, np.int64)])
-    sentence = np.isin(here, stops)
+    is_stop = np.zeros(len(raw) + 1, bool)
+    for text, first in zip(texts, byte0.tolist()):
+        is_stop[[first + e for e in _sentence_ends(text)]] = True
+    sentence = is_stop[here]
     kind = np.full(len(at), -2, np.int8)  # -2: no place for a cut, -1: between characters, then KINDS
     kind[inner[whole_char]] = -1
     kind[inner[word]] = np.where(n_breaks >= 2, 3, np.where(n_breaks == 1, 2, np.where(sentence, 1, 0)))[word]
@@ -72,9 +76,10 @@ def cut_block(texts: list[bytes], tokens: list[np.ndarray], lengths: np.ndarray,
     after_sign = np.append(False, _SIGN[raw])[at] & (kind == -1) & hard[text_of]
     kind[after_sign] = 0  # bodies without blanks: words also end at signs
     hard = cramped()  # texts that need cuts inside words
-    soft = np.flatnonzero(kind >= 0)
-    nodes = np.union1d(soft, places[hard[text_of[places]]])
-    is_start = np.isin(nodes, tok0)
+    is_node = kind >= 0
+    is_node[places[hard[text_of[places]]]] = True
+    nodes = np.flatnonzero(is_node)
+    is_start = is_edge[nodes]
     text_end = end_of[np.minimum(nodes, len(end_of) - 1)]
     start = np.where(is_start, nodes, floor[np.maximum(nodes - overlap, 0)])
     start = np.maximum(start, tok0[text_of[nodes]])
