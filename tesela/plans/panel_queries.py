@@ -272,7 +272,7 @@ def baseline_forecast(spark, d):
     return forecast(spark, d).withColumn("error_abs", F.abs(F.col("y_reclamos_t1") - F.col("baseline_reclamos")))
 
 
-_SCORES = "count(e) as filas, avg(abs(e)) as mae, sqrt(avg(e * e)) as rmse, coalesce(sum(abs(e)) / nullif(sum(abs(a)), 0), 0) as wmape, 1 - sum(e * e) / nullif(var_pop(a) * count(e), 0) as r2"
+_SCORES = "count(e) as filas, round(avg(abs(e)), 9) as mae, round(sqrt(avg(e * e)), 9) as rmse, round(coalesce(sum(abs(e)) / nullif(sum(abs(a)), 0), 0), 9) as wmape, round(1 - sum(e * e) / nullif(var_pop(a) * count(e), 0), 9) as r2"
 
 
 @query(
@@ -283,7 +283,8 @@ def baseline_metrics(spark, d):
     b = forecast(spark, d)
     recent = joins.with_scalars(b, b.agg(F.date_sub(F.max("fecha"), 179).alias("corte"))).where("fecha >= corte")
     score = lambda name, df: df.agg(*metrics.regression_scores("y_reclamos_t1", "baseline_reclamos")).withColumn("ventana", F.lit(name))
-    return score("full", b).unionByName(score("recent_180", recent))
+    both = score("full", b).unionByName(score("recent_180", recent))
+    return both.withColumns({c: F.round(c, 9) for c in ("mae", "rmse", "wmape", "r2")})
 
 
 @query(_FORECAST + " select regla, count(*) as filas from b group by regla")

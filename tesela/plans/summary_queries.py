@@ -120,12 +120,12 @@ _N = ["distance_km", "traslado_min", "resolucion_base_min"]
 
 @query(
     " union all ".join(
-        f"select '{c}' as columna, count({c}) as n, round(avg({c}), 6) as media, round(stddev_samp({c}), 6) as desvio, min({c}) as minimo, quantile_cont({c}, 0.5) as p50, quantile_cont({c}, 0.9) as p90, quantile_cont({c}, 0.95) as p95, quantile_cont({c}, 0.99) as p99, max({c}) as maximo from reclamos_zonificados" for c in _N
+        f"select '{c}' as columna, count({c}) as n, round(avg({c}), 6) as media, round(stddev_samp({c}), 6) as desvio, min({c}) as minimo, round(quantile_cont({c}, 0.5), 6) as p50, round(quantile_cont({c}, 0.9), 6) as p90, round(quantile_cont({c}, 0.95), 6) as p95, round(quantile_cont({c}, 0.99), 6) as p99, max({c}) as maximo from reclamos_zonificados" for c in _N
     )
 )
 def numeric_profile(spark, d):
     out = profiles.numeric_profile(table(spark, d, "reclamos_zonificados", _N), _N)
-    return out.withColumns({c: F.round(c, 6) for c in ("media", "desvio")})
+    return out.withColumns({c: F.round(c, 6) for c in ("media", "desvio", "p50", "p90", "p95", "p99")})
 
 
 @query(
@@ -143,7 +143,7 @@ def table_overview(spark, d):
 
 @query(
     " union all ".join(
-        f"select '{c}' as objetivo, count({c}) as n, round(avg({c}), 6) as media, quantile_cont({c}, 0.5) as mediana, round(stddev_samp({c}), 6) as desvio, min({c}) as minimo, max({c}) as maximo, quantile_cont({c}, 0.25) as q25, quantile_cont({c}, 0.75) as q75 from (select cast(reclamos_count as double) as reclamos_count, distance_km_total, lluvia_mm from zona_diario_base)"
+        f"select '{c}' as objetivo, count({c}) as n, round(avg({c}), 6) as media, round(quantile_cont({c}, 0.5), 6) as mediana, round(stddev_samp({c}), 6) as desvio, min({c}) as minimo, max({c}) as maximo, round(quantile_cont({c}, 0.25), 6) as q25, round(quantile_cont({c}, 0.75), 6) as q75 from (select cast(reclamos_count as double) as reclamos_count, distance_km_total, lluvia_mm from zona_diario_base)"
         for c in ("reclamos_count", "distance_km_total", "lluvia_mm")
     )
 )
@@ -151,7 +151,7 @@ def target_stats(spark, d):
     rows = table(spark, d, "zona_diario_base").select(F.col("reclamos_count").cast("double").alias("reclamos_count"), "distance_km_total", "lluvia_mm")
     long = rows.unpivot([], rows.columns, "objetivo", "v")
     r = lambda c: F.round(c, 6)
-    return long.groupBy("objetivo").agg(F.count("v").alias("n"), r(F.avg("v")).alias("media"), F.percentile("v", F.lit(0.5)).alias("mediana"), r(F.stddev_samp("v")).alias("desvio"), F.min("v").alias("minimo"), F.max("v").alias("maximo"), F.percentile("v", F.lit(0.25)).alias("q25"), F.percentile("v", F.lit(0.75)).alias("q75"))
+    return long.groupBy("objetivo").agg(F.count("v").alias("n"), r(F.avg("v")).alias("media"), r(F.percentile("v", F.lit(0.5))).alias("mediana"), r(F.stddev_samp("v")).alias("desvio"), F.min("v").alias("minimo"), F.max("v").alias("maximo"), r(F.percentile("v", F.lit(0.25))).alias("q25"), r(F.percentile("v", F.lit(0.75))).alias("q75"))
 
 
 @query("select cast(date_trunc('month', fecha_reclamo) as date) as mes, count(*) as reclamos from reclamos_clean group by 1")
