@@ -106,19 +106,22 @@ def fill_rain(lluvia: DataFrame, days: int = 3) -> DataFrame:
     gauge = gauge.withColumns(steps)
 
     def nearest(c: str) -> Column:
-        b, a, own = F.col(f"b_{c}"), F.col(f"a_{c}"), F.col(f"{c}0")
+        b, a = F.col(f"b_{c}"), F.col(f"a_{c}")
         tie = (b.v + a.v) / 2 if c == "mm" else F.least(b.v, a.v)
-        return F.coalesce(own, F.when(b.isNull() | a.isNull(), F.coalesce(b.v, a.v)).when(number - b.d == a.d - number, tie).when(number - b.d < a.d - number, b.v).otherwise(a.v))
+        return F.when(b.isNull() | a.isNull(), F.coalesce(b.v, a.v)).when(number - b.d == a.d - number, tie).when(number - b.d < a.d - number, b.v).otherwise(a.v)
 
-    gauge = gauge.select("pluviometro", "fecha", nearest("mm").alias("near_mm"), nearest("st").alias("near_st"))
+    gauge = gauge.select("pluviometro", "fecha", "mm0", "st0", nearest("mm").alias("near_mm"), nearest("st").alias("near_st"))
     seen = days_seen.select(*key, "mm1", "st1").join(group, ["cuenca", "fecha"], "left").join(gauge, ["pluviometro", "fecha"], "left")
     mine = lambda i: F.when(F.col("st1") == i, 1).otherwise(0)
     others = [F.col(f"g_{i}") - mine(i) for i in range(3)]
     left = F.col("g_n") - F.when(F.col("mm1").isNotNull(), 1).otherwise(0)
     peer_mm = F.when(left > 0, F.greatest(F.lit(0.0), (F.col("g_mm") - F.coalesce("mm1", F.lit(0.0))) / left))
     peer_st = F.when(others[0] + others[1] + others[2] > 0, -F.greatest(*[F.struct(o.alias("n"), F.lit(-i).alias("i")) for i, o in enumerate(others)]).i)
-    seen = seen.select(*[F.col(k).alias(f"_{k}") for k in key], peer_mm.alias("peer_mm"), peer_st.alias("peer_st"), "near_mm", "near_st")
+    seen = seen.select(*[F.col(k).alias(f"_{k}") for k in key], peer_mm.alias("peer_mm"), peer_st.alias("peer_st"), "mm0", "st0", "near_mm", "near_st")
     full = rows.join(seen, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left").drop(*[f"_{k}" for k in key])
+    # a repeated row of the same day is evidence for a row that lacks the field, never for the row that has it
+    for own, same_day, near in (("mm", "mm0", "near_mm"), ("st", "st0", "near_st")):
+        full = full.withColumn(near, F.when(F.col(own).isNull(), F.coalesce(same_day, near)).otherwise(F.col(near)))
     whole = lambda c: F.coalesce(F.col(c), F.lit(-1)).cast("int")
     coded = cut(full.select("row_id", "lluvia_mm", "lluvia_status", "mm", "st", _bin(F.col("mm")).alias("own_rain"), whole("st").alias("own_status"), _bin(F.col("peer_mm")).alias("peer_rain"), whole("peer_st").alias("peer_status"), _bin(F.col("near_mm")).alias("near_rain"), whole("near_st").alias("near_status")))
     spark, names = lluvia.sparkSession, list(FIELDS)

@@ -181,12 +181,15 @@ def utc_seconds(df: DataFrame, stamp: str, date: str, clock: str, order: str, zo
     settles bare numeric dates that do not begin with the year; ``zone`` is the IANA zone of a text that states none.
     Nulls, empty and meaningless texts, dates that do not exist, and unknown zones give null. Bare numbers
     of 9 to 11, 13, 16 or 19 digits are counts of s, ms, us or ns since 1970, those of 8, 12, 14 or more compact dates.
-    Repeated rows stay; other columns are passed through, whatever their names.
+    Repeated rows stay; other columns are passed through, whatever their names, an earlier ``out`` excepted.
     """
     names = zone_names(df.sparkSession)
-    kept = [F.col(f"`{c}`") for c in df.columns]
-    order_c = F.coalesce(F.upper(F.trim(F.col(order))), F.lit("DMY"))
-    df = fixed(df, _t_a=_extract(F.col(stamp), PATTERN, _FIELDS), _t_b=_extract(F.col(date), PATTERN, _FIELDS), _t_c=_extract(F.col(clock), CLOCK, _CLOCK_FIELDS))
+    number = {c: f"_k_{i}" for i, c in enumerate(df.columns)}  # out of the way of the helpers' names
+    kept = [F.col(k).alias(c) for c, k in number.items() if c != out]
+    df = df.select(*[F.col(f"`{c}`").alias(k) for c, k in number.items()])
+    of = lambda c: F.col(number[c])
+    order_c = F.coalesce(F.upper(F.trim(of(order))), F.lit("DMY"))
+    df = fixed(df, _t_a=_extract(of(stamp), PATTERN, _FIELDS), _t_b=_extract(of(date), PATTERN, _FIELDS), _t_c=_extract(of(clock), CLOCK, _CLOCK_FIELDS))
     a, b, c = _parts(F.col("_t_a"), _FIELDS), _parts(F.col("_t_b"), _FIELDS), _parts(F.col("_t_c"), _CLOCK_FIELDS)
     digits = F.length(F.regexp_replace(a["e"], "[^0-9]", ""))
     (ya, ma, da), (yb, mb, db) = _date_parts(a, order_c), _date_parts(b, order_c)
@@ -204,7 +207,7 @@ def utc_seconds(df: DataFrame, stamp: str, date: str, clock: str, order: str, zo
         _t_la=_checked_days(*t("ya", "ma", "da")) * 86400 + _checked_seconds(*t("ha", "ia", "sa")),
         _t_lb=_checked_days(*t("yb", "mb", "db")) * 86400 + F.coalesce(_checked_seconds(*t("hc", "ic", "sc")), F.lit(0)),
         _t_zn=_known_zone(F.col("_t_za"), names),
-        _t_zc=_known_zone(F.trim(F.col(zone)), names),
+        _t_zc=_known_zone(F.trim(of(zone)), names),
     )
     e, la, oa, zn, lb, ob, zc = t("e", "la", "oa", "zn", "lb", "ob", "zc")
     first = F.when(oa.isNotNull(), la - oa).when(la.isNotNull(), _in_zone(la, F.coalesce(zn, zc)))

@@ -44,7 +44,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     only ``missing``. Hot keys are reduced to one row per key and period before any join, and the
     final lookup is salted.
     """
-    refs = refs.withColumn("periodo", F.date_format("at", "yyyy-MM"))
+    refs = refs.select("ref_id", "campo", "key", "at", F.date_format("at", "yyyy-MM").alias("periodo"))
     keyed = refs.where(F.col("key").isNotNull())
     used = keyed.groupBy("campo", "key", F.coalesce("periodo", F.lit("")).alias("p")).agg(F.lit(1).alias("_one")).drop("_one")
     owners = parents.where(F.col("key").isNotNull()).groupBy("campo", "key").agg(F.min("loaded").alias("first_loaded"), F.max(F.coalesce("deleted", F.lit(False))).alias("gone"))

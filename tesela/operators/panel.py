@@ -13,7 +13,7 @@ METRICS = ["reclamos_count", "traslado_min_total", "resolucion_base_min_total"]
 
 def exact_sum(c: str, scale: int = 4) -> Column:
     """Sum as a decimal, so that the order of rows doesn't matter, returned as a double; 0 for no values."""
-    return F.coalesce(F.sum(F.col(c).cast(f"decimal(18,{scale})")), F.lit(0)).cast("double")
+    return F.coalesce(F.sum(F.col(c).try_cast(f"decimal(18,{scale})")), F.lit(0)).cast("double")
 
 
 def zone_days(claims: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def calendar_features(df: DataFrame, day: str = "fecha") -> DataFrame:
 def trailing_mean(c: str, n: int, least: int, over) -> Column:
     """Mean of the ``n`` rows before this one, null with fewer than ``least`` values."""
     w = over.rowsBetween(-n, -1)
-    return F.when(F.count(c).over(w) >= least, F.sum(F.col(c).cast("decimal(18,4)")).over(w).cast("double") / F.count(c).over(w))
+    return F.when(F.count(c).over(w) >= least, F.sum(F.col(c).try_cast("decimal(18,4)")).over(w).cast("double") / F.count(c).over(w))
 
 
 def supervised(df: DataFrame, metrics: list[str] = METRICS) -> DataFrame:

@@ -35,7 +35,7 @@ def trailing_totals(daily: DataFrame, entity: str, day: str, values: list[str],
 def zone_daily(zona_diario: DataFrame) -> DataFrame:
     """The zone-days that count, measures in whole claims, cents and tenths of mm; unusable numbers are 0."""
     rows = latest_version(zona_diario, "zona_id", "fecha", "cargado_en", list(ZONE_MEASURES))
-    whole = lambda v, k: F.when(F.isnan(F.col(v).cast("double")), 0).otherwise(F.round(F.col(v).cast("double") * k)).cast("bigint").alias(v)
+    whole = lambda v, k: F.when(F.isnan(F.col(v).cast("double")), 0).otherwise(F.round(F.col(v).cast("double") * k)).try_cast("bigint").alias(v)
     return rows.select("zona_id", "fecha", *[whole(v, k) for v, k in ZONE_MEASURES.items()])
 
 
