@@ -72,7 +72,7 @@ def pack_documents(documents: DataFrame, capacity: int, vocabulary: str = VOCABU
 
     A document of up to ``capacity`` tokens is whole (``pieza`` 0); a longer one is cut into pieces of ``capacity`` tokens, less
     where that would split a character, and a rest that is packed like any other item. Null and empty texts have
-    no tokens and take no space; repeated texts and ids are items of their own. No container exceeds ``capacity``.
+    no tokens and take no space; rows without an id are left out; repeated texts and ids are items of their own. No container exceeds ``capacity``.
     """
     if capacity < 8:
         raise ValueError("capacity must be at least 8 tokens")
@@ -98,7 +98,7 @@ def pack_documents(documents: DataFrame, capacity: int, vocabulary: str = VOCABU
             rows["cerrada"] = rows.ventana.isin(packer.closed)
             yield rows
 
-    packed = cut(documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, pieza int, tok_ini int, tok_fin int, ventana bigint, cerrada boolean"))
+    packed = cut(documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, "doc_id bigint, pieza int, tok_ini int, tok_fin int, ventana bigint, cerrada boolean"))
     done = packed.where("cerrada")
     rest = packed.where("not cerrada")
     windows = cut(rest.groupBy("ventana").agg(F.sum(F.col("tok_fin") - F.col("tok_ini")).alias("usado")))
