@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import insort
 
 import numpy as np
 import pandas as pd
@@ -66,13 +66,14 @@ def past_median(df: DataFrame, day: str, value: str, least: int, out: str, bucke
     work = valued.select("_b", "_d", "_v", F.lit(None).cast("bigint").alias("_k")).unionByName(asked)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # a day's questions come before its values
+        pdf = pdf.assign(_q=pdf["_k"].isna()).sort_values(["_d", "_q"], kind="stable")
         seen, out_rows = [], []
-        pdf = pdf.sort_values("_d", kind="stable")
-        for d, g in pdf.groupby("_d", sort=True):
-            for k in g.loc[g._k.notna(), "_k"].astype(int):
-                out_rows.append((d, seen[k]))
-            for v in g.loc[g._k.isna(), "_v"]:
-                seen.insert(bisect_left(seen, v), v)
+        for d, v, k, value in zip(pdf["_d"].tolist(), pdf["_v"].tolist(), pdf["_k"].tolist(), pdf["_q"].tolist()):
+            if value:
+                insort(seen, v)
+            else:
+                out_rows.append((d, seen[int(k)]))
         return pd.DataFrame(out_rows, columns=["_d", "_v"])
 
     kind = dict(df.dtypes)[day]

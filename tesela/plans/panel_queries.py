@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tesela.functions import scalars as S
 from tesela.operators import cascade, dedup, joins, metrics, orphans, panel, windows
 from tesela.plans.registry import Registry
+from tesela.runtime import cut
 from tesela.sources.tables import table
 
 query = Registry()
@@ -259,6 +260,7 @@ def forecast(spark, d):
     w = Window.partitionBy("zona_id").orderBy("fecha")
     # the target of the day six days back is the same weekday as tomorrow
     y = zone_panel(spark, d).select("zona_id", "fecha", F.lead("reclamos_count").over(w).alias("y"), F.lead("fecha").over(w).isNotNull().alias("hay"), F.lag("reclamos_count", 6).over(w).cast("double").alias("lag_7"))
+    y = cut(y)  # five branches read it
     y = windows.trailing_median(y, ["zona_id"], ["fecha"], "y", 28, 7, "trail")
     y = y.join(windows.online_median_sorted(y, "zona_id", "fecha", "y", 7, "hist"), ["zona_id", "fecha"], "left").join(windows.past_median(y, "fecha", "y", 30, "glob"), "fecha", "left")
     y = joins.with_scalars(y, y.agg(F.percentile("y", F.lit(0.5)).alias("konst")))
@@ -318,15 +320,33 @@ def latest_routes(spark, d):
 
 
 @query(
-    "with b as (select pluviometro, fecha, max(lluvia_mm) as mm from lluvia_diaria_clean where lluvia_mm between 0 and 500 and not isnan(lluvia_mm) group by 1, 2), m as (select distinct replace(pluviometro, 'PL', 'PE') as pluviometro, date '2021-06-01' + cast(row_idx % 400 as integer) as fecha, 1.5 as mm from rainfall_manual_recovered_months) "
-    "select coalesce(m.pluviometro, b.pluviometro) as pluviometro, coalesce(m.fecha, b.fecha) as fecha, coalesce(cast(m.mm as double), b.mm) as mm, cast(m.mm is not null as integer) as prioridad from b full join m on b.pluviometro = m.pluviometro and b.fecha = m.fecha"
+    _RAIN
+    + ", b as (select pluviometro, fecha, max(lluvia_mm) as mm from lluvia_diaria_clean where lluvia_mm between 0 and 500 and not isnan(lluvia_mm) group by 1, 2), h as (select replace(pluviometro, 'PL', 'PE') as pluviometro, fecha, lluvia_mm as mm from g) "
+    "select coalesce(h.pluviometro, b.pluviometro) as pluviometro, coalesce(h.fecha, b.fecha) as fecha, case when h.fecha is not null then h.mm else b.mm end as mm, cast(h.fecha is not null as integer) as prioridad from b full join h on b.pluviometro = h.pluviometro and b.fecha = h.fecha"
 )
 def override_merge(spark, d):
     base = table(spark, d, "lluvia_diaria_clean").where("lluvia_mm between 0 and 500 and not isnan(lluvia_mm)").groupBy("pluviometro", "fecha").agg(F.max("lluvia_mm").alias("mm"))
-    manual = table(spark, d, "rainfall_manual_recovered_months").select(F.replace("pluviometro", F.lit("PL"), F.lit("PE")).alias("pluviometro"), F.date_add(F.lit("2021-06-01").cast("date"), (F.col("row_idx") % 400).cast("int")).alias("fecha"), F.lit(1.5).alias("mm")).distinct()
+    manual = _rain_daily(spark, d).select(F.replace("pluviometro", F.lit("PL"), F.lit("PE")).alias("pluviometro"), "fecha", F.col("lluvia_mm").alias("mm"), "codigos")
     return dedup.overridden(base, joins.aligned(manual, base), ["pluviometro", "fecha"], F.col("mm"))
 
 
+_PAIRS = [(m, p) for m in ("reclamos_count", "traslado_min_total") for p in ("lag_1", "lag_7", "roll_7_mean", "roll_28_mean")]
+
+
+@query(
+    _SUPERVISED
+    + ", w as ("
+    + " union all ".join(f"select '{m}' as objetivo, '{p}' as modelo, round(sum(abs(y_{m}_t1 - {m}_{p})) / nullif(sum(case when {m}_{p} is not null then abs(y_{m}_t1) end), 0), 6) as wmape from s where y_{m}_t1 is not null" for m, p in _PAIRS)
+    + ") select objetivo, modelo, wmape from (select *, row_number() over (partition by objetivo order by wmape, modelo) as k from w) where k = 1"
+)
+def best_model(spark, d):
+    s = panel.supervised(zone_panel(spark, d))
+    error = lambda m, p: F.round(F.sum(F.abs(F.col(f"y_{m}_t1") - F.col(f"{m}_{p}"))) / F.nullif(F.sum(F.when(F.col(f"{m}_{p}").isNotNull(), F.abs(f"y_{m}_t1"))), F.lit(0)), 6)
+    one = s.agg(*[error(m, p).alias(f"{m}:{p}") for m, p in _PAIRS])
+    scores = one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("objetivo"), F.lit(p).alias("modelo"), F.col(f"`{m}:{p}`").alias("wmape")) for m, p in _PAIRS])).alias("x")).select("x.*")
+    return dedup.first_by(scores, ["objetivo"], F.col("wmape").asc_nulls_last(), F.col("modelo"))
+
+
 @query("select tabla, clave, count(*) - count(distinct k) as repetidas from (select 'reclamos_clean' as tabla, 'reclamo_id' as clave, reclamo_id as k from reclamos_clean union all select 'tramites', 'row_idx', cast(row_idx as varchar) from tramites union all select 'zona_diario_base', 'zona_id,fecha', zona_id || '|' || fecha from zona_diario_base) group by 1, 2")
 def dup_checks(spark, d):
     one = lambda t, c, k: table(spark, d, t).agg((F.count(F.lit(1)) - F.count_distinct(k)).alias("repetidas")).select(F.lit(t).alias("tabla"), F.lit(c).alias("clave"), "repetidas")

@@ -426,14 +426,6 @@ def feature_inventory(spark, d):
     return profiles.feature_inventory(base, panel.supervised(base))
 
 
-@query("with r as (select 'reclamos' as objetivo, 'lag_7' as modelo, 0.74 as wmape union all select 'reclamos', 'media_7', 0.70 union all select 'traslado', 'lag_7', 0.69 union all select 'traslado', 'media_7', 0.69) select objetivo, modelo, cast(wmape as double) as wmape from (select *, row_number() over (partition by objetivo order by wmape, modelo) as k from r) where k = 1")
-def best_model(spark, d):
-    from tesela.operators.dedup import first_by
-
-    scores = spark.createDataFrame([("reclamos", "lag_7", 0.74), ("reclamos", "media_7", 0.70), ("traslado", "lag_7", 0.69), ("traslado", "media_7", 0.69)], "objetivo string, modelo string, wmape double")
-    return first_by(scores, ["objetivo"], F.col("wmape"), F.col("modelo"))
-
-
 @query("with s as (select servicio_normalizado, translate(upper(trim(regexp_replace(servicio_normalizado, '\\s+', ' ', 'g'))), 'ÁÉÍÓÚÑ', 'AEIOUN') as servicio from reclamos_zonificados) select servicio, case when servicio in ('AGUA', 'ENERGIA') then 'redes' else 'otros' end as grupo, count(*) as filas from s group by 1, 2")
 def service_map(spark, d):
     groups = spark.createDataFrame([("AGUA", "redes"), ("ENERGIA", "redes")], "servicio string, grupo string")
