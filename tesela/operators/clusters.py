@@ -6,9 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tesela.operators.proximity import EARTH_M, great_circle_m
+from tesela.operators.ranking import ordered
 
 
 def _km(lat: np.ndarray, lon: np.ndarray, la: float, lo: float) -> np.ndarray:
@@ -55,7 +55,8 @@ def bounded_zones(destinos: DataFrame, diameter_km: float = 5.0, tile_deg: float
 
     rows = destinos.where("lat is not null and lon is not null").select("destino_id", "lat", "lon", F.coalesce("peso", F.lit(0)).cast("double").alias("peso"), F.concat_ws("_", F.floor(F.col("lat") / tile_deg), F.floor(F.col("lon") / tile_deg)).alias("tile"))
     placed = rows.groupBy("tile").applyInPandas(run, "destino_id bigint, tile string, local int, peso double")
-    weight = placed.groupBy("tile", "local").agg(F.sum("peso").alias("_w")).withColumn("_n", F.row_number().over(Window.orderBy(F.desc("_w"), "tile", "local")))
+    weight = placed.groupBy("tile", "local").agg(F.sum("peso").alias("_w"))
+    weight = ordered(weight, [F.desc("_w"), F.asc("tile"), F.asc("local")], "_n")
     return placed.join(weight, ["tile", "local"]).select("destino_id", F.format_string("zona_%04d", "_n").alias("zona"))
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tesela.operators.ranking import ordered, with_totals
+from tesela.runtime import cut
 
 
 def regression_scores(actual: str, predicted: str) -> list[Column]:
@@ -29,10 +31,10 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def by_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
-    """``umbral, tpr, fpr`` for each distinct score taken as threshold. Scores are aggregated first."""
-    counts = df.groupBy(F.col(score).alias("umbral")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
-    w, all_ = Window.orderBy(F.desc("umbral")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return counts.select("umbral", F.try_divide(F.sum("_p").over(w), F.sum("_p").over(all_)).alias("tpr"), F.try_divide(F.sum("_n").over(w), F.sum("_n").over(all_)).alias("fpr"))
+    """``umbral, orden, tpr, fpr`` for each distinct score taken as threshold. Scores are aggregated first."""
+    counts = df.groupBy(F.col(score).alias("umbral")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q"))
+    upto = with_totals(ordered(counts, [F.desc("umbral")], "orden", {"_tp": "_p", "_fp": "_q"}), {"_all_p": F.sum("_p"), "_all_q": F.sum("_q")})
+    return upto.select("umbral", "orden", F.try_divide("_tp", "_all_p").alias("tpr"), F.try_divide("_fp", "_all_q").alias("fpr"))
 
 
 def youden(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -42,10 +44,10 @@ def youden(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve by the trapezoid rule over distinct scores."""
-    w = Window.orderBy(F.desc("umbral"))
-    t = by_threshold(df, label, score)
-    area = (F.col("fpr") - F.coalesce(F.lag("fpr").over(w), F.lit(0.0))) * (F.col("tpr") + F.coalesce(F.lag("tpr").over(w), F.lit(0.0))) / 2
-    return t.select(area.alias("a")).agg(F.sum("a").alias("auc"))
+    t = cut(by_threshold(df, label, score))
+    last = t.select((F.col("orden") + 1).alias("orden"), F.col("tpr").alias("_t"), F.col("fpr").alias("_f"))
+    area = (F.col("fpr") - F.coalesce("_f", F.lit(0.0))) * (F.col("tpr") + F.coalesce("_t", F.lit(0.0))) / 2
+    return t.join(last, "orden", "left").select(area.alias("a")).agg(F.sum("a").alias("auc"))
 
 
 def probability_scores(label: str, p: str) -> list[Column]:

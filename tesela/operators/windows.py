@@ -1,4 +1,4 @@
-"""Sequence operators: online medians, ranks, shares and forward fill."""
+"""Sequence operators: online medians and forward fill."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from bisect import insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesela.runtime import cut
+
 
 def online_median(df: DataFrame, keys: list[str], order: list[str], value: str, least: int, out: str) -> DataFrame:
     """Median of the earlier non-null values of the key, null with fewer than ``least`` of them; for keys of calendar length.
@@ -43,38 +45,42 @@ def online_median_sorted(df: DataFrame, key: str, day: str, value: str, least: i
     return df.select(key, day, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandas(run, f"{key} {kind[key]}, {day} {kind[day]}, {out} double").withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
 
 
-def past_median(df: DataFrame, day: str, value: str, least: int, out: str, buckets: int = 64) -> DataFrame:
+def past_median(df: DataFrame, day: str, value: str, least: int, out: str, rows_per_bucket: int = 1_000_000, buckets: int = 64) -> DataFrame:
     """``day, out``: for each day the median of the values of all earlier days, over all entities; null with fewer than ``least``.
 
-    Exact and distributed: values are cut at approximate quantiles into ``buckets``; counts per day and bucket tell in
-    which bucket each day's middle ranks lie and how deep; each bucket then answers those ranks alone, in day order.
+    Exact and distributed: values are counted per day, then cut at approximate quantiles into buckets (``buckets``, more if
+    one would hold over ``rows_per_bucket`` counts); totals per day and bucket tell in which bucket each day's
+    middle ranks lie and how deep, and each bucket then answers those ranks alone, in day order.
+    A value that a third of all rows share is one row per day.
     """
     rows = df.select(F.col(day).alias("_d"), F.col(value).cast("double").alias("_v"))
-    cuts = rows.where("_v is not null").agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
+    counted = cut(rows.where("_v is not null").groupBy("_d", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    buckets = max(buckets, -(-counted.count() // rows_per_bucket))
+    cuts = sorted(set(counted.agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []))
     at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
-    valued = rows.where("_v is not null").withColumn("_b", at)
-    daily = valued.groupBy("_d", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    days = rows.select("_d").distinct()
-    grid = days.join(F.broadcast(df.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_b"))), how="cross").join(daily, ["_d", "_b"], "left")
+    valued = counted.withColumn("_b", at)
+    daily = valued.groupBy("_d", "_b").agg(F.sum("_n").alias("_n"))
+    numbers = df.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_b"))
+    grid = rows.select("_d").distinct().join(F.broadcast(numbers), how="cross").join(daily, ["_d", "_b"], "left")
     before = Window.partitionBy("_b").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
     grid = grid.withColumn("_c", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     lower = Window.partitionBy("_d").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     grid = grid.withColumn("_below", F.coalesce(F.sum("_c").over(lower), F.lit(0))).withColumn("_all", F.sum("_c").over(Window.partitionBy("_d")))
     ranks = grid.where("_all > 0").select("_d", "_b", "_c", "_below", F.explode(F.array(F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2))).alias("_r")).where("_r >= _below and _r < _below + _c")
-    asked = ranks.select("_b", "_d", F.lit(None).cast("double").alias("_v"), (F.col("_r") - F.col("_below")).alias("_k"))
-    work = valued.select("_b", "_d", "_v", F.lit(None).cast("bigint").alias("_k")).unionByName(asked)
+    asked = ranks.select("_b", "_d", F.lit(None).cast("double").alias("_v"), F.lit(None).cast("bigint").alias("_n"), (F.col("_r") - F.col("_below")).alias("_k"))
+    work = valued.select("_b", "_d", "_v", "_n", F.lit(None).cast("bigint").alias("_k")).unionByName(asked)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # a day's questions come before its values
         pdf = pdf.assign(_q=pdf["_k"].isna()).sort_values(["_d", "_q"], kind="stable")
-        seen, out_rows = [], []
-        for d, v, k, value in zip(pdf["_d"].tolist(), pdf["_v"].tolist(), pdf["_k"].tolist(), pdf["_q"].tolist()):
-            if value:
-                insort(seen, v)
+        known = np.unique(pdf.loc[pdf["_q"], "_v"].to_numpy(float))
+        tree, top = CountTree(len(known)), []
+        for d, v, n, k, is_value in zip(pdf["_d"].tolist(), pdf["_v"].tolist(), pdf["_n"].tolist(), pdf["_k"].tolist(), pdf["_q"].tolist()):
+            if is_value:
+                tree.add(int(np.searchsorted(known, v)), int(n))
             else:
-                out_rows.append((d, seen[int(k)]))
-        return pd.DataFrame(out_rows, columns=["_d", "_v"])
+                top.append((d, known[tree.holder(int(k))]))
+        return pd.DataFrame(top, columns=["_d", "_v"])
 
     kind = dict(df.dtypes)[day]
     answers = work.groupBy("_b").applyInPandas(run, f"_d {kind}, _v double").groupBy("_d").agg(F.avg("_v").alias("_m"))
@@ -82,30 +88,27 @@ def past_median(df: DataFrame, day: str, value: str, least: int, out: str, bucke
     return totals.join(answers, "_d", "left").select(F.col("_d").alias(day), F.when(F.col("_all") >= least, F.col("_m")).alias(out))
 
 
-def rank_quartile(df: DataFrame, value: str, tie: str, out: str = "cuartil", parts: int = 4) -> DataFrame:
-    """Quantile group by rank of first appearance: edges at ``1 + (n-1)k/parts``, ties settled by ``tie``. For entity summaries, not for facts."""
-    w = Window.orderBy(F.col(value), F.col(tie))
-    rows = df.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    group = F.lit(parts)
-    for k in range(parts - 1, 0, -1):
-        group = F.when(F.col("_r") <= 1 + (F.col("_n") - 1) * k / F.lit(float(parts)), k).otherwise(group)
-    return rows.withColumn(out, group).drop("_r", "_n")
-
-
-def dense_ranks(df: DataFrame, values: list[str]) -> DataFrame:
-    """Descending dense rank of each of ``values`` and their sum, ``puntaje``."""
-    out = df.withColumns({f"rank_{v}": F.dense_rank().over(Window.orderBy(F.col(v).desc())) for v in values})
-    return out.withColumn("puntaje", sum((F.col(f"rank_{v}") for v in values), F.lit(0)))
-
+class CountTree:
+    """Counts of ``n`` ordered places with prefix search in logarithmic time."""
 
-def share(value: str) -> Column:
-    """Share of a column's total."""
-    return F.col(value) / F.sum(value).over(Window.partitionBy())
+    def __init__(self, n: int):
+        self.tree, self.top = [0] * (n + 1), 1 << max(0, n.bit_length() - 1)
 
+    def add(self, place: int, count: int) -> None:
+        place += 1
+        while place < len(self.tree):
+            self.tree[place] += count
+            place += place & -place
 
-def cumulative_share(value: str, *order: Column) -> Column:
-    """Running share of a column's total."""
-    return F.sum(value).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(value).over(Window.partitionBy())
+    def holder(self, rank: int) -> int:
+        """The place that holds the item of rank ``rank``, from 0."""
+        at, step = 0, self.top
+        while step:
+            if at + step < len(self.tree) and self.tree[at + step] <= rank:
+                at += step
+                rank -= self.tree[at]
+            step >>= 1
+        return at
 
 
 def forward_filled(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tesela.functions import scalars as S
-from tesela.operators import cascade, dedup, joins, metrics, orphans, panel, windows
+from tesela.operators import cascade, dedup, joins, metrics, orphans, panel, ranking, windows
 from tesela.plans.registry import Registry
 from tesela.runtime import cut
 from tesela.sources.tables import table
@@ -48,7 +48,7 @@ def clean_rejected(spark, d):
 @query(_CLAIMS + " select motivo_exclusion, count(*) as filas, count(*) * 100.0 / sum(count(*)) over () as porcentaje from c where motivo_exclusion is not null group by motivo_exclusion")
 def exclusion_share(spark, d):
     n = _claims(spark, d).where("motivo_exclusion is not null").groupBy("motivo_exclusion").agg(F.count(F.lit(1)).alias("filas"))
-    return n.withColumn("porcentaje", F.col("filas") * 100.0 / F.sum("filas").over(Window.partitionBy()))
+    return ranking.with_totals(n, {"_all": F.sum("filas")}).select("motivo_exclusion", "filas", (F.col("filas") * 100.0 / F.col("_all")).alias("porcentaje"))
 
 
 @query(

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tesela.functions import scalars as S
-from tesela.operators import clusters, joins, metrics, panel, profiles, proximity, windows
+from tesela.operators import clusters, joins, metrics, panel, profiles, proximity, ranking
 from tesela.plans import explore, panel_queries
 from tesela.plans.registry import Registry
+from tesela.runtime import cut
 from tesela.sources.tables import table
 
 query = Registry()
@@ -32,7 +32,7 @@ def destinations_unique(spark, d):
 def routing_scope(spark, d):
     rows = table(spark, d, "reclamos_zonificados").where("destino_key is not null")
     pairs = rows.groupBy("sede_id", "destino_key").agg(F.count_distinct("reclamo_id").alias("reclamos_count"), F.concat_ws(" | ", F.array_sort(F.collect_set(F.trim("servicio_normalizado")))).alias("servicios"))
-    return pairs.withColumn("priority_rank", F.row_number().over(Window.orderBy(F.desc("reclamos_count"), "sede_id", "destino_key")))
+    return ranking.ordered(pairs, [F.desc("reclamos_count"), F.asc("sede_id"), F.asc("destino_key")], "priority_rank")
 
 
 @query(
@@ -170,13 +170,13 @@ def zone_summary(spark, d):
 
 @query(_ZS + ", r as (select *, dense_rank() over (order by reclamos desc) as rank_reclamos, dense_rank() over (order by traslado desc) as rank_traslado, dense_rank() over (order by km desc) as rank_km from z) select *, rank_reclamos + rank_traslado + rank_km as puntaje, cast(reclamos as double) / sum(reclamos) over () as parte from r")
 def zone_summary_rank(spark, d):
-    return windows.dense_ranks(zone_summary(spark, d), ["reclamos", "traslado", "km"]).withColumn("parte", windows.share("reclamos"))
+    return ranking.with_share(ranking.dense_ranks(cut(zone_summary(spark, d)), ["reclamos", "traslado", "km"]), "reclamos", "parte")
 
 
 @query(_ZS + " select zona_id, reclamos, row_number() over o as puesto, cast(sum(reclamos) over (order by reclamos desc, zona_id rows unbounded preceding) as double) / sum(reclamos) over () as acumulado from z window o as (order by reclamos desc, zona_id)")
 def pareto_shares(spark, d):
-    order = [F.desc("reclamos"), F.col("zona_id")]
-    return zone_summary(spark, d).select("zona_id", "reclamos", F.row_number().over(Window.orderBy(*order)).alias("puesto"), windows.cumulative_share("reclamos", *order).alias("acumulado"))
+    rows = ranking.ordered(zone_summary(spark, d).select("zona_id", "reclamos"), [F.desc("reclamos"), F.asc("zona_id")], "puesto", {"_upto": "reclamos"})
+    return ranking.with_totals(rows, {"_all": F.sum("reclamos")}).select("zona_id", "reclamos", "puesto", (F.col("_upto") / F.col("_all")).alias("acumulado"))
 
 
 @query(
@@ -185,8 +185,8 @@ def pareto_shares(spark, d):
     "select cuartil, count(*) as zonas, cast(sum(reclamos) as bigint) as reclamos, cast(sum(reclamos) as double) / sum(sum(reclamos)) over () as parte from c group by cuartil"
 )
 def quartile_compare(spark, d):
-    rows = windows.rank_quartile(zone_summary(spark, d), "reclamos", "zona_id")
-    return rows.groupBy("cuartil").agg(F.count(F.lit(1)).alias("zonas"), F.sum("reclamos").alias("reclamos")).withColumn("parte", windows.share("reclamos"))
+    rows = ranking.rank_groups(zone_summary(spark, d), "reclamos", "zona_id")
+    return ranking.with_share(rows.groupBy("cuartil").agg(F.count(F.lit(1)).alias("zonas"), F.sum("reclamos").alias("reclamos")), "reclamos", "parte")
 
 
 @query("with m as (select quantile_cont(distance_km, 0.5) as q from reclamos_zonificados), t as (select case when distance_km <= q then 'cerca' else 'lejos' end as grupo, traslado_min from reclamos_zonificados, m where distance_km is not null) select grupo, count(*) as reclamos, cast(sum(cast(traslado_min as decimal(18,4))) as double) / count(traslado_min) as traslado_medio, cast(count(*) as double) / sum(count(*)) over () as parte from t group by grupo")
@@ -194,7 +194,7 @@ def near_far(spark, d):
     rows = table(spark, d, "reclamos_zonificados").where("distance_km is not null")
     rows = joins.with_scalars(rows, rows.agg(F.percentile("distance_km", F.lit(0.5)).alias("q")))
     out = rows.groupBy(F.when(F.col("distance_km") <= F.col("q"), "cerca").otherwise("lejos").alias("grupo")).agg(F.count(F.lit(1)).alias("reclamos"), (F.sum(F.col("traslado_min").cast("decimal(18,4)")).cast("double") / F.count("traslado_min")).alias("traslado_medio"))
-    return out.withColumn("parte", windows.share("reclamos"))
+    return ranking.with_share(out, "reclamos", "parte")
 
 
 _RAINY = "with dia as (select fecha, cast(sum(reclamos_count) as bigint) as reclamos, max(lluvia_mm) as mm from zona_diario_base group by fecha)"
@@ -221,13 +221,13 @@ def rain_buckets(spark, d):
 
 @query(_RAINY + ", r as (select rank() over (order by reclamos) + (count(*) over (partition by reclamos) - 1) / 2.0 as a, rank() over (order by mm) + (count(*) over (partition by mm) - 1) / 2.0 as b from dia where mm is not null and reclamos is not null) select round(corr(a, b), 3) as spearman from r")
 def spearman_rain(spark, d):
-    mid = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
-    return _days(spark, d).dropna().select(mid("reclamos").alias("a"), mid("mm").alias("b")).agg(F.round(F.corr("a", "b"), 3).alias("spearman"))
+    days = cut(_days(spark, d).dropna())
+    return ranking.mid_ranks(ranking.mid_ranks(days, "reclamos", "a"), "mm", "b").agg(F.round(F.corr("a", "b"), 3).alias("spearman"))
 
 
 @query(_ZS + ", s as (select zona_id, cast(reclamos as double) / sum(reclamos) over () as parte_reclamos, cast(destinos as double) / sum(destinos) over () as parte_destinos from z) select zona_id, 'parte_reclamos' as medida, parte_reclamos as valor from s union all select zona_id, 'parte_destinos', parte_destinos from s")
 def melt_shares(spark, d):
-    s = zone_summary(spark, d).select("zona_id", windows.share("reclamos").alias("parte_reclamos"), windows.share("destinos").alias("parte_destinos"))
+    s = ranking.with_share(ranking.with_share(cut(zone_summary(spark, d)), "reclamos", "parte_reclamos"), "destinos", "parte_destinos")
     return s.unpivot(["zona_id"], ["parte_reclamos", "parte_destinos"], "medida", "valor")
 
 

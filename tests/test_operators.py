@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesela.functions import scalars as S
-from tesela.operators import cascade, clusters, dedup, joins, metrics, panel, profiles, windows
+from tesela.operators import cascade, clusters, dedup, joins, metrics, panel, profiles, ranking, windows
 from tesela.operators.neighbours import nearest
 from tesela.plans import explore
 from tesela.runtime import has_at_most, require_columns, salted_lookup
@@ -123,10 +123,25 @@ def test_medians(spark):
 @pytest.mark.parametrize("n", [4, 5, 43])
 def test_quartile_edges(spark, n):
     df = spark.createDataFrame([(i, float(i)) for i in range(n)], "id int, v double")
-    got = [r.cuartil for r in windows.rank_quartile(df, "v", "id").orderBy("id").collect()]
+    got = [r.cuartil for r in ranking.rank_groups(df, "v", "id").orderBy("id").collect()]
     assert got == [sum(i + 1 > 1 + (n - 1) * k / 4 for k in (1, 2, 3)) + 1 for i in range(n)]
 
 
+def test_ordered(spark):
+    rng = random.Random(5)
+    data = [(i, rng.randrange(40)) for i in range(3000)]
+    df = spark.createDataFrame(data, "id int, v int")
+    total, want = 0, {}
+    for n, (v, i) in enumerate(sorted((v, i) for i, v in data), 1):
+        total += v
+        want[i] = (n, total)
+    got = ranking.ordered(df.repartition(6), [F.asc("v"), F.asc("id")], "n", {"t": "v"}).collect()
+    assert {r.id: (r.n, r.t) for r in got} == want
+    assert ranking.ordered(df.limit(0), [F.asc("v")]).count() == 0
+    ranks = {r.id: r.rank_v for r in ranking.dense_ranks(df, ["v"]).collect()}
+    assert ranks == {i: 40 - v for i, v in data}
+
+
 def test_zones(spark):
     rng = random.Random(8)
     data = [(i, -29.5 + rng.uniform(0, 0.3), -56.5 + rng.uniform(0, 0.3), rng.randrange(50)) for i in range(300)] + [(999, None, 1.0, 5)]
