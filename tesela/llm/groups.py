@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from tesela.runtime import cut, salted_lookup
 
+#: A node with more links than this, or than a ten-thousandth of all, has its links spread over SALTS tasks.
+HOT_LINKS, SALTS = 1_000_000, 64
+
 
 def low_diameter_groups(edges: DataFrame, beta: float = 0.1, hops: int = 4, max_levels: int = 200) -> DataFrame:
     """``node, root``: equal roots for exactly those nodes that the edges ``a, b`` link directly or indirectly.
 
-    Null ends, self-pairs and repeated edges are ignored; nodes without an edge to another node don't appear. An
+    Links of a hot node are salted; joins on labels are left to skew-aware adaptive joins. Null ends, self-pairs and repeated edges are ignored; nodes without an edge to another node don't appear. An
     empty input gives no rows. A node starts growing a cluster ``Exp(beta)`` hops early; after ``hops`` hops each
     node has the label of the earliest reacher, and a label that itself carries another label is kept
     linked to it, so stopping early loses no link. Each level at least halves the nodes in expectation.
@@ -25,13 +28,20 @@ def low_diameter_groups(edges: DataFrame, beta: float = 0.1, hops: int = 4, max_
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     links = cut(both(one))
     labels: list[DataFrame] = []
-    while not links.isEmpty():
+    while total := links.count():
         if len(labels) == max_levels:
             raise RuntimeError(f"no end after {max_levels} levels")
         uniform = (F.pmod(F.xxhash64(F.lit(len(labels)), F.col("a")), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
-        state = links.select("a").distinct().select(F.col("a").alias("node"), F.struct((F.ln(uniform) / beta).alias("at"), F.col("a").alias("label")).alias("first"))
+        degree = cut(links.groupBy("a").agg(F.count(F.lit(1)).alias("_k")))
+        state = degree.select(F.col("a").alias("node"), F.struct((F.ln(uniform) / beta).alias("at"), F.col("a").alias("label")).alias("first"))
+        # at most 20,000 nodes can pass the second bound
+        hot = [r[0] for r in degree.where(F.col("_k") > max(HOT_LINKS, total // 10_000)).select("a").collect()]
+        salt = F.when(F.col("a").isin(hot), F.pmod(F.xxhash64("b"), F.lit(SALTS))) if hot else None
+        spread = links.withColumn("_salt", (F.lit(0) if salt is None else F.coalesce(salt, F.lit(0))).cast("int"))
+        copies = F.explode(F.when(F.col("node").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))) if hot else F.lit(0)
         for _ in range(hops):
-            reached = links.join(state, links.a == state.node).select(F.col("b").alias("node"), F.struct((F.col("first.at") + 1).alias("at"), F.col("first.label").alias("label")).alias("first"))
+            sent = state.withColumn("_salt", copies.cast("int") if not hot else copies)
+            reached = spread.join(sent, (spread.a == sent.node) & (spread["_salt"] == sent["_salt"])).select(F.col("b").alias("node"), F.struct((F.col("first.at") + 1).alias("at"), F.col("first.label").alias("label")).alias("first"))
             state = reached.unionByName(state).groupBy("node").agg(F.min("first").alias("first"))
         label = cut(state.select("node", F.col("first.label").alias("label")))
         labels.append(label)
@@ -61,7 +71,7 @@ def territorial_groups(zonas: DataFrame, pares: DataFrame, zonificados: DataFram
     for end in ("a", "b"):
         pairs = pairs.join(known.withColumnRenamed("destino_id", end), end, "left_semi")
     pairs = pairs.select(F.concat(F.lit("d"), F.col("a").cast("string")).alias("a"), F.concat(F.lit("d"), F.col("b").cast("string")).alias("b"))
-    carried = zonificados.where("zona_id is not null").select("reclamo_id", F.concat(F.lit("z"), "zona_id").alias("b"))
+    carried = zonificados.where("zona_id is not null").select("reclamo_id", F.concat(F.lit("z"), "zona_id").alias("b")).distinct()
     several = carried.where("reclamo_id is not null").groupBy("reclamo_id").agg(F.min("b").alias("a"), F.max("b").alias("_last")).where("a != _last").select("reclamo_id", "a")
     shared = carried.join(several, "reclamo_id").where("a != b").select("a", "b").distinct()
     groups = low_diameter_groups(pairs.unionByName(shared))

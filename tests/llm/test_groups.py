@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tesela.llm import groups
 from tesela.llm.groups import low_diameter_groups, territorial_groups
 
 
@@ -35,8 +36,10 @@ def shapes():
     yield "nothing", [(1, 1), (None, None)]
 
 
+@pytest.mark.parametrize("hot", [1_000_000, 5])
 @pytest.mark.parametrize("name,edges", list(shapes()))
-def test_components(spark, name, edges):
+def test_components(spark, monkeypatch, name, edges, hot):
+    monkeypatch.setattr(groups, "HOT_LINKS", hot)
     got = {}
     for r in low_diameter_groups(spark.createDataFrame([(a, b, 1) for a, b in edges], "a bigint, b bigint, label int")).collect():
         got.setdefault(r.root, set()).add(r.node)
