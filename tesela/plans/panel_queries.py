@@ -37,16 +37,19 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_CLAIMS + " select row_idx, reclamo_id, fecha_reclamo, estado_geo, lat, lon from c where motivo_exclusion is null")
 def clean_cascade(spark, d):
+    """Claims kept by the exclusion cascade, with repaired coordinates."""
     return _claims(spark, d).where("motivo_exclusion is null").drop("motivo_exclusion")
 
 
 @query(_CLAIMS + " select row_idx, reclamo_id, motivo_exclusion from c where motivo_exclusion is not null")
 def clean_rejected(spark, d):
+    """Claims excluded by the cascade and the first reason each breaks."""
     return _claims(spark, d).where("motivo_exclusion is not null").select("row_idx", "reclamo_id", "motivo_exclusion")
 
 
 @query(_CLAIMS + " select motivo_exclusion, count(*) as filas, count(*) * 100.0 / sum(count(*)) over () as porcentaje from c where motivo_exclusion is not null group by motivo_exclusion")
 def exclusion_share(spark, d):
+    """Excluded claims per reason and their share in percent."""
     n = _claims(spark, d).where("motivo_exclusion is not null").groupBy("motivo_exclusion").agg(F.count(F.lit(1)).alias("filas"))
     return ranking.with_totals(n, {"_all": F.sum("filas")}).select("motivo_exclusion", "filas", (F.col("filas") * 100.0 / F.col("_all")).alias("porcentaje"))
 
@@ -56,6 +59,7 @@ def exclusion_share(spark, d):
     "select tarea_row_id, case when f is null then 'fecha_invalida' else 'huerfana' end as motivo_exclusion from t where f is null or k is null or k not in (select reclamo_id from reclamos_clean)"
 )
 def tasks_orphans(spark, d):
+    """Tasks with a bad date, else without a claim."""
     day = F.when(F.col("fecha").rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp("fecha", F.lit("yyyy-M-d")))
     tasks = table(spark, d, "tramites_tareas").select("tarea_row_id", F.regexp_replace(F.trim("reclamo_id"), r"\s*[-/]\s*", "-").alias("reclamo_id"), day.alias("f"))
     orphan = tasks.where("f is not null").join(table(spark, d, "reclamos_clean", ["reclamo_id"]), "reclamo_id", "left_anti")
@@ -69,6 +73,7 @@ def tasks_orphans(spark, d):
     "select row_idx, hhmm, case when regexp_full_match(fechainicio, '\\d{4}-\\d{2}-\\d{2}') then try_strptime(fechainicio || ' ' || coalesce(hhmm, '00:00'), '%Y-%m-%d %H:%M') end as momento from v"
 )
 def hhmm_normalise(spark, d):
+    """Times of day read from the last four digits, and the timestamp they make with the date."""
     rows = table(spark, d, "tramites").select("row_idx", S.hhmm(F.col("horainicio")).alias("hhmm"), "fechainicio")
     iso = F.when(F.col("fechainicio").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("fechainicio"))
     return rows.select("row_idx", "hhmm", S.at_hhmm(iso, F.col("hhmm")).alias("momento"))
@@ -80,12 +85,14 @@ def hhmm_normalise(spark, d):
     "select * from u where abs(lat) <= 90 and abs(lon) <= 180"
 )
 def geo_swap_world(spark, d):
+    """Coordinates exchanged where the latitude is beyond the poles, kept where they are on the globe."""
     rows = table(spark, d, "tramites").select("row_idx", S.coordinate(F.col("geo1")).alias("lat"), S.coordinate(F.col("geo2")).alias("lon"))
     return cascade.swapped_world(rows, "lat", "lon")
 
 
 @query(_CLAIMS + " select estado_geo, count(*) as filas, min(lat) as lat_min, max(lat) as lat_max from c group by estado_geo")
 def geo_swap_bounds(spark, d):
+    """Claims per state of their coordinates after the box repair."""
     return _claims(spark, d).groupBy("estado_geo").agg(F.count(F.lit(1)).alias("filas"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"))
 
 
@@ -116,11 +123,13 @@ def _rain_daily(spark, d):
 
 @query(_RAIN + " select pluviometro, fecha, lluvia_mm, coalesce(codigos, '') as codigos, filas, archivos, case when filas > 1 then 'duplicate_collapsed' else 'observed' end as lluvia_status from g")
 def rain_daily_clean(spark, d):
+    """Readable rain per gauge and day: greatest value, codes, rows and sheets."""
     return _rain_daily(spark, d).withColumn("lluvia_status", F.when(F.col("filas") > 1, "duplicate_collapsed").otherwise("observed"))
 
 
 @query(_RAIN + " select row_idx, motivo from c where motivo is not null")
 def rain_rejected(spark, d):
+    """Rain rows excluded and the first reason each breaks."""
     return _rain(spark, d).where("motivo is not null").select("row_idx", "motivo")
 
 
@@ -130,6 +139,7 @@ def rain_rejected(spark, d):
     "select k.fecha, x.mm as lluvia_mm, coalesce(x.pluviometros, 0) as pluviometros, case when x.fecha is null then 'missing_source' else 'observed' end as lluvia_status from k left join x on k.fecha = x.fecha"
 )
 def rain_calendar(spark, d):
+    """Rain of every calendar day of the window, missing days marked."""
     days = _rain_daily(spark, d).groupBy("fecha").agg(F.max("lluvia_mm").alias("lluvia_mm"), F.count(F.lit(1)).alias("pluviometros"))
     out = panel.fixed_calendar(spark, "2021-01-01", "2026-03-31").join(days, "fecha", "left")
     return out.select("fecha", "lluvia_mm", F.coalesce("pluviometros", F.lit(0)).alias("pluviometros"), F.when(F.col("pluviometros").isNull(), "missing_source").otherwise("observed").alias("lluvia_status"))
@@ -143,6 +153,7 @@ _CODE = "case when c = '' then 'missing' when c = 'A' then 'plain_a' when contai
     f"select {_CODE} as categoria, count(*) as filas, count(*) filter (where mm > 0) as con_lluvia, cast(sum(mm) as double) / count(mm) as media, quantile_cont(cast(mm as double), 0.5) as mediana from t group by 1"
 )
 def rain_classes(spark, d):
+    """Rain by kind of observation code."""
     mm = F.when(F.col("lluvia_mm").between(0, 500), F.col("lluvia_mm"))
     rows = table(spark, d, "lluvia_diaria_clean").select(S.rain_code(F.col("observacion_codigo")).alias("categoria"), mm.alias("mm"))
     return rows.groupBy("categoria").agg(F.count(F.lit(1)).alias("filas"), F.count_if(F.col("mm") > 0).alias("con_lluvia"), (F.sum(F.col("mm").cast("decimal(18,4)")).cast("double") / F.count("mm")).alias("media"), F.median("mm").alias("mediana"))
@@ -167,11 +178,13 @@ def zone_panel(spark, d):
 
 @query(_PANEL + " select * from p")
 def panel_base(spark, d):
+    """Claims per zone and day."""
     return panel.zone_days(table(spark, d, "reclamos_zonificados"))
 
 
 @query(_PANEL + " select * from f")
 def panel_fill_pattern(spark, d):
+    """The panel on its complete calendar, counts and totals filled by name."""
     return zone_panel(spark, d)
 
 
@@ -186,6 +199,7 @@ _SUPERVISED = _PANEL + f", s as (select f.*, {_SUP}, lead(fecha, 1) over z is no
 
 @query(_SUPERVISED + " select * from s")
 def panel_supervised(spark, d):
+    """The complete panel with lags, trailing means and next-day targets."""
     return panel.supervised(zone_panel(spark, d))
 
 
@@ -194,16 +208,19 @@ def panel_supervised(spark, d):
     + ", g as (select zona_id, fecha, lag(reclamos_count, 1) over (partition by zona_id order by fecha) as l from f) select zona_id, fecha, case when count(l) over w >= 3 then cast(sum(l) over w as double) / count(l) over w end as media_literal from g window w as (order by zona_id, fecha rows 6 preceding)"
 )
 def roll_literal(spark, d):
+    """The trailing mean that runs across zone borders, for comparison."""
     return panel.literal_rolling(zone_panel(spark, d))
 
 
 @query("select distinct fecha, cast(isodow(fecha) - 1 as integer) as day_of_week, cast(month(fecha) as integer) as month, cast(quarter(fecha) as integer) as quarter, cast(floor((month(fecha) - 1) / 3) + 1 as integer) as season, isodow(fecha) >= 6 as is_weekend from zona_diario_base")
 def calendar_features(spark, d):
+    """Calendar features of every day of the panel."""
     return panel.calendar_features(table(spark, d, "zona_diario_base", ["fecha"]).distinct())
 
 
 @query("select zona_id, fecha, " + ", ".join(f"count(*) filter (where sede_id = '{s}') as reclamos_{s.lower()}" for s in SEDES) + " from reclamos_zonificados where zona_id is not null group by zona_id, fecha")
 def depot_pivot(spark, d):
+    """Claims per zone, day and depot."""
     return panel.pivoted_counts(table(spark, d, "reclamos_zonificados"), SEDES)
 
 
@@ -224,21 +241,25 @@ def _daily_max(spark, d):
 
 @query(_ZV + " select zona_id, fecha, case when count(y) over w >= 5 then quantile_cont(y, 0.5) over w end as mediana from v window w as (partition by zona_id, month(fecha) order by fecha rows between unbounded preceding and 1 preceding)")
 def online_median_zone_month(spark, d):
+    """Median of the earlier values of the zone in the same month."""
     return windows.online_median(_daily_max(spark, d).withColumn("mes", F.month("fecha")), ["zona_id", "mes"], ["fecha"], "y", 5, "mediana").select("zona_id", "fecha", "mediana")
 
 
 @query(_ZV + " select zona_id, fecha, case when count(y) over w >= 7 then quantile_cont(y, 0.5) over w end as mediana from v window w as (partition by zona_id order by fecha rows between unbounded preceding and 1 preceding)")
 def online_median_zone(spark, d):
+    """Median of all earlier values of the zone."""
     return windows.online_median_sorted(_daily_max(spark, d), "zona_id", "fecha", "y", 7, "mediana")
 
 
 @query(_ZV + ", k as (select distinct fecha from v) select k.fecha, case when count(v.y) >= 30 then quantile_cont(v.y, 0.5) end as mediana from k left join v on v.fecha < k.fecha group by k.fecha")
 def online_median_global(spark, d):
+    """Median of all values of all earlier days."""
     return windows.past_median(_daily_max(spark, d), "fecha", "y", 30, "mediana")
 
 
 @query(_ZV + " select zona_id, fecha, case when count(y) over w >= 7 then quantile_cont(y, 0.5) over w end as mediana from v window w as (partition by zona_id order by fecha rows between 28 preceding and 1 preceding)")
 def trailing_median_28(spark, d):
+    """Median of the last 28 rows of the zone."""
     return windows.trailing_median(_daily_max(spark, d), ["zona_id"], ["fecha"], "y", 28, 7, "mediana").select("zona_id", "fecha", "mediana")
 
 
@@ -271,6 +292,7 @@ def forecast(spark, d):
 
 @query(_FORECAST + " select *, abs(y_reclamos_t1 - baseline_reclamos) as error_abs from b")
 def baseline_forecast(spark, d):
+    """The forecast with its rule and absolute error."""
     return forecast(spark, d).withColumn("error_abs", F.abs(F.col("y_reclamos_t1") - F.col("baseline_reclamos")))
 
 
@@ -282,6 +304,7 @@ _SCORES = "count(e) as filas, round(avg(abs(e)), 9) as mae, round(sqrt(avg(e * e
     + f", x as (select cast(y_reclamos_t1 as double) as a, y_reclamos_t1 - baseline_reclamos as e, fecha >= (select max(fecha) from b) - 179 as r from b) select 'full' as ventana, {_SCORES} from x union all select 'recent_180', {_SCORES} from x where r"
 )
 def baseline_metrics(spark, d):
+    """Errors of the forecast over all days and over the last 180."""
     b = forecast(spark, d)
     recent = joins.with_scalars(b, b.agg(F.date_sub(F.max("fecha"), 179).alias("corte"))).where("fecha >= corte")
     score = lambda name, df: df.agg(*metrics.regression_scores("y_reclamos_t1", "baseline_reclamos")).withColumn("ventana", F.lit(name))
@@ -291,16 +314,19 @@ def baseline_metrics(spark, d):
 
 @query(_FORECAST + " select regla, count(*) as filas from b group by regla")
 def rule_coverage(spark, d):
+    """Forecasts per rule."""
     return forecast(spark, d).groupBy("regla").agg(F.count(F.lit(1)).alias("filas"))
 
 
 @query(_ZV + " select zona_id, fecha, coalesce(mm, last_value(mm ignore nulls) over (partition by zona_id order by fecha rows unbounded preceding)) as mm, y from v")
 def ffill_features(spark, d):
+    """Rain filled forward per zone."""
     return windows.forward_filled(_daily_max(spark, d), "zona_id", "fecha", ["mm"])
 
 
 @query(_ZV + " select case when fecha < date '2025-04-01' then 'train' else 'test' end as parte, count(*) as filas, count(distinct zona_id) as zonas, min(fecha) as desde, max(fecha) as hasta from v group by 1")
 def oot_split(spark, d):
+    """Rows, zones and days before and from a cut date."""
     part = F.when(F.col("fecha") < F.lit("2025-04-01").cast("date"), "train").otherwise("test")
     return _daily_max(spark, d).groupBy(part.alias("parte")).agg(F.count(F.lit(1)).alias("filas"), F.count_distinct("zona_id").alias("zonas"), F.min("fecha").alias("desde"), F.max("fecha").alias("hasta"))
 
@@ -310,6 +336,7 @@ def oot_split(spark, d):
     "select sede_id, destino_key, distance_m, duration_s, routing_status, requested_at, cache_row_id from c where n = 1"
 )
 def cache_latest(spark, d):
+    """The latest answer per depot and destination."""
     return latest_routes(spark, d)
 
 
@@ -325,6 +352,7 @@ def latest_routes(spark, d):
     "select coalesce(h.pluviometro, b.pluviometro) as pluviometro, coalesce(h.fecha, b.fecha) as fecha, case when h.fecha is not null then h.mm else b.mm end as mm, cast(h.fecha is not null as integer) as prioridad from b full join h on b.pluviometro = h.pluviometro and b.fecha = h.fecha"
 )
 def override_merge(spark, d):
+    """Hand-copied rain over the daily table, by gauge and day."""
     base = table(spark, d, "lluvia_diaria_clean").where("lluvia_mm between 0 and 500 and not isnan(lluvia_mm)").groupBy("pluviometro", "fecha").agg(F.max("lluvia_mm").alias("mm"))
     manual = _rain_daily(spark, d).select(F.replace("pluviometro", F.lit("PL"), F.lit("PE")).alias("pluviometro"), "fecha", F.col("lluvia_mm").alias("mm"), "codigos")
     return dedup.overridden(base, joins.aligned(manual, base), ["pluviometro", "fecha"], F.col("mm"))
@@ -340,6 +368,7 @@ _PAIRS = [(m, p) for m in ("reclamos_count", "traslado_min_total") for p in ("la
     + ") select objetivo, modelo, wmape from (select *, row_number() over (partition by objetivo order by wmape, modelo) as k from w) where k = 1"
 )
 def best_model(spark, d):
+    """The simple predictor with the least error per target."""
     s = panel.supervised(zone_panel(spark, d))
     error = lambda m, p: F.round(F.sum(F.abs(F.col(f"y_{m}_t1") - F.col(f"{m}_{p}"))) / F.nullif(F.sum(F.when(F.col(f"{m}_{p}").isNotNull(), F.abs(f"y_{m}_t1"))), F.lit(0)), 6)
     one = s.agg(*[error(m, p).alias(f"{m}:{p}") for m, p in _PAIRS])
@@ -349,12 +378,14 @@ def best_model(spark, d):
 
 @query("select tabla, clave, count(*) - count(distinct k) as repetidas from (select 'reclamos_clean' as tabla, 'reclamo_id' as clave, reclamo_id as k from reclamos_clean union all select 'tramites', 'row_idx', cast(row_idx as varchar) from tramites union all select 'zona_diario_base', 'zona_id,fecha', zona_id || '|' || fecha from zona_diario_base) group by 1, 2")
 def dup_checks(spark, d):
+    """Repeated keys per table."""
     one = lambda t, c, k: table(spark, d, t).agg((F.count(F.lit(1)) - F.count_distinct(k)).alias("repetidas")).select(F.lit(t).alias("tabla"), F.lit(c).alias("clave"), "repetidas")
     return one("reclamos_clean", "reclamo_id", F.col("reclamo_id")).unionByName(one("tramites", "row_idx", F.col("row_idx"))).unionByName(one("zona_diario_base", "zona_id,fecha", F.struct("zona_id", "fecha")))
 
 
 @query("with t as (select tarea_row_id, regexp_replace(trim(tarea_id), '^0*(\\d+)(?:\\.0*)?$', '\\1') as k from tramites_tareas where tarea_id is not null) select t.tarea_row_id, r.tarea, coalesce(r.tarea, 'sin_catalogo') as tarea_nombre from t left join (select cast(tarea_id as varchar) as k, tarea from tareas_ref) r on t.k = r.k")
 def keyed_lookup(spark, d):
+    """Task names by number, with a default."""
     names = table(spark, d, "tareas_ref").select(orphans.number_key(F.col("tarea_id").cast("string")).alias("k"), "tarea")
     tasks = table(spark, d, "tramites_tareas").where("tarea_id is not null").select("tarea_row_id", orphans.number_key(F.col("tarea_id")).alias("k"))
     return joins.looked_up(tasks, names, "k", "tarea").select("tarea_row_id", "tarea", F.coalesce("tarea", F.lit("sin_catalogo")).alias("tarea_nombre"))
