@@ -16,37 +16,47 @@ from tesela.runtime import cut, salted_lookup
 HOT_LINKS, SALTS = 1_000_000, 64
 
 
+def _meet(links: DataFrame, end: str, other: str, nodes: DataFrame, hot: list) -> DataFrame:
+    """Join ``links`` at ``end`` with ``nodes`` (one row per ``node``); the links of each of ``hot`` are spread over SALTS tasks."""
+    nodes = nodes.withColumnRenamed("node", end)
+    if not hot:
+        return links.join(nodes, end)
+    left = links.withColumn("_salt", F.when(F.col(end).isin(hot), F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(0))
+    right = nodes.withColumn("_salt", F.explode(F.when(F.col(end).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [end, "_salt"]).drop("_salt")
+
+
 def low_diameter_groups(edges: DataFrame, beta: float = 0.1, hops: int = 4, max_levels: int = 200) -> DataFrame:
     """``node, root``: equal roots for exactly those nodes that the edges ``a, b`` link directly or indirectly.
 
-    Links of a hot node are salted; joins on labels are left to skew-aware adaptive joins. Null ends, self-pairs and repeated edges are ignored; nodes without an edge to another node don't appear. An
-    empty input gives no rows. A node starts growing a cluster ``Exp(beta)`` hops early; after ``hops`` hops each
+    Null ends, self-pairs and repeated edges are ignored; nodes without an edge to another node don't appear. An
+    empty input gives no rows. Links of hot nodes are salted; the joins that compose labels, where only the side of the
+    members can be skewed, are left to adaptive skew joins. A node starts growing a cluster ``Exp(beta)`` hops early; after ``hops`` hops each
     node has the label of the earliest reacher, and a label that itself carries another label is kept
-    linked to it, so stopping early loses no link. Each level at least halves the nodes in expectation.
+    linked to it, so stopping early loses no link. Each level shrinks the nodes by a constant factor in expectation.
     """
     one = edges.select("a", "b").where("a is not null and b is not null and a != b")
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     links = cut(both(one))
     labels: list[DataFrame] = []
-    while total := links.count():
+    while True:
+        degree = cut(links.groupBy("a").agg(F.count(F.lit(1)).alias("_k")))
+        total, most = degree.agg(F.coalesce(F.sum("_k"), F.lit(0)), F.coalesce(F.max("_k"), F.lit(0))).first()
+        if not total:
+            break
         if len(labels) == max_levels:
             raise RuntimeError(f"no end after {max_levels} levels")
         uniform = (F.pmod(F.xxhash64(F.lit(len(labels)), F.col("a")), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
-        degree = cut(links.groupBy("a").agg(F.count(F.lit(1)).alias("_k")))
         state = degree.select(F.col("a").alias("node"), F.struct((F.ln(uniform) / beta).alias("at"), F.col("a").alias("label")).alias("first"))
-        # at most 20,000 nodes can pass the second bound
-        hot = [r[0] for r in degree.where(F.col("_k") > max(HOT_LINKS, total // 10_000)).select("a").collect()]
-        salt = F.when(F.col("a").isin(hot), F.pmod(F.xxhash64("b"), F.lit(SALTS))) if hot else None
-        spread = links.withColumn("_salt", (F.lit(0) if salt is None else F.coalesce(salt, F.lit(0))).cast("int"))
-        copies = F.explode(F.when(F.col("node").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))) if hot else F.lit(0)
+        bound = max(HOT_LINKS, total // 10_000)  # at most 10,000 nodes can pass the second number
+        hot = [r[0] for r in degree.where(F.col("_k") > bound).select("a").collect()] if most > bound else []
         for _ in range(hops):
-            sent = state.withColumn("_salt", copies.cast("int") if not hot else copies)
-            reached = spread.join(sent, (spread.a == sent.node) & (spread["_salt"] == sent["_salt"])).select(F.col("b").alias("node"), F.struct((F.col("first.at") + 1).alias("at"), F.col("first.label").alias("label")).alias("first"))
+            reached = _meet(links, "a", "b", state, hot).select(F.col("b").alias("node"), F.struct((F.col("first.at") + 1).alias("at"), F.col("first.label").alias("label")).alias("first"))
             state = reached.unionByName(state).groupBy("node").agg(F.min("first").alias("first"))
         label = cut(state.select("node", F.col("first.label").alias("label")))
         labels.append(label)
-        left, right = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        between = links.where("a < b").join(left, "a").join(right, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        half = _meet(links.where("a < b"), "a", "b", label.withColumnRenamed("label", "la"), hot)
+        between = _meet(half, "b", "a", label.withColumnRenamed("label", "lb"), hot).select(F.col("la").alias("a"), F.col("lb").alias("b"))
         moved = label.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
         between = between.unionByName(moved.join(label.select(F.col("label").alias("a")).distinct(), "a", "left_semi"))
         links = cut(both(between.where("a != b")))
