@@ -26,7 +26,7 @@ def _meet(links: DataFrame, end: str, other: str, nodes: DataFrame, hot: list) -
     return left.join(right, [end, "_salt"]).drop("_salt")
 
 
-def low_diameter_groups(edges: DataFrame, beta: float = 0.1, hops: int = 4, max_levels: int = 200) -> DataFrame:
+def low_diameter_groups(edges: DataFrame, beta: float = 0.02, hops: int = 4, max_levels: int = 200) -> DataFrame:
     """``node, root``: equal roots for exactly those nodes that the edges ``a, b`` link directly or indirectly.
 
     Null ends, self-pairs and repeated edges are ignored; nodes without an edge to another node don't appear. An
@@ -36,7 +36,8 @@ def low_diameter_groups(edges: DataFrame, beta: float = 0.1, hops: int = 4, max_
     linked to it, so stopping early loses no link. Each level shrinks the nodes by a constant factor in expectation.
     """
     one = edges.select("a", "b").where("a is not null and b is not null and a != b")
-    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("w")
+    both = lambda e: e.select(ways).select("w.a", "w.b").distinct()
     links = cut(both(one))
     labels: list[DataFrame] = []
     while True:
