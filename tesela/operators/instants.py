@@ -48,7 +48,7 @@ _TIMES = [
     "(?<h3>\\d{1,2})h(?<i3>\\d{2})?",
     f"(?<h4>\\d{{1,2}})(?={_W}*(?:[ap]{_W}*\\.?{_W}*m|hs|hrs|h\\b|horas))",
 ]
-_HALF = f"(?:{_W}*(?<ap>[ap]){_W}*\\.?{_W}*m\\.?)?(?:{_W}*(?:hs|hrs|horas|h)\\.?)?"
+_HALF = f"(?:{_W}*(?<ap>[ap]){_W}*\\.?{_W}*m\\.?(?![a-z]))?(?:{_W}*(?:hs|hrs|horas|h)\\.?(?![a-z]))?"
 _ZONE = f"(?:{_W}*(?<u>Z|UTC|GMT))?(?:{_W}*(?<o>[-+\\u2212]\\d{{1,2}}(?::?\\d{{2}})?))?(?:{_W}*\\[?(?<z>[A-Za-z]+(?:/[A-Za-z0-9_+-]+)*)\\]?)?"
 _TIME = "(?:" + "|".join(_TIMES) + ")" + _HALF
 _EPOCH = "(?<e>[-+]?\\d{9,11}|\\d{13}|\\d{16}|\\d{19})(?:\\.\\d+)?"

@@ -40,6 +40,9 @@ CASES = [
     ("2021-03-04T05:06:07 +05:30", "DMY", "UTC", at(2021, 3, 3, 23, 36, 7)),
     ("2021-03-04T05:06:07-03:00[America/Asuncion]", "DMY", "UTC", at(2021, 3, 4, 8, 6, 7)),
     ("2021-07-04 05:06:07 europe/madrid", "DMY", "UTC", at(2021, 7, 4, 5, 6, 7, zone=MADRID)),
+    ("2021-07-04 12:06:07 America/Argentina/Buenos_Aires", "DMY", "UTC", at(2021, 7, 4, 12, 6, 7, zone=BA)),
+    ("2021-07-04 12:06 PM America/Asuncion", "DMY", "UTC", at(2021, 7, 4, 12, 6, zone="America/Asuncion")),
+    ("2021-07-04 12:06 America/Asuncion", "DMY", MADRID, at(2021, 7, 4, 12, 6, zone="America/Asuncion")),
     ("2021-10-31 02:30", "DMY", MADRID, at(2021, 10, 31, 0, 30)),  # occurs twice: the earlier
     ("2021-03-28 02:30", "DMY", MADRID, at(2021, 3, 28, 1, 30)),  # skipped: the offset before
     ("31/02/2021 05:06", "DMY", "UTC", None),
