@@ -82,11 +82,15 @@ _FIELDS = {
 _CLOCK_FIELDS = {"h": ["h1", "h3", "h4", "h5", "h7", "h8"], "i": ["i1", "i3", "i5", "i7", "i8"], "s": ["s1", "s7", "s8"], "ap": ["ap"]}
 
 
-def _extract(text: Column, pattern: str, fields: dict[str, list[str]]) -> Column:
-    """The named groups of the one match as an array of texts in the order of ``fields``; null without a match."""
+def _matched(text: Column, pattern: str, fields: dict[str, list[str]]) -> Column:
+    """The named groups of the one match, marked and delimited, in the order of ``fields``; the text itself without a match."""
     to = _MARK + _SEP.join("".join(f"${{{g}}}" for g in groups) for groups in fields.values())
-    found = F.regexp_replace(text, F.lit(pattern), F.lit(to))
-    return F.when(found.startswith(_MARK), F.split(F.substring(found, 2, 1_000_000), _SEP))
+    return F.regexp_replace(text, F.lit(pattern), F.lit(to))
+
+
+def _groups(matched: Column) -> Column:
+    """The groups in a text made by ``_matched`` as an array; null without a match."""
+    return F.when(matched.startswith(_MARK), F.split(F.substring(matched, 2, 1_000_000), _SEP))
 
 
 def _parts(array: Column, fields: dict[str, list[str]]) -> dict[str, Column]:
@@ -189,7 +193,8 @@ def utc_seconds(df: DataFrame, stamp: str, date: str, clock: str, order: str, zo
     df = df.select(*[F.col(f"`{c}`").alias(k) for c, k in number.items()])
     of = lambda c: F.col(number[c])
     order_c = F.coalesce(F.upper(F.trim(of(order))), F.lit("DMY"))
-    df = fixed(df, _t_a=_extract(of(stamp), PATTERN, _FIELDS), _t_b=_extract(of(date), PATTERN, _FIELDS), _t_c=_extract(of(clock), CLOCK, _CLOCK_FIELDS))
+    df = fixed(df, _t_ta=_matched(of(stamp), PATTERN, _FIELDS), _t_tb=_matched(of(date), PATTERN, _FIELDS), _t_tc=_matched(of(clock), CLOCK, _CLOCK_FIELDS))
+    df = fixed(df, _t_a=_groups(F.col("_t_ta")), _t_b=_groups(F.col("_t_tb")), _t_c=_groups(F.col("_t_tc")))
     a, b, c = _parts(F.col("_t_a"), _FIELDS), _parts(F.col("_t_b"), _FIELDS), _parts(F.col("_t_c"), _CLOCK_FIELDS)
     digits = F.length(F.regexp_replace(a["e"], "[^0-9]", ""))
     (ya, ma, da), (yb, mb, db) = _date_parts(a, order_c), _date_parts(b, order_c)
