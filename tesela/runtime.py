@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +13,16 @@ SMALL_TABLE_ROWS = 50_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: the session's own, else ``spark.checkpoint.dir``, else a
-    temporary folder, which only happens in tests and other single-machine runs."""
+    """The shared folder for lineage cuts: the session's own, else ``spark.checkpoint.dir``, else, in local mode
+    as in tests, a temporary folder. On a cluster without one it is an error."""
     context = spark.sparkContext
     there = context.getCheckpointDir()
     if there is None:
-        there = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesela-checkpoint-")
+        there = spark.conf.get("spark.checkpoint.dir", None)
+        if there is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            there = tempfile.mkdtemp(prefix="tesela-checkpoint-")
         context.setCheckpointDir(there)
     return there
 
