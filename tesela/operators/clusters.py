@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesela.operators.proximity import EARTH_M, great_circle_m
 from tesela.operators.ranking import ordered
+from tesela.runtime import ready_workers
 
 
 def _km(lat: np.ndarray, lon: np.ndarray, la: float, lo: float) -> np.ndarray:
@@ -53,6 +54,7 @@ def bounded_zones(destinos: DataFrame, diameter_km: float = 5.0, tile_deg: float
             out.append(best)
         return pd.DataFrame({"destino_id": pdf.destino_id, "tile": pdf.tile, "local": out, "peso": pdf.peso})
 
+    ready_workers(destinos.sparkSession)
     rows = destinos.where("lat is not null and lon is not null").select("destino_id", "lat", "lon", F.coalesce("peso", F.lit(0)).cast("double").alias("peso"), F.concat_ws("_", F.floor(F.col("lat") / tile_deg), F.floor(F.col("lon") / tile_deg)).alias("tile"))
     placed = rows.groupBy("tile").applyInPandas(run, "destino_id bigint, tile string, local int, peso double")
     weight = placed.groupBy("tile", "local").agg(F.sum("peso").alias("_w"))

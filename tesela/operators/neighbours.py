@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesela.runtime import ready_workers
+
 #: Queries held on the executors at a time.
 BLOCK = 20_000
 
@@ -21,6 +23,7 @@ def nearest(queries: DataFrame, rows: DataFrame, row: str, vector: str, k: int)
     those are ranked. Rows without a vector are left out; vectors must have one length.
     """
     spark, total = rows.sparkSession, queries.count()
+    ready_workers(spark)
     blocks, out = max(1, -(-total // BLOCK)), None
     for block in range(blocks):
         own = queries.where(F.col(vector).isNotNull() & (F.pmod(F.xxhash64(row), F.lit(blocks)) == block)).select(row, vector).collect()

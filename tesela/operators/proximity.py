@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesela.runtime import ready_workers
+
 EARTH_M = 6_371_008.8
 #: So many regions make one hierarchy that is sent to the executors; more regions are taken in blocks.
 REGIONS_PER_BLOCK = 20_000
@@ -138,6 +140,7 @@ def containing_regions(points: DataFrame, regions: DataFrame, point_id: str, reg
     finite coordinates contain nothing and are in nothing; repeated points give one row.
     """
     spark, total = points.sparkSession, regions.count()
+    ready_workers(spark)
     blocks = max(1, math.ceil(total / REGIONS_PER_BLOCK))
     schema = points.select(point_id).schema.add(region_id, regions.schema[region_id].dataType)
     located = points.select(point_id, lat, lon).where(F.col(point_id).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesela.runtime import cut
+from tesela.runtime import cut, ready_workers
 
 
 def online_median(df: DataFrame, keys: list[str], order: list[str], value: str, least: int, out: str) -> DataFrame:
@@ -41,6 +41,7 @@ def online_median_sorted(df: DataFrame, key: str, day: str, value: str, least: i
                 insort(seen, v)
         return pd.DataFrame({key: pdf[key].to_numpy(), day: pdf[day].to_numpy(), out: np.array(medians, float)})
 
+    ready_workers(df.sparkSession)
     kind = dict(df.dtypes)
     return df.select(key, day, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandas(run, f"{key} {kind[key]}, {day} {kind[day]}, {out} double").withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
 
@@ -82,6 +83,7 @@ def past_median(df: DataFrame, day: str, value: str, least: int, out: str, rows_
                 top.append((d, known[tree.holder(int(k))]))
         return pd.DataFrame(top, columns=["_d", "_v"])
 
+    ready_workers(df.sparkSession)
     kind = dict(df.dtypes)[day]
     answers = work.groupBy("_b").applyInPandas(run, f"_d {kind}, _v double").groupBy("_d").agg(F.avg("_v").alias("_m"))
     totals = grid.groupBy("_d").agg(F.max("_all").alias("_all"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return there
 
 
+def ready_workers(spark: SparkSession) -> None:
+    """Let Python workers that start from now on find this package where the driver found it.
+
+    Enough in local mode and wherever executors see the driver's folders; elsewhere ship the package with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from there; survives lost executors."""
     checkpoint_dir(df.sparkSession)

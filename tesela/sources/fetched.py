@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesela.operators.dedup import first_by
+from tesela.runtime import ready_workers
 
 
 def pending(scope: DataFrame, cache: DataFrame, keys: list[str], retry_failed: bool = False) -> DataFrame:
@@ -36,6 +37,7 @@ def fetch(todo: DataFrame, keys: list[str], fetcher: Callable[[dict], dict], ord
                 out.append({**key, "status": answer.get("status"), "valor": str(answer.get("valor")), "requested_at": at})
             yield pd.DataFrame(out, columns=[*keys, "status", "valor", "requested_at"])
 
+    ready_workers(todo.sparkSession)
     chosen = todo.orderBy(*order).limit(budget).select(*keys)
     kinds = dict(todo.dtypes)
     return chosen.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", status string, valor string, requested_at string")

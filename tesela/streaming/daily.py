@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesela.runtime import ready_workers
+
 
 def daily_counts(events: DataFrame, stamp: str, key: str, value: str, late: str = "2 days") -> DataFrame:
     """Count and total per day and key; rows later than the watermark are left out. Works on a stream and on a table."""
@@ -31,6 +33,7 @@ def running_median(values: DataFrame, key: str, value: str) -> DataFrame:
         n = len(seen)
         yield pd.DataFrame({key: [k[0]], "n": [n], "mediana": [(seen[(n - 1) // 2] + seen[n // 2]) / 2 if n else None]})
 
+    ready_workers(values.sparkSession)
     kind = dict(values.dtypes)[key]
     return values.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n bigint, mediana double", "seen array<double>", "update", "NoTimeout")
 

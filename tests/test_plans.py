@@ -59,3 +59,17 @@ def test_filters_reach_the_scan(spark):
 def test_everything_else_works_without_the_text_operators():
     code = "import sys; sys.modules['tesela.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p1_found' in q and 'p2_found' not in q and not [m for m in sys.modules if m.startswith('tesela.llm.')]"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from tesela.session import build_session
+import __spark_entry__ as e
+spark = build_session("elsewhere", "local[2]", spark__ui__enabled="false", spark__sql__shuffle__partitions="2")
+assert e.queries()["p6_found"](spark, {DATA!r}).count() > 0
+"""
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=environment, capture_output=True)
