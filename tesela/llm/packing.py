@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesela.llm.tokens import VOCABULARY, encoder
-from tesela.runtime import cut
+from tesela.runtime import cut, ready_workers
 
 #: Windows open at a time in a partition; leftover windows taken by one task of a merging round.
 OPEN_WINDOWS, MERGED_TOGETHER = 64, 20_000
@@ -76,6 +76,7 @@ def pack_documents(documents: DataFrame, capacity: int, vocabulary: str = VOCABU
     """
     if capacity < 8:
         raise ValueError("capacity must be at least 8 tokens")
+    ready_workers(documents.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding, lengths = encoder(vocabulary)

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tesela.llm.tokens import VOCABULARY, encoder
+from tesela.runtime import ready_workers
 
 #: Bytes of text whose boundaries are held at a time.
 BLOCK_BYTES = 1_000_000
@@ -128,6 +129,7 @@ def split_documents(documents: DataFrame, capacity: int, overlap: int, vocabular
     """
     if not 0 <= overlap <= capacity // 2 or capacity < 16:
         raise ValueError("capacity must be at least 16 tokens and overlap at most half of it")
+    ready_workers(documents.sparkSession)
     names = np.array([*KINDS, "final", "caracter"], object)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
