@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 #: Sums of the panel: output name, claim column, decimals kept in the exact sum.
 SUMS = {"distance_km_total": "distance_km", "traslado_min_total": "traslado_min", "resolucion_base_min_total": "resolucion_base_min"}
 METRICS = ["reclamos_count", "traslado_min_total", "resolucion_base_min_total"]
+#: A pivot has a column per value, so at most so many values.
+MOST_PIVOTED = 2_000
 
 
 def exact_sum(c: str, scale: int = 4) -> Column:
@@ -32,6 +34,14 @@ def pivoted_counts(claims: DataFrame, values: list[str], by: str = "sede_id", pr
     return claims.where("zona_id is not null").groupBy("zona_id", "fecha").agg(*counts)
 
 
+def present_values(df: DataFrame, column: str, most: int = MOST_PIVOTED) -> list[str]:
+    """The distinct values of ``column`` in order, without null; more than ``most`` are an error, as a table can't have a column for each."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column}: more than {most} values to pivot")
+    return sorted(found)
+
+
 def calendar(df: DataFrame, entity: str, day: str) -> DataFrame:
     """Every calendar day of each entity from its first to its last."""
     return df.groupBy(entity).agg(F.min(day).alias("_a"), F.max(day).alias("_b")).where("_a is not null").select(entity, F.explode(F.sequence("_a", "_b")).alias(day))

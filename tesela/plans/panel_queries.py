@@ -220,8 +220,12 @@ def calendar_features(spark, d):
 
 @query("select zona_id, fecha, " + ", ".join(f"count(*) filter (where sede_id = '{s}') as reclamos_{s.lower()}" for s in SEDES) + " from reclamos_zonificados where zona_id is not null group by zona_id, fecha")
 def depot_pivot(spark, d):
-    """Claims per zone, day and depot."""
-    return panel.pivoted_counts(table(spark, d, "reclamos_zonificados"), SEDES)
+    """Claims per zone, day and depot: a column for every depot of the table, and for those of SEDES also where they have none.
+
+    The SQL twin knows only SEDES, so it holds for tables without other depots.
+    """
+    claims = table(spark, d, "reclamos_zonificados")
+    return panel.pivoted_counts(claims, sorted({*SEDES, *panel.present_values(claims.where("zona_id is not null"), "sede_id")}))
 
 
 _ZM = "with b as (select zona_id, fecha, arg_max({'r': reclamos_count, 'l': lluvia_mm}, (cargado_en, reclamos_count, lluvia_mm)) as x from zona_diario_base group by 1, 2), v as (select zona_id, fecha, cast(x.r as double) as y, x.l as mm from b)"
