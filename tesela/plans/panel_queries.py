@@ -59,10 +59,14 @@ def exclusion_share(spark, d):
     "select tarea_row_id, case when f is null then 'fecha_invalida' else 'huerfana' end as motivo_exclusion from t where f is null or k is null or k not in (select reclamo_id from reclamos_clean)"
 )
 def tasks_orphans(spark, d):
-    """Tasks with a bad date, else without a claim."""
+    """Tasks with a bad date, else without a claim; references are compared by their two numbers, and one that names none has no claim.
+
+    The SQL twin only trims and unifies signs, so it also reports claims that are spelled with leading zeros, ``.0`` or other dashes.
+    """
     day = F.when(F.col("fecha").rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp("fecha", F.lit("yyyy-M-d")))
-    tasks = table(spark, d, "tramites_tareas").select("tarea_row_id", F.regexp_replace(F.trim("reclamo_id"), r"\s*[-/]\s*", "-").alias("reclamo_id"), day.alias("f"))
-    orphan = tasks.where("f is not null").join(table(spark, d, "reclamos_clean", ["reclamo_id"]), "reclamo_id", "left_anti")
+    tasks = table(spark, d, "tramites_tareas").select("tarea_row_id", orphans.pair_key(F.col("reclamo_id")).alias("k"), day.alias("f"))
+    claims = table(spark, d, "reclamos_clean", ["reclamo_id"]).select(orphans.pair_key(F.col("reclamo_id")).alias("k"))
+    orphan = tasks.where("f is not null").join(claims, "k", "left_anti")
     rows = tasks.where("f is null").withColumn("motivo_exclusion", F.lit("fecha_invalida")).unionByName(orphan.withColumn("motivo_exclusion", F.lit("huerfana")))
     return rows.select("tarea_row_id", "motivo_exclusion")
 

@@ -1,13 +1,17 @@
 """Queries over values, spellings and sizes that the smallest test data lacks."""
 
 import datetime as dt
+import os
+from pathlib import Path
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from tesela.operators import panel
 
 D0 = dt.date(2021, 1, 1)
+DATA = os.environ.get("TESELA_TEST_DATA", "/root/testdata/sf0.001")
 
 
 def stored(spark, folder, name, data, schema):
@@ -21,3 +25,24 @@ def test_depot_pivot_counts_every_depot(spark, tmp_path):
     assert [r.asDict() for r in got] == [{"zona_id": "Z1", "fecha": D0} | {f"reclamos_sd{k:05d}": k for k in range(1, 8)}]
     with pytest.raises(ValueError):
         panel.present_values(spark.createDataFrame(data, "z string, d date, s string"), "s", 7)
+
+
+def test_tasks_orphans_reads_all_spellings(spark, tmp_path):
+    names = ["1000649-1", "0001000649-01", " 1000649 - 1 ", "1000649/1", "1000649.0-1.0", "1000649–1", "<NA>-<NA>", "S/N", "", None, "1000649", "1000649-2", "1000649-1"]
+    days = ["2021-02-09"] * 12 + ["09/02/2021"]
+    stored(spark, tmp_path, "tramites_tareas", [(i, n, f) for i, (n, f) in enumerate(zip(names, days))], "tarea_row_id bigint, reclamo_id string, fecha string")
+    stored(spark, tmp_path, "reclamos_clean", [("1000649-1",), ("1000649-1",), ("<NA>-<NA>",)], "reclamo_id string")
+    got = entry.queries()["tasks_orphans"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, "huerfana") for i in range(6, 12)] + [(12, "fecha_invalida")]
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+def test_tasks_orphans_against_numbers_in_sql(spark):
+    """The query's own twin compares texts; here the two numbers are compared."""
+    tasks, claims = f"'{DATA}/tramites_tareas.parquet'", f"'{DATA}/reclamos_clean.parquet'"
+    want = duckdb.sql(
+        f"with t as (select tarea_row_id, try_strptime(fecha, '%Y-%m-%d') as f, string_split(regexp_replace(reclamo_id, '[/_\u2010-\u2015\u2212]', '-', 'g'), '-') as p from {tasks}), "
+        "n as (select tarea_row_id, f, case when len(p) = 2 then try_cast(trim(p[1]) as decimal(18,1)) end as a, case when len(p) = 2 then try_cast(trim(p[2]) as decimal(18,1)) end as b from t) "
+        f"select tarea_row_id, case when f is null then 'fecha_invalida' else 'huerfana' end from n where f is null or not exists (select 1 from {claims} c where c.numero_tramite = n.a and c.numero_orden = n.b)"
+    ).fetchall()
+    assert sorted(map(tuple, entry.queries()["tasks_orphans"](spark, DATA).collect())) == sorted(want)
