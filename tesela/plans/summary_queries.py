@@ -316,6 +316,18 @@ def metric_by_date(spark, d):
     return explore.by_date(explore_filtered(spark, d), "reclamos_count")
 
 
+@query("select count(*) as filas, count(distinct zona_id) as zonas, cast(sum(reclamos_count) as bigint) as reclamos from zona_diario_base")
+def explore_kpis_whole(spark, d):
+    """Rows, zones and claims of the whole table, every load of a day counted."""
+    return explore.kpis(explore.filtered(table(spark, d, "zona_diario_base", ["zona_id", "reclamos_count"])))
+
+
+@query("select fecha, cast(sum(reclamos_count) as bigint) as valor from zona_diario_base group by fecha")
+def metric_by_date_whole(spark, d):
+    """Claims per day over the whole table, every load of a day counted."""
+    return explore.by_date(explore.filtered(table(spark, d, "zona_diario_base", ["fecha", "reclamos_count"])), "reclamos_count")
+
+
 @query("with g as (select zona_id, min(destino_key) as nombre from zonas_clusterizadas where zona_id is not null group by zona_id) select distinct b.zona_id, case when b.zona_id = 'Z00-0001' then 'Centro' else coalesce(g.nombre, b.zona_id) end as nombre from zona_diario_base b left join g on b.zona_id = g.zona_id")
 def zone_names(spark, d):
     """A name per zone: override, else destination, else the id."""

@@ -46,3 +46,12 @@ def test_tasks_orphans_against_numbers_in_sql(spark):
         f"select tarea_row_id, case when f is null then 'fecha_invalida' else 'huerfana' end from n where f is null or not exists (select 1 from {claims} c where c.numero_tramite = n.a and c.numero_orden = n.b)"
     ).fetchall()
     assert sorted(map(tuple, entry.queries()["tasks_orphans"](spark, DATA).collect())) == sorted(want)
+
+
+def test_exploration_totals_take_every_zone_and_day(spark, tmp_path):
+    data = [(f"Z{z:02d}-0001", D0 + dt.timedelta(400 * k), z + k, k % 2 == 0) for z in range(5) for k in range(4)] + [("Z09-0001", D0, None, None)]
+    stored(spark, tmp_path, "zona_diario_base", data, "zona_id string, fecha date, reclamos_count bigint, llovio boolean")
+    q = entry.queries()
+    assert tuple(q["explore_kpis_whole"](spark, str(tmp_path)).first()) == (21, 6, 70)
+    got = q["metric_by_date_whole"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(D0 + dt.timedelta(400 * k), 10 + 5 * k) for k in range(4)]
