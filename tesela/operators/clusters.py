@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesela.operators.proximity import EARTH_M, great_circle_m
 from tesela.operators.ranking import ordered
-from tesela.runtime import ready_workers
+from tesela.runtime import ready_workers, salted_lookup
 
 
 def _km(lat: np.ndarray, lon: np.ndarray, la: float, lo: float) -> np.ndarray:
@@ -62,19 +62,63 @@ def bounded_zones(destinos: DataFrame, diameter_km: float = 5.0, tile_deg: float
     return placed.join(weight, ["tile", "local"]).select("destino_id", F.format_string("zona_%04d", "_n").alias("zona"))
 
 
+def _outline(lat: np.ndarray, lon: np.ndarray, la: float, lo: float) -> np.ndarray:
+    """Places of the convex hull's vertices, seen from ``la, lo`` where every great circle is a straight line."""
+    if len(lat) < 3:
+        return np.arange(len(lat))
+    f, f0, turn = np.radians(lat), np.radians(la), np.radians(lon - lo)
+    # from half angles, so that points close to each other keep their digits
+    north = np.sin(f - f0) + 2 * np.sin(f0) * np.cos(f) * np.sin(turn / 2) ** 2
+    front = np.cos(f - f0) - 2 * np.cos(f0) * np.cos(f) * np.sin(turn / 2) ** 2
+    x, y = np.cos(f) * np.sin(turn) / front, north / front
+    order = np.lexsort((y, x)).tolist()
+    xs, ys = x.tolist(), y.tolist()
+    kept: set[int] = set()
+    for walk in (order, order[::-1]):
+        chain: list[int] = []
+        for k in walk:
+            while len(chain) > 1 and (xs[chain[-1]] - xs[chain[-2]]) * (ys[k] - ys[chain[-2]]) <= (ys[chain[-1]] - ys[chain[-2]]) * (xs[k] - xs[chain[-2]]):
+                chain.pop()
+            chain.append(k)
+        kept.update(chain)
+    return np.array(sorted(kept))
+
+
+def _outlines(batches):
+    """The outline points of each zone of a partition, from frames ``z, destino_id, lat, lon, la, lo``; only outlines stay in memory."""
+    left = None
+    for pdf in batches:
+        whole = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
+        parts = [g.iloc[_outline(g.lat.to_numpy(), g.lon.to_numpy(), g.la.iat[0], g.lo.iat[0])] for _, g in whole.groupby("z", sort=False)]
+        left = pd.concat(parts, ignore_index=True) if parts else None
+    if left is not None:
+        yield left
+
+
 def zone_diameters(points: DataFrame, zone: str, exact_up_to: int = 250) -> DataFrame:
-    """``zone, puntos, diametro_km``: the greatest distance in a zone, exact up to ``exact_up_to`` points, else by two farthest-point sweeps."""
+    """``zone, puntos, diametro_km``: the greatest distance in a zone, exact at every size.
+
+    Of a zone with more than ``exact_up_to`` points only the vertices of its convex hull are compared, found per partition
+    and again per zone: within a quarter of the globe's circumference the point farthest from another is such a vertex.
+    A zone with a point more than an eighth of the circumference from its first compares all its points.
+    """
     p = points.select(F.col(zone).alias("z"), "destino_id", "lat", "lon").dropna().dropDuplicates(["z", "destino_id"])
     sizes = p.groupBy("z").agg(F.count(F.lit(1)).alias("puntos"), F.min(F.struct("destino_id", "lat", "lon")).alias("_a"))
-    few = p.join(sizes.where(F.col("puntos") <= exact_up_to).select("z"), "z", "left_semi")
+    small = p.join(sizes.where(F.col("puntos") <= exact_up_to).select("z"), "z", "left_semi")
+    of_zone = lambda rows, zones: salted_lookup(rows, zones, ["z"], "inner", spread=F.xxhash64("destino_id"))
+    large = of_zone(p, sizes.where(F.col("puntos") > exact_up_to).select("z", F.col("_a.lat").alias("la"), F.col("_a.lon").alias("lo")))
+    reach = large.groupBy("z").agg(F.max(great_circle_m(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"))).alias("_m"))
+    near = F.col("_m") < EARTH_M * np.pi / 4
+    wide = of_zone(large, reach.where(~near).select("z")).drop("la", "lo")
+    ready_workers(points.sparkSession)
+    held = of_zone(large, reach.where(near).select("z"))
+    parts = held.mapInPandas(_outlines, held.schema)
+    outline = parts.groupBy("z").applyInPandas(lambda g: g.iloc[_outline(g.lat.to_numpy(), g.lon.to_numpy(), g.la.iat[0], g.lo.iat[0])], held.schema).drop("la", "lo")
+    few = small.unionByName(wide).unionByName(outline)
     pairs = few.join(few.select("z", F.col("destino_id").alias("id_b"), F.col("lat").alias("lb"), F.col("lon").alias("ob")), "z").where("destino_id < id_b")
     km = great_circle_m(F.col("lat"), F.col("lon"), F.col("lb"), F.col("ob")) / 1000
     exact = pairs.groupBy("z").agg(F.max(km).alias("d"))
-    many = p.join(sizes.where(F.col("puntos") > exact_up_to).select("z", "_a"), "z")
-    sweep = lambda df: df.withColumn("_m", great_circle_m(F.col("_a.lat"), F.col("_a.lon"), F.col("lat"), F.col("lon")))
-    far = sweep(many).groupBy("z").agg(F.max_by(F.struct("destino_id", "lat", "lon"), F.struct("_m", "destino_id")).alias("_a"))
-    estimate = sweep(p.join(far, "z")).groupBy("z").agg((F.max("_m") / 1000).alias("d"))
-    return sizes.join(exact.unionByName(estimate), "z", "left").select(F.col("z").alias(zone), "puntos", F.coalesce("d", F.lit(0.0)).alias("diametro_km"))
+    return sizes.join(exact, "z", "left").select(F.col("z").alias(zone), "puntos", F.coalesce("d", F.lit(0.0)).alias("diametro_km"))
 
 
 def zone_geometry(points: DataFrame, zone: str, weight: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 import datetime as dt
 import os
+import random
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from tesela.operators import panel
+from tesela.operators import clusters, panel
 
 D0 = dt.date(2021, 1, 1)
 DATA = os.environ.get("TESELA_TEST_DATA", "/root/testdata/sf0.001")
@@ -55,3 +57,23 @@ def test_exploration_totals_take_every_zone_and_day(spark, tmp_path):
     assert tuple(q["explore_kpis_whole"](spark, str(tmp_path)).first()) == (21, 6, 70)
     got = q["metric_by_date_whole"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(D0 + dt.timedelta(400 * k), 10 + 5 * k) for k in range(4)]
+
+
+def test_zone_diameters_are_exact_at_every_size(spark):
+    rng = random.Random(3)
+    shapes = {
+        "triangle": [(-29 + 0.02 * k, -56.0) for k in (0, 1)] + [(-28.99, -55.98)] + [(-28.99 + rng.uniform(-1e-3, 1e-3), -55.995 + rng.uniform(-1e-3, 1e-3)) for _ in range(400)],
+        "square": [(-29 + rng.uniform(0, 0.05), -56 + rng.uniform(0, 0.05)) for _ in range(600)],
+        "date line": [(10 + rng.uniform(-3, 3), (179 + rng.uniform(0, 4) + 180) % 360 - 180) for _ in range(400)],
+        "globe": [(rng.uniform(-80, 80), rng.uniform(-180, 180)) for _ in range(300)],
+        "one place": [(-29.0, -56.0)] * 300,
+        "line": [(0.0, 0.001 * k) for k in range(300)],
+        "few": [(-29.0, -56.0), (-29.01, -56.0)],
+    }
+    data = [(z, i, la, lo) for z, at in shapes.items() for i, (la, lo) in enumerate(at)]
+    points = spark.createDataFrame(data, "zona string, destino_id bigint, lat double, lon double").repartition(5)
+    got = {r.zona: (r.puntos, r.diametro_km) for r in clusters.zone_diameters(points, "zona").collect()}
+    for z, at in shapes.items():
+        la, lo = np.array(at).T
+        want = max(float(clusters._km(la, lo, a, o).max()) for a, o in at)
+        assert got[z] == (len(at), pytest.approx(want, rel=1e-9, abs=1e-9)), z
