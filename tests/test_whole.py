@@ -11,6 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tesela.operators import clusters, panel
+from tesela.operators.spikes import peaks_over_threshold
 
 D0 = dt.date(2021, 1, 1)
 DATA = os.environ.get("TESELA_TEST_DATA", "/root/testdata/sf0.001")
@@ -77,3 +78,12 @@ def test_zone_diameters_are_exact_at_every_size(spark):
         la, lo = np.array(at).T
         want = max(float(clusters._km(la, lo, a, o).max()) for a, o in at)
         assert got[z] == (len(at), pytest.approx(want, rel=1e-9, abs=1e-9)), z
+
+
+def test_peak_thresholds_are_exact_quantiles(spark):
+    rng = np.random.default_rng(9)
+    value = rng.lognormal(0, 0.3, 30_000)
+    df = spark.createDataFrame([(i, "x", 1, float(v)) for i, v in enumerate(value)], "id int, s string, m int, v double")
+    row = peaks_over_threshold(df, "id", "s", "m", "v", 0.5, True).select("lower", "upper").first()
+    residual = np.log(value / np.median(value))
+    assert [row.lower, row.upper] == pytest.approx(np.quantile(residual, [0.1, 0.9]).tolist(), abs=1e-9)
