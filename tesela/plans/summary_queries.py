@@ -125,6 +125,15 @@ def quality_profile(spark, d):
     return profiles.quality_profile(table(spark, d, "reclamos_zonificados", _Q))
 
 
+_QW = {"reclamo_id": "string", "fecha_reclamo": "timestamp_ntz", "destino_key": "string", "sede_id": "string", "servicio_normalizado": "string", "localidad": "string", "zona_id": "string", "fecha": "date", "distance_km": "double", "traslado_min": "double", "resolucion_base_min": "double", "costo_operativo_ars": "double", "costo_total_compuesto_ars": "double"}
+
+
+@query(" union all ".join(f"select '{c}' as columna, '{t}' as tipo, count(*) - count({c}) as nulos, round(cast(count(*) - count({c}) as double) / count(*), 4) as nulos_ratio, count(distinct {c}) as distintos from reclamos_zonificados" for c, t in _QW.items()))
+def quality_profile_whole(spark, d):
+    """Type, nulls and distinct values of every column that the table has."""
+    return profiles.quality_profile(table(spark, d, "reclamos_zonificados"))
+
+
 _N = ["distance_km", "traslado_min", "resolucion_base_min"]
 
 

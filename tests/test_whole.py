@@ -87,3 +87,9 @@ def test_peak_thresholds_are_exact_quantiles(spark):
     row = peaks_over_threshold(df, "id", "s", "m", "v", 0.5, True).select("lower", "upper").first()
     residual = np.log(value / np.median(value))
     assert [row.lower, row.upper] == pytest.approx(np.quantile(residual, [0.1, 0.9]).tolist(), abs=1e-9)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+def test_quality_profile_takes_every_column(spark):
+    columns = spark.read.parquet(f"{DATA}/reclamos_zonificados.parquet").columns
+    assert sorted(r.columna for r in entry.queries()["quality_profile_whole"](spark, DATA).collect()) == sorted(columns)
