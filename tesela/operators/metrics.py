@@ -86,3 +86,35 @@ def silhouette_squared(df: DataFrame, row: str, vector: str, cluster: str) -> Da
     a = own["g"] * own["n"] / (own["n"] - 1)
     b = F.array_min(F.transform(F.filter("_g", lambda t: t["c"] != F.col("_own")), lambda t: t["g"]))
     return rows.select(row, F.when(own["n"] == 1, 0.0).otherwise((b - a) / F.greatest(a, b)).alias("silueta"))
+
+
+def silhouette_euclidean(df: DataFrame, row: str, vector: str, cluster: str, block: int = 500) -> DataFrame:
+    """``row, silueta`` per point with euclidean distance, every pair of points compared, in pairs of blocks of about ``block`` rows.
+
+    Rows without a vector or cluster are left out; a point of a cluster of one, or with all distances zero, has 0, and where
+    there is only one cluster it is null. Time grows with the square of the rows.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def distances(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for ids, xs, labels, ys in zip(pdf["ids"], pdf["xs"], pdf["labels"], pdf["ys"]):
+            x, y = np.asarray(xs).reshape(len(ids), -1), np.asarray(ys).reshape(len(labels), -1)
+            names, place = np.unique(labels, return_inverse=True)
+            sums = np.array([np.bincount(place, np.sqrt(((y - v) ** 2).sum(axis=1)), len(names)) for v in x])
+            out.append(pd.DataFrame({"_id": np.repeat(ids, len(names)), "_c": np.tile(names, len(ids)), "_d": sums.ravel()}))
+        return pd.concat(out)
+
+    rows = df.select(F.col(row).cast("bigint").alias("_id"), F.col(cluster).cast("bigint").alias("_own"), F.transform(F.col(vector), lambda v: v.cast("double")).alias("_x")).dropna()
+    blocks = rows.groupBy(F.pmod(F.xxhash64("_id"), F.lit(max(1, -(-rows.count() // block)))).alias("_b")).agg(F.collect_list(F.struct("_id", "_own", "_x")).alias("_r"))
+    part = lambda f: F.transform("_r", lambda r: r[f])
+    left = blocks.select(F.col("_b").alias("_a"), part("_id").alias("ids"), F.flatten(part("_x")).alias("xs"))
+    right = blocks.select("_b", part("_own").alias("labels"), F.flatten(part("_x")).alias("ys"))
+    sums = left.crossJoin(right).groupBy("_a", "_b").applyInPandas(distances, "_id bigint, _c bigint, _d double").groupBy("_id", "_c").agg(F.sum("_d").alias("_d"))
+    sizes = rows.groupBy(F.col("_own").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    each = sums.join(sizes, "_c").join(rows.select("_id", "_own"), "_id")
+    own = F.col("_c") == F.col("_own")
+    ab = each.groupBy("_id").agg(F.max(F.when(own, F.col("_n"))).alias("_n"), F.max(F.when(own, F.try_divide(F.col("_d"), F.col("_n") - 1))).alias("_in"), F.min(F.when(~own, F.col("_d") / F.col("_n"))).alias("_out"))
+    value = F.coalesce(F.try_divide(F.col("_out") - F.col("_in"), F.greatest("_in", "_out")), F.lit(0.0))
+    return ab.select(F.col("_id").alias(row), F.when(F.col("_out").isNotNull(), F.when(F.col("_n") == 1, 0.0).otherwise(value)).alias("silueta"))

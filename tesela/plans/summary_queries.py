@@ -505,3 +505,13 @@ def service_map(spark, d):
 
 
 QUERIES, ORACLES = query.QUERIES, query.ORACLES
+
+
+@query(
+    "with e as (select vec_id, label, cast(embedding as double[]) as x from embeddings), n as (select label, count(*) as n from e group by 1), s as (select a.vec_id, a.label as own, b.label as c, sum(list_distance(a.x, b.x)) as d from e a cross join e b group by 1, 2, 3), "
+    "m as (select vec_id, max(n) filter (where c = own) as k, max(d / nullif(n - 1, 0)) filter (where c = own) as i, min(d / n) filter (where c != own) as o from s join n on n.label = s.c group by 1) "
+    "select vec_id, round(case when o is not null then case when k = 1 then 0.0 else coalesce((o - i) / nullif(greatest(i, o), 0), 0) end end, 6) as silueta from m"
+)
+def silhouette_exact(spark, d):
+    """Silhouette per vector with euclidean distance."""
+    return metrics.silhouette_euclidean(table(spark, d, "embeddings"), "vec_id", "embedding", "label").select("vec_id", F.round("silueta", 6).alias("silueta"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from tesela.operators import clusters, panel
+from tesela.operators import clusters, metrics, panel
 from tesela.operators.spikes import peaks_over_threshold
 
 D0 = dt.date(2021, 1, 1)
@@ -93,3 +93,17 @@ def test_peak_thresholds_are_exact_quantiles(spark):
 def test_quality_profile_takes_every_column(spark):
     columns = spark.read.parquet(f"{DATA}/reclamos_zonificados.parquet").columns
     assert sorted(r.columna for r in entry.queries()["quality_profile_whole"](spark, DATA).collect()) == sorted(columns)
+
+
+def test_silhouette_euclidean(spark):
+    rng = np.random.default_rng(4)
+    x, own = rng.normal(size=(60, 3)), [i % 3 for i in range(59)] + [7]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {}
+    for i, c in enumerate(own):
+        mean = {k: d[i, [j for j in range(60) if own[j] == k and j != i]].mean() for k in set(own) if k != c or own.count(c) > 1}
+        b = min(v for k, v in mean.items() if k != c)
+        want[i] = (b - mean[c]) / max(mean[c], b) if c in mean else 0.0
+    df = spark.createDataFrame([(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, own))], "id bigint, v array<double>, c int")
+    got = {r.id: r.silueta for r in metrics.silhouette_euclidean(df, "id", "v", "c", 16).collect()}
+    assert got == pytest.approx(want)
