@@ -37,7 +37,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_near(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with 12 consecutive words within one word edit of an item's."""
+    """Documents with 11 to 13 consecutive words within one word edit of 12 of an item, and the least number of edits."""
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "items_eval"))
 
 
@@ -68,4 +68,21 @@ with w as (
 ), g as (select kind, id, array_to_string(ws[k:k + 11], ' ') as s from (select kind, id, ws, unnest(range(1, len(ws) - 10)) as k from w where len(ws) >= 12))
 select distinct a.id as doc_id, b.id as item_id from g a join g b on a.kind = 'd' and b.kind = 'i' and a.s = b.s"""
 
-ORACLES = {"p2_found": _P2, "p9_found": _P9}
+# one edit apart: equal without the same word, or one is the other without a word
+_P9_NEAR = r"""
+with w as (
+  select 'd' as kind, doc_id as id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') as ws from documents where text is not null
+  union all select 'i', item_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') from items_eval where text is not null
+), n as (select kind, id, n, unnest(list_transform(range(1, greatest(len(ws) - n + 2, 1)), lambda k: ws[k:k + n - 1])) as g from w, (values (11), (12), (13)) as l(n) where kind = 'd' or n = 12),
+g as (select distinct * from n),
+x as (
+  select kind, id, 0 as ediciones, 'todas ' || array_to_string(g, ' ') as s from g where n = 12
+  union all select kind, id, 1, 'sin ' || k || ' ' || array_to_string(list_concat(g[:k - 1], g[k + 1:]), ' ') from g, range(1, 13) as r(k) where n = 12
+  union all select kind, id, 1, 'corta ' || array_to_string(list_concat(g[:k - 1], g[k + 1:]), ' ') from g, range(1, 13) as r(k) where kind = 'i'
+  union all select kind, id, 1, 'corta ' || array_to_string(g, ' ') from g where n = 11
+  union all select kind, id, 1, 'larga ' || array_to_string(g, ' ') from g where kind = 'i'
+  union all select kind, id, 1, 'larga ' || array_to_string(list_concat(g[:k - 1], g[k + 1:]), ' ') from g, range(1, 14) as r(k) where n = 13
+)
+select a.id as doc_id, b.id as item_id, min(b.ediciones) as ediciones from x a join x b on a.kind = 'd' and b.kind = 'i' and a.s = b.s group by 1, 2"""
+
+ORACLES = {"p2_found": _P2, "p9_found": _P9, "p9_near": _P9_NEAR}

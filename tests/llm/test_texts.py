@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tesela.llm import leakage, packing
-from tesela.llm.leakage import PassageIndex, edit_distances, leaked_items, words
+from tesela.llm.leakage import PassageIndex, leaked_items, prefix_distances, words
 from tesela.llm.packing import container_fill, pack_documents
 from tesela.llm.splitting import split_documents
 from tesela.llm.tokens import VOCABULARY, encoder
@@ -137,43 +137,99 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string")
     want = brute_leaks(docs, items)
     assert {(r.doc_id, r.item_id) for r in leaked_items(d, i).where("ediciones = 0").collect()} == want and len(want) > 30
-    monkeypatch.setattr(leakage, "ITEMS_PER_BLOCK", 15)
+    monkeypatch.setattr(leakage, "WORDS_PER_BLOCK", 300)
+    monkeypatch.setattr(leakage, "PART_WORDS", 7)
     monkeypatch.setattr(leakage, "BLOCK_WORDS", 500)
     assert {(r.doc_id, r.item_id) for r in leaked_items(d, i).where("ediciones = 0").collect()} == want
     assert leaked_items(d, i.limit(0)).count() == 0 and leaked_items(d.limit(0), i).count() == 0
 
 
-def test_recall_of_windows_one_edit_away():
-    rng = np.random.default_rng(5)
-    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 800, 40))) for i in range(50)]
-    index = PassageIndex(items, 12, 1)
-    pick = rng.integers(0, len(index.windows), 3000)
-    near = index.windows[pick].copy()
-    for row in near:
-        k, kind = rng.integers(0, 12), rng.integers(0, 3)
-        if kind == 0:
-            row[k] = 0
-        elif kind == 1:
-            row[k:-1] = row[k + 1 :]
-        else:
-            row[k + 1 :] = row[k:-1]
-    distance = edit_distances(near, index.windows[pick])
-    truth = {(a, b) for a, b, x in zip(range(len(near)), pick.tolist(), distance) if x <= 1}
-    window, item, _ = index.search(near)
-    found = set(zip(window.tolist(), item.tolist()))
-    assert len(truth & found) / len(truth) > 0.9
-
-
-def test_edit_distance():
-    def slow(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
 
+
+def brute_near(docs, items, size=12):
+    # one edit leaves half of the window as it was, at one end or the other
+    halves, out = defaultdict(set), {}
+    for i, t in items:
+        w = words(t)
+        for k in range(len(w) - size + 1):
+            g = tuple(w[k : k + size])
+            halves[g[:6]].add((i, g))
+            halves[g[-6:]].add((i, g))
+    for d, t in docs:
+        w = words(t)
+        for n in (size - 1, size, size + 1):
+            for k in range(len(w) - n + 1):
+                own = w[k : k + n]
+                for i, g in halves[tuple(own[:6])] | halves[tuple(own[-6:])]:
+                    e = distance(own, g)
+                    if e <= 1:
+                        out[d, i] = min(e, out.get((d, i), 1))
+    return out
+
+
+def edited(rng, passage, kind):
+    k, out = rng.randrange(1, len(passage) - 1), list(passage)
+    if kind == "substitution":
+        out[k] = "ajena"
+    elif kind == "insertion":
+        out.insert(k, rng.choice(["ajena", passage[k]]))
+    else:
+        del out[k]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["substitution", "insertion", "deletion"])
+def test_recall_in_running_text(spark, kind):
+    rng = random.Random(17)
+    vocab = [f"pal{i}" for i in range(400)]
+    items = [(i, rng.choices(vocab, k=40)) for i in range(60)]
+    docs = []
+    for d in range(400):
+        source = items[rng.randrange(60)][1]
+        a = rng.randrange(len(source) - 12)
+        part = edited(rng, source[a : a + 12], kind)
+        around = rng.choices([*vocab, *(f"otra{k}" for k in range(400))], k=rng.randrange(0, 60))
+        k = rng.randrange(len(around) + 1)
+        docs.append((d, " ".join(around[:k] + part + around[k:])))
+    truth = brute_near(docs, [(i, " ".join(w)) for i, w in items])
+    assert len(truth) >= 400
+    df = spark.createDataFrame([(d, t, 0) for d, t in docs], DOCS).repartition(4)
+    got = {(r.doc_id, r.item_id): r.ediciones for r in leaked_items(df, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")).collect()}
+    assert got.items() <= truth.items()
+    assert len(got) >= 0.95 * len(truth)
+
+
+def test_near_passages_at_the_rims_of_texts(spark):
+    passage = [f"p{k}" for k in range(12)]
+    docs = [(1, passage), (2, passage[1:]), (3, passage[:-1]), (4, passage[1:-1]), (5, passage[:5] + ["x"] + passage[5:]), (6, passage[:5] + ["x", "y"] + passage[5:]), (7, passage[:-1] + ["x"]), (8, ["z"]), (9, passage[6:]), (10, passage[:6])]
+    got = {r.doc_id: r.ediciones for r in leaked_items(spark.createDataFrame([(d, " ".join(w), 0) for d, w in docs], DOCS).coalesce(1), spark.createDataFrame([(1, " ".join(passage))], "item_id bigint, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 5: 1, 7: 1}
+
+
+def test_windows_of_many_owners_are_kept_once():
+    same = [f"w{k}" for k in range(14)]
+    index = PassageIndex([(i, same) for i in range(50)], 12, 1)
+    assert len(index.windows) == 3 and len(index.owners) == 150
+
+
+def test_prefix_distances():
     rng = np.random.default_rng(1)
-    a, b = rng.integers(0, 4, (200, 9)), rng.integers(0, 4, (200, 9))
-    assert edit_distances(a, b).tolist() == [slow(x, y) for x, y in zip(a.tolist(), b.tolist())]
+    for edits in (0, 1, 2):
+        symbols = rng.integers(0, 3, 400)
+        edge, way = rng.integers(20, 380, 200), 1
+        for way in (1, -1):
+            room = rng.integers(5, 12, 200)
+            a = np.stack([symbols[e : e + way * 8 : way] for e in edge])
+            a[np.arange(200), rng.integers(0, 8, 200)] = rng.integers(0, 3, 200)
+            got = prefix_distances(a, symbols, edge, way, room, edits)
+            for row, e, r, g in zip(a.tolist(), edge.tolist(), room.tolist(), got.tolist()):
+                lengths = [n for n in range(8 - edits, 9 + edits) if n <= r]
+                assert g == min([edits + 1, *(distance(row, symbols[e : e + way * n : way].tolist()) for n in lengths)])
