@@ -67,18 +67,17 @@ def cut_block(texts: list[bytes], tokens: list[np.ndarray], lengths: np.ndarray,
     text_of = np.minimum(np.searchsorted(tok0, np.arange(len(at)), "right") - 1, len(texts) - 1)
 
     def cramped() -> np.ndarray:
-        """The texts with a stretch without soft places that is too long to always find one."""
+        """The boundaries inside a stretch without soft places that is too long to always find one; texts are stretches of their own."""
         soft = np.flatnonzero(kind >= 0)
-        out = np.zeros(len(texts), bool)
-        out[text_of[soft[np.flatnonzero(np.diff(soft) > (capacity - overlap) // 2)]]] = True
-        return out
-
-    hard = cramped()
-    after_sign = np.append(False, _SIGN[raw])[at] & (kind == -1) & hard[text_of]
-    kind[after_sign] = 0  # bodies without blanks: words also end at signs
-    hard = cramped()  # texts that need cuts inside words
-    is_node = kind >= 0
-    is_node[places[hard[text_of[places]]]] = True
+        long = np.flatnonzero(np.diff(soft) > (capacity - overlap) // 2)
+        step = np.zeros(len(kind) + 1, np.int32)
+        step[soft[long] + 1] += 1
+        step[soft[long + 1]] -= 1
+        return np.cumsum(step[:-1]) > 0
+
+    after_sign = np.append(False, _SIGN[raw])[at] & (kind == -1) & cramped()
+    kind[after_sign] = 0  # in a stretch without blanks words also end at signs
+    is_node = (kind >= 0) | ((kind == -1) & cramped())  # a stretch without signs needs cuts inside words
     nodes = np.flatnonzero(is_node)
     is_start = is_edge[nodes]
     text_end = end_of[np.minimum(nodes, len(end_of) - 1)]
@@ -124,7 +123,8 @@ def split_documents(documents: DataFrame, capacity: int, overlap: int, vocabular
     A piece has at most ``capacity`` tokens; each but a text's first begins ``overlap`` tokens before the end of the one before it,
     or as many more as keep a character whole. It ends at the farthest paragraph end in its second half, else line
     end, else sentence end, else at its farthest word end, and only inside a word that alone exceeds the room
-    (``corte`` names which, ``final`` is the text's end). Null, empty and short texts give no rows; repeated texts and ids
+    (``corte`` names which, ``final`` is the text's end). Where blanks lie more than half of the room apart, words between them
+    also end at signs; this holds for that stretch alone, so no cut depends on what follows behind it. Null, empty and short texts give no rows; repeated texts and ids
     are cut each for itself. Tokens are those of the whole text.
     """
     if not 0 <= overlap <= capacity // 2 or capacity < 16:

@@ -9,7 +9,7 @@ import pytest
 from tesela.llm import leakage, packing
 from tesela.llm.leakage import PassageIndex, leaked_items, prefix_distances, words
 from tesela.llm.packing import container_fill, pack_documents
-from tesela.llm.splitting import split_documents
+from tesela.llm.splitting import cut_block, split_documents
 from tesela.llm.tokens import VOCABULARY, encoder
 
 DOCS = "doc_id bigint, text string, ventana bigint"
@@ -98,6 +98,26 @@ def test_sentences_end_where_they_end(spark):
     assert all(p.texto.endswith("18.") for p in pieces if p.corte == "oracion") and any(p.corte == "oracion" for p in pieces)
 
 
+BEFORE = ["word,word " * 12, "linea uno\n" * 40, "Una frase. Otra frase corta. " * 20, "a;b" * 90 + " fin. ", "x" * 120 + " y,z " * 30]
+AFTER = ["x" * 60, "y,z" * 200, "palabra " * 90, "漢字" * 80, "."]
+
+
+@pytest.mark.parametrize("before", BEFORE)
+def test_what_follows_a_paragraph_does_not_move_its_cuts(before):
+    encoding, lengths = encoder(VOCABULARY)
+
+    def cuts(text):
+        tokens = np.array(encoding.encode_ordinary(text))
+        return cut_block([text.encode()], [tokens], lengths, 40, 4)[4].tolist()
+
+    plain = cuts(before + "\n\n" + "fin " * 40)
+    kept = [c for c in plain if c < len(before.encode()) - 200]
+    for after in AFTER:
+        assert cuts(before + "\n\n" + after + " fin" * 40)[: len(kept)] == kept
+    together = cut_block([t.encode() for t in (before, AFTER[0], before)], [np.array(encoding.encode_ordinary(t)) for t in (before, AFTER[0], before)], lengths, 40, 4)
+    assert together[4][together[0] == 0].tolist() == together[4][together[0] == 2].tolist() == cuts(before)
+
+
 def brute_leaks(docs, items, size=12):
     grams = defaultdict(set)
     for i, t in items:
