@@ -120,3 +120,15 @@ def container_fill(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: containers, tokens, and the share of space left unused."""
     each = packed.groupBy("contenedor").agg(F.sum(F.col("tok_fin") - F.col("tok_ini")).alias("n"))
     return each.agg(F.count(F.lit(1)).alias("contenedores"), F.sum("n").alias("tokens"), F.max("n").alias("mayor"), (F.lit(1.0) - F.sum("n") / (F.count(F.lit(1)) * capacity)).alias("libre"))
+
+
+def container_checks(packed: DataFrame, documents: DataFrame, capacity: int) -> DataFrame:
+    """``control, valor``: documents packed, documents left out, containers beyond ``capacity``, pieces that don't follow on each other, and documents cut although they would fit."""
+    size = F.col("tok_fin") - F.col("tok_ini")
+    over = packed.groupBy("contenedor").agg(F.sum(size).alias("n")).where(F.col("n") > capacity)
+    each = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("piezas"), F.max("pieza").alias("ultima"), F.sum(size).alias("suma"), F.max("tok_fin").alias("fin"))
+    lost = documents.select("doc_id").where("doc_id is not null").join(each, "doc_id", "left_anti")
+    named = lambda name, df: df.agg(F.lit(name).alias("control"), F.count(F.lit(1)).alias("valor"))
+    parts = [("documentos", each), ("perdidos", lost), ("excedidos", over), ("con_huecos", each.where("suma != fin or ultima != piezas - 1")), ("cortados_sin_motivo", each.where((F.col("piezas") > 1) & (F.col("fin") <= capacity)))]
+    out = [named(n, df) for n, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesela.llm import groups, leakage, packing, splitting
+from tesela.runtime import cut
 from tesela.sources.tables import table
 
 
@@ -31,6 +32,11 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(p8_containers(spark, d), _limit(spark, d, "contenedor")[0])
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers, counted."""
+    return packing.container_checks(cut(p8_containers(spark, d)), table(spark, d, "documents"), _limit(spark, d, "contenedor")[0])
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that contain 12 or more consecutive words of an item: the verified candidates without an edit."""
     return p9_near(spark, d).where("ediciones = 0").select("doc_id", "item_id")
@@ -46,7 +52,12 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(table(spark, d, "documents"), *_limit(spark, d, "pieza"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p8_containers, p8_fill, p9_found, p9_near, p10_pieces)}
+def p10_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the pieces, counted."""
+    return splitting.piece_checks(p10_pieces(spark, d), table(spark, d, "documents"), *_limit(spark, d, "pieza"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p8_containers, p8_fill, p8_check, p9_found, p9_near, p10_pieces, p10_check)}
 
 _P2 = """
 with recursive d as (select distinct destino_id as id from zonas_clusterizadas where destino_id is not null),
@@ -85,4 +96,8 @@ x as (
 )
 select a.id as doc_id, b.id as item_id, min(b.ediciones) as ediciones from x a join x b on a.kind = 'd' and b.kind = 'i' and a.s = b.s group by 1, 2"""
 
-ORACLES = {"p2_found": _P2, "p9_found": _P9, "p9_near": _P9_NEAR}
+_none = lambda *names: "".join(f" union all select '{n}', 0" for n in names)
+_P8_CHECK = "select 'documentos' as control, count(distinct doc_id) as valor from documents" + _none("perdidos", "excedidos", "con_huecos", "cortados_sin_motivo")
+_P10_CHECK = "select 'excedidas' as control, 0::bigint as valor" + _none("solapes_distintos", "sin_principio_o_fin", "ajenas")
+
+ORACLES = {"p2_found": _P2, "p8_check": _P8_CHECK, "p9_found": _P9, "p9_near": _P9_NEAR, "p10_check": _P10_CHECK}

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesela.llm.tokens import VOCABULARY, encoder
 from tesela.runtime import ready_workers
@@ -159,3 +161,15 @@ def split_documents(documents: DataFrame, capacity: int, overlap: int, vocabular
             yield flush()
 
     return documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, "doc_id bigint, pieza int, tok_ini int, tok_fin int, corte string, texto string")
+
+
+def piece_checks(pieces: DataFrame, documents: DataFrame, capacity: int, overlap: int) -> DataFrame:
+    """``control, valor``: pieces beyond ``capacity``, pieces that don't share ``overlap`` tokens (up to three more) with the one before, texts that don't begin or end with their document, and texts that aren't part of it."""
+    along = Window.partitionBy("doc_id").orderBy("pieza")  # a document's pieces, which one row held before
+    shared = F.lag("tok_fin").over(along) - F.col("tok_ini")
+    rows = pieces.select("*", shared.alias("_shared"), F.lead("pieza").over(along).isNull().alias("_last")).join(documents.select("doc_id", "text"), "doc_id", "left")
+    whole = F.coalesce(F.instr("text", F.col("texto")) > 0, F.lit(False))
+    ends = F.when(F.col("pieza") == 0, F.startswith("text", "texto")).otherwise(True) & F.when(F.col("_last"), F.endswith("text", "texto")).otherwise(True)
+    checks = {"excedidas": F.col("tok_fin") - F.col("tok_ini") > capacity, "solapes_distintos": (F.col("pieza") > 0) & ~F.col("_shared").between(overlap, overlap + 3), "sin_principio_o_fin": ~F.coalesce(ends, F.lit(False)), "ajenas": ~whole}
+    one = rows.agg(*[F.count_if(c).alias(n) for n, c in checks.items()])
+    return one.unpivot([], list(checks), "control", "valor")
