@@ -22,6 +22,8 @@ from tesela.runtime import cut, ready_workers
 
 #: Windows open at a time in a partition; leftover windows taken by one task of a merging round.
 OPEN_WINDOWS, MERGED_TOGETHER = 64, 20_000
+#: Rows of closed windows given out at a time; besides them a task holds only the rows of its open windows.
+FRAME_ROWS = 10_000
 
 
 class Packer:
@@ -30,22 +32,36 @@ class Packer:
     def __init__(self, capacity: int, open_windows: int, first: int):
         self.capacity, self.open_windows, self.next = capacity, open_windows, first
         self.room: list[tuple[int, int]] = []  # (free, id), ascending
-        self.closed: set[int] = set()
+        self.held: dict[int, list[tuple]] = {}  # rows of the open windows
+        self.done: list[tuple] = []  # rows of windows closed since the last frame
 
-    def place(self, size: int) -> int:
+    def _close(self, window: int) -> None:
+        self.done += [(*row, window, True) for row in self.held.pop(window)]
+
+    def place(self, size: int, row: tuple) -> None:
+        """Put an item of ``size`` into the window where it leaves least space, and keep its ``row`` there."""
         at = bisect_left(self.room, (size, -1))
         if at < len(self.room):
             free, window = self.room.pop(at)
         else:
             if len(self.room) == self.open_windows:
-                self.closed.add(self.room.pop(0)[1])
+                self._close(self.room.pop(0)[1])
             free, window = self.capacity, self.next
             self.next += 1
+            self.held[window] = []
+        self.held[window].append(row)
         if free > size:
             insort(self.room, (free - size, window))
         else:
-            self.closed.add(window)
-        return window
+            self._close(window)
+
+    def frames(self, columns: list[str], last: bool = False) -> Iterator[pd.DataFrame]:
+        """A frame of the rows of closed windows, once there are enough or ``last``, when those of the open windows come too; adds the window and whether it is closed."""
+        if last:
+            self.done += [(*row, w, False) for w, rows in self.held.items() for row in rows]
+        if self.done and (last or len(self.done) >= FRAME_ROWS):
+            yield pd.DataFrame(self.done, columns=columns)
+            self.done = []
 
 
 def _first_id() -> int:
@@ -56,13 +72,12 @@ def _pack(df: DataFrame, capacity: int, open_windows: int) -> DataFrame:
     """Pack the rows ``ventana, usado`` of each partition: adds ``a``, the window taken, and ``cerrada``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer, rows = Packer(capacity, open_windows, _first_id()), []
+        packer, columns = Packer(capacity, open_windows, _first_id()), ["ventana", "usado", "a", "cerrada"]
         for batch in batches:
-            rows += [(v, u, packer.place(u)) for v, u in zip(batch.ventana.tolist(), batch.usado.tolist())]
-        if rows:
-            out = pd.DataFrame(rows, columns=["ventana", "usado", "a"])
-            out["cerrada"] = out.a.isin(packer.closed)
-            yield out
+            for v, u in zip(batch.ventana.tolist(), batch.usado.tolist()):
+                packer.place(u, (v, u))
+            yield from packer.frames(columns)
+        yield from packer.frames(columns, last=True)
 
     return df.mapInPandas(run, "ventana bigint, usado bigint, a bigint, cerrada boolean")
 
@@ -80,7 +95,7 @@ def pack_documents(documents: DataFrame, capacity: int, vocabulary: str = VOCABU
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding, lengths = encoder(vocabulary)
-        packer, out = Packer(capacity, open_windows, _first_id()), []
+        packer, columns = Packer(capacity, open_windows, _first_id()), ["doc_id", "pieza", "tok_ini", "tok_fin", "ventana", "cerrada"]
         for batch in batches:
             for doc, text in zip(batch.doc_id.tolist(), batch.text.tolist()):
                 tokens = encoding.encode_ordinary(text) if text else []
@@ -93,11 +108,10 @@ def pack_documents(documents: DataFrame, capacity: int, vocabulary: str = VOCABU
                     while cuts[-1] < len(tokens):
                         far = whole[np.searchsorted(whole, cuts[-1] + capacity, "right") - 1]
                         cuts.append(int(far) if far > cuts[-1] else cuts[-1] + capacity)
-                out += [(doc, i, a, b, packer.place(b - a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-        if out:
-            rows = pd.DataFrame(out, columns=["doc_id", "pieza", "tok_ini", "tok_fin", "ventana"])
-            rows["cerrada"] = rows.ventana.isin(packer.closed)
-            yield rows
+                for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    packer.place(b - a, (doc, i, a, b))
+            yield from packer.frames(columns)
+        yield from packer.frames(columns, last=True)
 
     packed = cut(documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, "doc_id bigint, pieza int, tok_ini int, tok_fin int, ventana bigint, cerrada boolean"))
     done = packed.where("cerrada")
