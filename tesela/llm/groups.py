@@ -1,6 +1,6 @@
 """Pairwise matches to groups by low-diameter decomposition.
 
-Each level lets clusters grow from exponentially shifted start times for a few hops, contracts every cluster
+Each level lets clusters grow from exponentially shifted start times until every node is reached, contracts every cluster
 to one vertex, and recurses on the edges between clusters; the assignments are composed at the end. Edges,
 labels and results are tables of the cluster; the driver sees only row counts.
 """
@@ -26,47 +26,74 @@ def _meet(links: DataFrame, end: str, other: str, nodes: DataFrame, hot: list) -
     return left.join(right, [end, "_salt"]).drop("_salt")
 
 
-def low_diameter_groups(edges: DataFrame, beta: float = 0.02, hops: int = 4, max_levels: int = 200) -> DataFrame:
+def _hot_ends(links: DataFrame, total: int) -> list:
+    """The nodes whose links must be spread; at most 10,000 can have more than a ten-thousandth of all."""
+    if total <= HOT_LINKS:
+        return []
+    bound = max(HOT_LINKS, total // 10_000)
+    return [r[0] for r in links.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > bound).select("a").collect()]
+
+
+def looped(edges: DataFrame) -> DataFrame:
+    """``a, b``: each edge both ways and once, and for each node a link to itself, which carries its own state over from hop to hop."""
+    ways = F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")])).alias("w")
+    return edges.select(ways).select("w.a", "w.b").distinct()
+
+
+def grow_clusters(links: DataFrame, beta: float, seed: int = 0, hot: list | None = None, hops_at_once: int = 6) -> DataFrame:
+    """``node, label``: the low-diameter decomposition of the graph of ``links`` (see ``looped``).
+
+    A node starts a cluster ``Exp(beta)`` hops early and takes the label of whoever reaches it first, so an edge is cut with a
+    probability of at most ``1 - exp(-beta)`` and a cluster's radius is logarithmic in the number of nodes. Growth goes on until nothing changes; in each
+    hop only nodes that were reached earlier than before go on to their neighbours. A centre always keeps its own label.
+    """
+    start = lambda c: F.ln((F.pmod(F.xxhash64(F.lit(seed), c), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)) / beta
+    self = F.col("a") == F.col("b")
+
+    def hop(messages: DataFrame) -> DataFrame:
+        """``node, at, label, moved`` from ``a, b, at, label``: the earliest of a node's own state and what its neighbours offer a hop later."""
+        best = F.min(F.struct(F.when(self, F.col("at")).otherwise(F.col("at") + 1).alias("at"), "label")).alias("first")
+        state = messages.groupBy(F.col("b").alias("node")).agg(best, F.max(F.when(self, F.col("at"))).alias("_own"))
+        return state.select("node", F.col("first.at").alias("at"), F.col("first.label").alias("label"), (F.col("first.at") < F.col("_own")).alias("moved"))
+
+    # starts are a function of the node, so the first hop needs no join
+    state = hop(links.select("a", "b", start(F.col("a")).alias("at"), F.col("a").alias("label")))
+    while True:
+        for _ in range(hops_at_once):
+            state = hop(_meet(links, "a", "b", state, hot or []).where(self | F.col("moved")))  # only moved nodes go on to their neighbours
+        state = cut(state)
+        if state.where("moved").isEmpty():
+            return state.select("node", "label")
+
+
+def low_diameter_groups(edges: DataFrame, beta: float = 0.4, max_levels: int = 200) -> DataFrame:
     """``node, root``: equal roots for exactly those nodes that the edges ``a, b`` link directly or indirectly.
 
     Null ends, self-pairs and repeated edges are ignored; nodes without an edge to another node don't appear. An
-    empty input gives no rows. Links of hot nodes are salted; the joins that compose labels, where only the side of the
-    members can be skewed, are left to adaptive skew joins. A node starts growing a cluster ``Exp(beta)`` hops early; after ``hops`` hops each
-    node has the label of the earliest reacher, and a label that itself carries another label is kept
-    linked to it, so stopping early loses no link. Each level shrinks the nodes by a constant factor in expectation.
+    empty input gives no rows. Links of hot nodes, and members of hot clusters when labels are composed, are salted. Each level leaves at
+    most a share of ``1 - exp(-beta)`` of the edges in expectation; ``beta`` is halved from level to level, down to 0.1, as contracted
+    graphs are narrow and larger clusters then save levels.
     """
     one = edges.select("a", "b").where("a is not null and b is not null and a != b")
-    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("w")
-    both = lambda e: e.select(ways).select("w.a", "w.b").distinct()
-    links = cut(both(one))
-    labels: list[DataFrame] = []
-    while True:
-        degree = cut(links.groupBy("a").agg(F.count(F.lit(1)).alias("_k")))
-        total, most = degree.agg(F.coalesce(F.sum("_k"), F.lit(0)), F.coalesce(F.max("_k"), F.lit(0))).first()
-        if not total:
-            break
+    links = cut(looped(one))
+    labels: list[tuple[DataFrame, int]] = []
+    while total := links.count():
         if len(labels) == max_levels:
             raise RuntimeError(f"no end after {max_levels} levels")
-        uniform = (F.pmod(F.xxhash64(F.lit(len(labels)), F.col("a")), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
-        state = degree.select(F.col("a").alias("node"), F.struct((F.ln(uniform) / beta).alias("at"), F.col("a").alias("label")).alias("first"))
-        bound = max(HOT_LINKS, total // 10_000)  # at most 10,000 nodes can pass the second number
-        hot = [r[0] for r in degree.where(F.col("_k") > bound).select("a").collect()] if most > bound else []
-        for _ in range(hops):
-            reached = _meet(links, "a", "b", state, hot).select(F.col("b").alias("node"), F.struct((F.col("first.at") + 1).alias("at"), F.col("first.label").alias("label")).alias("first"))
-            state = reached.unionByName(state).groupBy("node").agg(F.min("first").alias("first"))
-        label = cut(state.select("node", F.col("first.label").alias("label")))
-        labels.append(label)
+        hot = _hot_ends(links, total)
+        label = grow_clusters(links, max(0.1, beta / 2 ** len(labels)), len(labels), hot)
+        labels.append((label, total))
         half = _meet(links.where("a < b"), "a", "b", label.withColumnRenamed("label", "la"), hot)
         between = _meet(half, "b", "a", label.withColumnRenamed("label", "lb"), hot).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        moved = label.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-        between = between.unionByName(moved.join(label.select(F.col("label").alias("a")).distinct(), "a", "left_semi"))
-        links = cut(both(between.where("a != b")))
+        links = cut(looped(between.where("a != b")))
     if not labels:
         return one.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
-    out = labels[-1].select("node", F.col("label").alias("root"))
-    for label in reversed(labels[:-1]):
+    out = labels[-1][0].select("node", F.col("label").alias("root"))
+    for label, total in reversed(labels[:-1]):
         higher = out.select(F.col("node").alias("label"), "root")
-        out = label.join(higher, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
+        # a cluster's members all meet its one row, so hot clusters are spread by member
+        parts = salted_lookup(label, higher, ["label"], spread=F.xxhash64("node")) if total > HOT_LINKS else label.join(higher, "label", "left")
+        out = parts.select("node", F.coalesce("root", "label").alias("root"))
     return out
 
 
@@ -78,13 +105,13 @@ def territorial_groups(zonas: DataFrame, pares: DataFrame, zonificados: DataFram
     """
     known = zonas.where("destino_id is not null").select("destino_id").distinct()
     matched = pares.where(F.lower(F.regexp_replace("decision", "^[\\s\\u00a0]+|[\\s\\u00a0]+$", "")) == "match").select(F.col("destino_a").alias("a"), F.col("destino_b").alias("b"))
-    pairs = zonas.select(F.col("destino_id").alias("a"), F.col("cluster_root").alias("b")).unionByName(matched).where("a != b").distinct()
+    pairs = zonas.select(F.col("destino_id").alias("a"), F.col("cluster_root").alias("b")).unionByName(matched).where("a != b")
     for end in ("a", "b"):
         pairs = pairs.join(known.withColumnRenamed("destino_id", end), end, "left_semi")
     pairs = pairs.select(F.concat(F.lit("d"), F.col("a").cast("string")).alias("a"), F.concat(F.lit("d"), F.col("b").cast("string")).alias("b"))
-    carried = zonificados.where("zona_id is not null").select("reclamo_id", F.concat(F.lit("z"), "zona_id").alias("b")).distinct()
+    carried = zonificados.where("zona_id is not null").select("reclamo_id", F.concat(F.lit("z"), "zona_id").alias("b"))
     several = carried.where("reclamo_id is not null").groupBy("reclamo_id").agg(F.min("b").alias("a"), F.max("b").alias("_last")).where("a != _last").select("reclamo_id", "a")
-    shared = carried.join(several, "reclamo_id").where("a != b").select("a", "b").distinct()
+    shared = carried.join(several, "reclamo_id").where("a != b").select("a", "b")
     groups = low_diameter_groups(pairs.unionByName(shared))
     groups = groups.withColumn("_number", F.when(F.col("node").startswith("d"), F.substring("node", 2, 30)).try_cast("bigint"))
     least = groups.groupBy("root").agg(F.min("_number").alias("_n"), F.min("node").alias("_t"))

@@ -1,11 +1,12 @@
 """Groups against union-find."""
 
+import math
 import random
 
 import pytest
 
 from tesela.llm import groups
-from tesela.llm.groups import low_diameter_groups, territorial_groups
+from tesela.llm.groups import grow_clusters, looped, low_diameter_groups, territorial_groups
 
 
 def components(edges):
@@ -46,6 +47,21 @@ def test_components(spark, monkeypatch, name, edges, hot):
     assert {frozenset(v) for v in got.values()} == components(edges)
 
 
+def test_the_share_of_cut_edges_falls_with_beta(spark):
+    side = 25
+    at = lambda i, j: i * side + j
+    edges = [(at(i, j), at(i + 1, j)) for i in range(side - 1) for j in range(side)] + [(at(i, j), at(i, j + 1)) for i in range(side) for j in range(side - 1)]
+    links = looped(spark.createDataFrame(edges, "a bigint, b bigint"))
+    shares = []
+    for beta in (0.1, 0.4, 1.6):
+        label = {r.node: r.label for r in grow_clusters(links, beta).collect()}
+        assert len(label) == side * side and all(label[x] == x for x in set(label.values()))
+        shares.append(sum(label[a] != label[b] for a, b in edges) / len(edges))
+        assert shares[-1] <= 1.2 * (1 - math.exp(-beta)) + 0.02
+        assert len(components([(a, b) for a, b in edges if label[a] == label[b]])) == len({x for x in label.values() if sum(v == x for v in label.values()) > 1})
+    assert shares[0] < shares[1] < shares[2]
+
+
 def test_territorial(spark):
     zones = spark.createDataFrame([(10, 9), (9, 9), (9, 9), (8, None), (7, 999), (100, 7), (None, 7)], "destino_id bigint, cluster_root bigint")
     pairs = spark.createDataFrame([(8, 10, " MATCH "), (8, 7, "no_match"), (8, 555, "match"), (555, 7, "match"), (8, 8, "match"), (7, 100, None)], "destino_a bigint, destino_b bigint, decision string")
