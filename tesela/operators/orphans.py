@@ -2,15 +2,16 @@
 
 Keys of references and parents get integers from one dictionary, numbered in key order inside range
 partitions, so that neighbours share a word. A bitmap is kept as its non-empty 64-bit words, one row
-each: per word and period for the references, per word and month of first load for the parents. The
-AND-NOT of the two leaves the bits of references that had no living parent when their period began;
-only those are decoded and looked at row by row.
+each: per word and period for the references, per word and month of first load for the parents, whose bits
+are added up from month to month. The AND-NOT of the two leaves the bits of references that had no living
+parent when their period began; only those are decoded and looked at row by row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesela.runtime import cut, salted_lookup
 
@@ -51,13 +52,11 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     codes = cut(used.select("campo", "key").unionByName(owners.select("campo", "key")).repartitionByRange("campo", "key").dropDuplicates(["campo", "key"]).sortWithinPartitions("campo", "key").withColumn("id", F.monotonically_increasing_id()))
     asked = _bits(used.join(codes, ["campo", "key"]).select("id", "p"), "p")
     alive = _bits(owners.where("not gone and first_loaded is not null").join(codes, ["campo", "key"]).select("id", F.date_format("first_loaded", "yyyy-MM").alias("since")), "since")
-    left = (
-        asked.join(alive.withColumnRenamed("bits", "have"), "word", "left")
-        .groupBy("word", "p", "bits")
-        .agg(F.bit_or(F.when(F.col("since") < F.col("p"), F.col("have"))).alias("have"))
-        .select("word", "p", F.expr("bits & ~coalesce(have, 0L)").alias("bits"))
-        .where("bits != 0")
-    )
+    # along the months of a word the parents' bits add up; a month's references come before the parents it loads
+    months = asked.select("word", F.col("p").alias("month"), F.lit(0).alias("side"), "bits").unionByName(alive.select("word", F.col("since").alias("month"), F.lit(1).alias("side"), "bits"))
+    upto = Window.partitionBy("word").orderBy("month", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    months = months.withColumn("have", F.bit_or(F.when(F.col("side") == 1, F.col("bits"))).over(upto)).where("side = 0")
+    left = months.select("word", F.col("month").alias("p"), F.expr("bits & ~coalesce(have, 0L)").alias("bits")).where("bits != 0")
     places = F.explode(F.expr("filter(sequence(0, 63), x -> (shiftrightunsigned(bits, x) & 1L) = 1L)"))
     decoded = left.select("p", "word", places.alias("place")).select("p", (F.col("word") * 64 + F.col("place")).alias("id"))
     suspects = decoded.join(codes, "id").join(owners, ["campo", "key"], "left").select("campo", "key", "p", F.col("gone").isNotNull().alias("known"), "gone", "first_loaded")
