@@ -15,21 +15,26 @@ def latest_version(df: DataFrame, entity: str, day: str, version: str, values: l
     return rows.groupBy(entity, day).agg(F.max(F.struct(F.col(version), *values)).alias("_latest")).select(entity, day, *[f"_latest.{v}" for v in values])
 
 
-def trailing_totals(daily: DataFrame, entity: str, day: str, values: list[str], windows: tuple[int, ...] = (7, 30)) -> DataFrame:
+def trailing_totals(daily: DataFrame, entity: str, day: str, values: list[str], windows: tuple[int, ...] = (7, 30), block_days: int = 64) -> DataFrame:
     """Totals of integer ``values`` over the days ending at each calendar day of an entity, from its first to its last day.
 
-    Adds ``<value>_<w>`` for each window. Each active day is put on every date it influences, the contributions
-    are summed per entity and date (pre-aggregated before the shuffle), and the calendar, joined on,
-    adds the dates that nothing influences. Absent days and nulls count as 0. ``daily`` has one row per entity and day.
+    Adds ``<value>_<w>`` for each window. Active days and the entity's calendar go, each once per block of ``block_days`` that it reaches
+    into, to the task of that entity and block. There each active day is put on every date of the block that it influences, and the
+    contributions are summed per entity and date together with the calendar's rows, which give the zeros; so the
+    exploded rows are never shuffled. Absent days and nulls count as 0. ``daily`` has one row per entity and day.
     """
     longest = max(windows)
+    block = lambda d: F.floor(F.unix_date(d) / block_days)
     active = daily.where(" or ".join(f"coalesce(`{v}`, 0) != 0" for v in values))
-    spread = active.select(entity, F.posexplode(F.sequence(F.col(day), F.date_add(day, longest - 1))).alias("_lag", "_on"), *values)
-    sums = spread.groupBy(entity, F.col("_on").alias(day)).agg(*[F.sum(F.when(F.col("_lag") < w, F.coalesce(F.col(v), F.lit(0)))).alias(f"{v}_{w}") for v in values for w in windows])
-    span = daily.groupBy(entity).agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
-    calendar = span.select(entity, "_first", F.explode(F.sequence("_first", "_last")).alias(day))
-    names = [f"{v}_{w}" for v in values for w in windows]
-    return calendar.join(sums, [entity, day], "left").select(entity, day, F.datediff(day, "_first").alias("dia_nro"), *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in names])
+    totals = active.select(F.col(entity).alias("_e"), F.col(day).alias("_from"), F.date_add(day, longest - 1).alias("_to"), F.lit(None).cast("date").alias("_first"), *[F.col(v).cast("bigint").alias(f"_v{i}") for i, v in enumerate(values)])
+    span = daily.groupBy(F.col(entity).alias("_e")).agg(F.min(day).alias("_from"), F.max(day).alias("_to"))
+    calendar = span.select("_e", "_from", "_to", F.col("_from").alias("_first"), *[F.lit(None).cast("bigint").alias(f"_v{i}") for i in range(len(values))])
+    placed = totals.unionByName(calendar).withColumn("_block", F.explode(F.sequence(block(F.col("_from")), block(F.col("_to"))))).repartition("_e", "_block")
+    since, until = F.greatest("_from", F.date_from_unix_date((F.col("_block") * block_days).cast("int"))), F.least("_to", F.date_from_unix_date((F.col("_block") * block_days + block_days - 1).cast("int")))
+    spread = placed.withColumn("_on", F.explode(F.sequence(since, until))).withColumn("_lag", F.when(F.col("_first").isNull(), F.datediff("_on", "_from")))
+    sums = [F.sum(F.when(F.col("_lag") < w, F.coalesce(F.col(f"_v{i}"), F.lit(0))).otherwise(0)).alias(f"{v}_{w}") for i, v in enumerate(values) for w in windows]
+    out = spread.groupBy("_e", "_block", "_on").agg(F.max("_first").alias("_first"), *sums).where("_first is not null")  # only days of the calendar
+    return out.select(F.col("_e").alias(entity), F.col("_on").alias(day), F.datediff("_on", "_first").alias("dia_nro"), *[f"{v}_{w}" for v in values for w in windows])
 
 
 def zone_daily(zona_diario: DataFrame) -> DataFrame:
