@@ -33,10 +33,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_tails(spark: SparkSession, d: str) -> DataFrame:
-    """Tail cutoffs at a risk of one in a thousand: per gauge and depot, readings, level, peaks and readings beyond."""
-    rain = spikes.tail_cutoffs(spikes.rain_readings(table(spark, d, "rainfall_manual_recovered_months")).where("valor <= 1825"), "mes", "valor", 0.9, False)
-    routes = spikes.tail_cutoffs(spikes.route_answers(table(spark, d, "distancias_cache")), "hora", "ritmo", 0.5, True)
-    return rain.unionByName(routes)
+    """Every possible reading with its seasonal residual, the tail cutoffs of its gauge or depot at a risk of one in a thousand, and whether it lies beyond them."""
+    rain = spikes.tail_readings(spikes.rain_readings(table(spark, d, "rainfall_manual_recovered_months")).where("valor <= 1825"), "mes", "valor", 0.9, False)
+    routes = spikes.tail_readings(spikes.possible_answers(spikes.route_answers(table(spark, d, "distancias_cache"))), "hora", "ritmo", 0.5, True)
+    both = rain.withColumn("tabla", F.lit("rainfall_manual_recovered_months")).unionByName(routes.withColumn("tabla", F.lit("distancias_cache")))
+    return both.withColumns({c: F.round(c, 6) for c in ("residuo", "corte_bajo", "corte_alto")})
+
+
+def p4_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Readings, peaks and readings beyond the tail cutoffs per gauge and depot."""
+    return spikes.tail_cutoffs(p4_tails(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,11 +66,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_filled(spark: SparkSession, d: str) -> DataFrame:
-    """All rain rows with their filled values and marks."""
-    return filling.fill_rain(table(spark, d, "lluvia_diaria_clean"))
+    """All rain rows with their present or filled values and marks."""
+    return filling.fill_rain(table(spark, d, "lluvia_diaria_clean")).withColumn("mm_llena", F.round("mm_llena", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_counts, p4_found, p4_tails, p5_found, p5_trailing, p6_found, p7_found, p7_filled)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_counts, p4_found, p4_tails, p4_sources, p5_found, p5_trailing, p6_found, p7_found, p7_filled)}
 
 _P3 = r"""
 with r as (
@@ -108,6 +114,45 @@ rutas as (
 )
 select * from lluvia where clase is not null union all select * from rutas where clase is not null"""
 
+_LN2 = "0.6931471805599453"
+
+
+def _tails(name: str, rows: str, p: float, two_sided: bool) -> str:
+    """CTEs ``<name>_t`` of the tail cutoffs of ``rows(fila, fuente, temporada, v)`` by the moment fit, in plain SQL."""
+
+    def past(side: str) -> str:
+        k, m, v, share = f"{side}k", f"{side}m", f"{side}v", f"(0.001 * n / {side}k)"
+        shape, scale = f"((1 - {m} * {m} / {v}) / 2)", f"({m} * ({m} * {m} / {v} + 1) / 2)"
+        return f"case when {k} = 0 then 0.0 when {k} < 2 or {v} <= 1e-12 or {share} >= 1 then {m} when abs({shape}) < 1e-6 then -{scale} * ln({share}) else {scale} / {shape} * (pow({share}, -{shape}) - 1) end"
+
+    low = f"greatest(-{_LN2}, round(quantile_cont(res, 0.1), 9))" if two_sided else "cast(null as double)"
+    sides = ", ".join(f"count(*) filter (where {x} > 0) as {s}k, avg({x}) filter (where {x} > 0) as {s}m, var_samp({x}) filter (where {x} > 0) as {s}v" for s, x in (("h", "(res - alto)"), ("l", "(bajo - res)")))
+    return f"""{name}_n as (select fuente, quantile_cont(v, {p}) as nivel from {rows} group by fuente),
+{name}_w as (select r.*, ln(v / nivel) as w from {rows} r join {name}_n n on r.fuente = n.fuente),
+{name}_s as (select fuente, temporada, sum(w) as s, count(*) as k from {name}_w group by fuente, temporada),
+{name}_m as (select fuente, sum(s) / sum(k) as media from {name}_s group by fuente),
+{name}_r as (
+  select w.fila, w.fuente, round(w.w - greatest(-{_LN2}, least({_LN2}, s.s / s.k - m.media)), 9) as res
+  from {name}_w w join {name}_s s on w.fuente = s.fuente and w.temporada is not distinct from s.temporada join {name}_m m on w.fuente = m.fuente
+), {name}_u as (select fuente, least({_LN2}, round(quantile_cont(res, 0.9), 9)) as alto, {low} as bajo from {name}_r group by fuente),
+{name}_x as (select r.*, alto, bajo from {name}_r r join {name}_u u on r.fuente = u.fuente),
+{name}_k as (select fuente, count(*) as n, max(alto) as alto, max(bajo) as bajo, {sides} from {name}_x group by fuente),
+{name}_c as (select fuente, round(alto + ({past("h")}), 9) as corte_alto, round(bajo - ({past("l")}), 9) as corte_bajo from {name}_k),
+{name}_t as (
+  select fila, x.fuente, round(res, 6) as residuo, round(corte_bajo, 6) as corte_bajo, round(corte_alto, 6) as corte_alto, res > alto or coalesce(res < bajo, false) as pico, res > corte_alto or coalesce(res < corte_bajo, false) as fuera
+  from {name}_x x join {name}_c c on x.fuente = c.fuente
+)"""
+
+
+_P4_TAILS = (
+    _P4[: _P4.index("\nselect * from lluvia")]
+    + ", a as (select row_idx as fila, pluviometro as fuente, month(f) as temporada, v from ok where not mal and v > 0 and pluviometro is not null)"
+    + ", b as (select cache_row_id as fila, sede_id as fuente, hour(try_cast(requested_at as timestamptz) at time zone 'UTC') as temporada, duration_s / distance_m as v from r where not mal and duration_s / distance_m > 0 and sede_id is not null), "
+    + _tails("a", "a", 0.9, False)
+    + ", "
+    + _tails("b", "b", 0.5, True)
+)
+
 _P5 = """
 with v as (
   select zona_id, fecha, arg_max({'r': coalesce(reclamos_count, 0), 'c': cast(round(coalesce(costo_total_compuesto_ars, 0) * 100) as bigint), 'l': cast(round(coalesce(lluvia_mm, 0) * 10) as bigint)}, cargado_en) as x
@@ -147,10 +192,65 @@ g as (select distinct c.row_id, c.campo from cells c join have h on c.campo = h.
 t as (select distinct c.row_id, c.campo from cells c join have h on c.campo = h.campo and c.pluviometro = h.pluviometro and abs(date_diff('day', c.fecha, h.fecha)) <= 3 where not c.hay)
 select row_id, campo, case when max(k) = 2 then 'grupo' else 'tiempo' end as via from (select row_id, campo, 2 as k from g union all select row_id, campo, 1 from t) group by row_id, campo"""
 
+_BIN = "case when {v} is null then -1 " + " ".join(f"when {{v}} <= {e} then {i}" for i, e in enumerate(filling.BIN_ENDS)) + f" else {len(filling.BIN_ENDS)} end"
+_ST = "case " + " ".join(f"when {{s}} = '{s}' then {i}" for i, s in enumerate(filling.STATUSES)) + " end"
+_ST_NAME = "case {x} " + " ".join(f"when {i} then '{s}'" for i, s in enumerate(filling.STATUSES)) + " end"
+_NEAR = "case when b{c} is null or a{c} is null then coalesce(bv{c}, av{c}) when f - b{c} = a{c} - f then {tie} when f - b{c} < a{c} - f then bv{c} else av{c} end"
+# evidence as in the operator; the tree's edges are those without a better way round; posteriors by summing the tree's joint over all 13,824 states
+_P7_FILLED = f"""
+with recursive r as (
+  select row_id, pluviometro as p, cuenca as g, fecha as f, case when lluvia_mm between 0 and 500 and not isnan(lluvia_mm) then lluvia_mm end as mm, {_ST.format(s="lower(trim(lluvia_status))")} as st from lluvia_diaria_clean
+), d as (select g, p, f, cast(sum(cast(mm as decimal(24,9))) as double) / count(mm) as mm, min(st) as st from r group by g, p, f),
+k as (select g, f, sum(cast(mm as decimal(24,9))) as s, count(mm) as n, count(*) filter (where st = 0) as c0, count(*) filter (where st = 1) as c1, count(*) filter (where st = 2) as c2 from d where g is not null and p is not null and f is not null group by g, f),
+o as (select p, f, cast(sum(cast(mm as decimal(24,9))) as double) / count(mm) as mm, min(st) as st from d where p is not null and f is not null group by p, f),
+w as (
+  select a.p, a.f, {", ".join(f"max(b.f) filter (where b.f < a.f and b.{c} is not null) as b{c}, arg_max(b.{c}, b.f) filter (where b.f < a.f and b.{c} is not null) as bv{c}, min(b.f) filter (where b.f > a.f and b.{c} is not null) as a{c}, arg_min(b.{c}, b.f) filter (where b.f > a.f and b.{c} is not null) as av{c}" for c in ("mm", "st"))}
+  from o a join o b on a.p = b.p and b.f between a.f - 3 and a.f + 3 group by a.p, a.f
+), c as (select p, f, {_NEAR.format(c="mm", tie="(bvmm + avmm) / 2")} as mm, {_NEAR.format(c="st", tie="least(bvst, avst)")} as st from w),
+e as (
+  select r.row_id, r.mm, r.st, case when k.n - cast(d.mm is not null as integer) > 0 then cast(k.s - coalesce(cast(d.mm as decimal(24,9)), 0) as double) / (k.n - cast(d.mm is not null as integer)) end as pmm,
+    k.c0 - coalesce(cast(d.st = 0 as integer), 0) as p0, k.c1 - coalesce(cast(d.st = 1 as integer), 0) as p1, k.c2 - coalesce(cast(d.st = 2 as integer), 0) as p2,
+    case when r.mm is null then coalesce(o.mm, c.mm) else c.mm end as nmm, case when r.st is null then coalesce(o.st, c.st) else c.st end as nst
+  from r left join d on r.g is not distinct from d.g and r.p is not distinct from d.p and r.f is not distinct from d.f left join k on r.g = k.g and r.f = k.f left join o on r.p = o.p and r.f = o.f left join c on r.p = c.p and r.f = c.f
+), v as (
+  select row_id, mm, st, {_BIN.format(v="mm")} as v0, {_BIN.format(v="pmm")} as v1, {_BIN.format(v="nmm")} as v2, coalesce(st, -1) as v3, case when coalesce(p0 + p1 + p2, 0) <= 0 then -1 when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end as v4, coalesce(nst, -1) as v5 from e
+), n as (select *, row_number() over () as id from (select v0, v1, v2, v3, v4, v5, count(*) as n from v group by all)),
+vars(a, k) as (values (0, 8), (1, 8), (2, 8), (3, 3), (4, 3), (5, 3)),
+l as ({" union all ".join(f"select id, n, {i} as a, v{i} as x from n where v{i} >= 0" for i in range(6))}),
+pc as (select i.a, j.a as b, i.x, j.x as y, sum(i.n) as n from l i join l j on i.id = j.id and i.a < j.a group by 1, 2, 3, 4),
+jw as (select i.a, j.a as b, x, y from vars i join vars j on i.a < j.a, range(8) as rx(x), range(8) as ry(y) where x < i.k and y < j.k),
+jn as (select jw.*, 0.1 + coalesce(pc.n, 0) as w from jw left join pc using (a, b, x, y)),
+jp as (select a, b, x, y, cast(w as double) / sum(cast(w as double)) over (partition by a, b) as p from jn),
+mi as (select a, b, round(sum(p * ln(p / (px * py))), 9) as m from (select *, sum(p) over (partition by a, b, x) as px, sum(p) over (partition by a, b, y) as py from jp) group by a, b),
+rk as (select a, b, row_number() over (order by m desc, a, b) as k from mi),
+re as (select k, a as at from rk union select re.k, case when rk.a = re.at then rk.b else rk.a end from re join rk on rk.k < re.k and (rk.a = re.at or rk.b = re.at)),
+tr as (select a, b from rk where not exists (select 1 from re where re.k = rk.k and re.at = rk.b)),
+t2 as (select a, b from tr union all select b, a from tr),
+way as (select t as objetivo, t as nodo, -1 as padre from (values (0), (3)) as x(t) union all select objetivo, t2.b, nodo from way join t2 on t2.a = nodo and t2.b != padre),
+j2 as (select a, b, x, y, p from jp union all select b, a, y, x, p from jp),
+cd as (select a, b, x, y, p / sum(p) over (partition by a, b, x) as p from j2),
+ow as (select a, x, (0.1 + coalesce(sum(n), 0)) as w, coalesce(sum(n), 0) as filas from (select a, x from vars, range(8) as rx(x) where x < k) left join l using (a, x) group by a, x),
+op as (select a, x, filas, cast(w as double) / sum(cast(w as double)) over (partition by a) as p from ow),
+es as (select [s0, s1, s2, s3, s4, s5] as s from range(8) as q0(s0), range(8) as q1(s1), range(8) as q2(s2), range(3) as q3(s3), range(3) as q4(s4), range(3) as q5(s5)),
+lp as (select objetivo, s, exp(sum(ln(cd.p))) as p from es, way join cd on cd.a = way.padre and cd.b = way.nodo and cd.x = s[way.padre + 1] and cd.y = s[way.nodo + 1] where padre >= 0 group by objetivo, s),
+qs as (select objetivo, list_value(v0, v1, v2, v3, v4, v5) as v from n, (values (0), (3)) as x(objetivo) where (objetivo = 0 and v0 < 0 and (v1 >= 0 or v2 >= 0)) or (objetivo = 3 and v3 < 0 and (v4 >= 0 or v5 >= 0))),
+po as (
+  select qs.objetivo, qs.v, lp.s[qs.objetivo + 1] as x, sum(lp.p) as p from qs join lp on qs.objetivo = lp.objetivo
+  and (v[1] < 0 or v[1] = s[1]) and (v[2] < 0 or v[2] = s[2]) and (v[3] < 0 or v[3] = s[3]) and (v[4] < 0 or v[4] = s[4]) and (v[5] < 0 or v[5] = s[5]) and (v[6] < 0 or v[6] = s[6]) group by 1, 2, 3
+), pq as (select po.objetivo, po.v, po.x, po.p * op.p as p, filas from po join op on op.a = po.objetivo and op.x = po.x),
+pn as (select *, round(p / sum(p) over (partition by objetivo, v), 12) as q from pq),
+best as (select objetivo, v, arg_max(x, (q, -x)) filter (where filas > 0) as x from pn group by objetivo, v),
+md as (select v0 as x, quantile_cont(mm, 0.5) as mm from v where v0 >= 0 group by v0)
+select row_id, round(case when v0 >= 0 then v.mm else md.mm end, 6) as mm_llena, case when v0 >= 0 or md.mm is null then null when v1 >= 0 then 'grupo' when v2 >= 0 then 'tiempo' end as mm_via,
+  {_ST_NAME.format(x="case when v3 >= 0 then v3 else b3.x end")} as status_llena, case when v3 >= 0 or b3.x is null then null when v4 >= 0 then 'grupo' when v5 >= 0 then 'tiempo' end as status_via
+from v left join best b0 on b0.objetivo = 0 and b0.v = list_value(v0, v1, v2, v3, v4, v5) left join md on md.x = b0.x left join best b3 on b3.objetivo = 3 and b3.v = list_value(v0, v1, v2, v3, v4, v5)"""
+
 ORACLES = {
     "p3_found": _P3 + " select tarea_row_id, campo, clase, periodo from c where clase is not null",
     "p3_counts": _P3 + " select case when campo = 'reclamo_id' then 'reclamos_clean' else 'tareas_ref' end as tabla, clase, periodo, count(*) as referencias from c where clase is not null group by 1, 2, 3",
     "p4_found": _P4,
+    "p4_tails": _P4_TAILS + " select *, 'rainfall_manual_recovered_months' as tabla from a_t union all select *, 'distancias_cache' from b_t",
+    "p4_sources": _P4_TAILS + " select fuente, count(*) as lecturas, count(*) filter (where pico) as picos, count(*) filter (where fuera) as fuera from (select * from a_t union all select * from b_t) group by fuente",
     "p5_found": _P5
     + "".join(
         f" {'union all ' * bool(k)}select zona_id, strftime(fecha, '%Y-%m-%d') as fecha, '{name}' as campo from t where date_diff('day', a, fecha) >= 29 and 2 * {c}7 > {c}30"
@@ -162,4 +262,5 @@ ORACLES = {
     + " from t",
     "p6_found": _P6,
     "p7_found": _P7,
+    "p7_filled": _P7_FILLED,
 }

@@ -3,7 +3,9 @@
 import datetime as dt
 import random
 
-from tesela.operators.filling import STATUSES, fill_rain, filled_cells
+import numpy as np
+
+from tesela.operators.filling import STATUSES, ChowLiu, fill_missing, fill_rain, filled_cells
 
 SCHEMA = "row_id bigint, pluviometro string, cuenca string, fecha date, lluvia_mm double, observacion_codigo string, lluvia_status string, mm double"
 D0 = dt.date(2021, 1, 1)
@@ -37,6 +39,43 @@ def test_where_from(spark):
     assert fill_rain(spark.createDataFrame(data, SCHEMA).limit(0)).count() == 0
 
 
+def test_posteriors_against_the_joint_of_the_tree():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 3, 3000)
+    b = np.where(rng.random(3000) < 0.7, a, rng.integers(0, 3, 3000))
+    c = np.where(rng.random(3000) < 0.6, b, rng.integers(0, 3, 3000))
+    data = np.stack([a, b, c], 1)
+    count = lambda i, j: [(i, j, x, y, int(((data[:, i] == x) & (data[:, j] == y)).sum())) for x in range(3) for y in range(3)]
+    tree = ChowLiu([3, 3, 3], [r for i, j in ((0, 1), (0, 2), (1, 2)) for r in count(i, j)], [(i, x, int((data[:, i] == x).sum())) for i in range(3) for x in range(3)])
+    assert tree.near == {0: [1], 1: [0, 2], 2: [1]}
+    for row in ([-1, -1, -1], [-1, 1, -1], [-1, -1, 2], [2, 0, 1]):
+        want = np.zeros(3)
+        for x in range(3):
+            for y in range(3):
+                for z in range(3):
+                    if row[1] in (-1, y) and row[2] in (-1, z):
+                        want[x] += tree.own[0][x] * tree.joint[0, 1][x, y] / tree.joint[0, 1][x].sum() * tree.joint[1, 2][y, z] / tree.joint[1, 2][y].sum()
+        assert np.allclose(tree.posterior(0, np.array([row]))[0], want / want.sum())
+
+
+def test_other_fields_than_rain(spark):
+    rng = random.Random(5)
+    data, truth = [], {}
+    for day in range(200):
+        level, kind = rng.choice([2.0, 50.0]), rng.choice(["x", "y", "z"])
+        for g in range(4):
+            i, v = day * 4 + g, level + rng.random()
+            gap, blank = rng.random() < 0.1, rng.random() < 0.1
+            truth[i] = (v if gap else None, kind if blank else None)
+            data.append((i, "g", f"s{g}", D0 + dt.timedelta(day), None if gap else v, None if blank else kind, None))
+    df = spark.createDataFrame(data, "id bigint, zona string, sonda string, dia date, nivel double, clase string, own_nivel int")
+    got = {r.id: r for r in fill_missing(df, "id", "zona", "sonda", "dia", {"nivel": [10.0]}, {"clase": ["x", "y", "z"]}).collect()}
+    assert all(got[i].nivel_via == ("grupo" if v else None) and got[i].clase_via == ("grupo" if c else None) for i, (v, c) in truth.items())
+    assert all(abs(got[i].nivel_llena - v) < 1 for i, (v, _) in truth.items() if v)
+    right = [got[i].clase_llena == c for i, (_, c) in truth.items() if c]
+    assert sum(right) / len(right) > 0.95
+
+
 def test_fills_resemble_the_truth(spark):
     rng = random.Random(3)
     data, truth = [], {}
