@@ -63,8 +63,8 @@ def coordinate(text: Column) -> Column:
 
 
 def composite_key(*parts: Column) -> Column:
-    """Parts joined by ``-``, a null written as ``<NA>``; never null."""
-    return F.concat_ws("-", *[F.coalesce(p.cast("string"), F.lit("<NA>")) for p in parts])
+    """Whole numbers joined by ``-``, one that is none written as ``<NA>``; never null."""
+    return F.concat_ws("-", *[F.coalesce(p.try_cast("bigint").cast("string"), F.lit("<NA>")) for p in parts])
 
 
 def place_key(lat: Column, lon: Column) -> Column:
@@ -160,8 +160,33 @@ def plane_km(lat: Column, lon: Column, ref_lat: float) -> tuple[Column, Column]:
 
 
 def feature_family(name: str) -> str:
-    """Family of a feature by its column name."""
-    for mark, family in (("y_", "target"), ("target", "target"), ("_lag_", "lag"), ("_roll_", "rolling"), ("lluvia", "rain"), ("llovio", "rain"), ("day_of_week", "calendar"), ("month", "calendar"), ("quarter", "calendar"), ("weekend", "calendar"), ("fecha", "calendar"), ("zona", "zone")):
+    """Family of a feature by its column name: the first rule that fits."""
+    if name.startswith("y_"):
+        return "target"
+    for mark, family in (("_lag_", "lag"), ("_roll_", "rolling")):
         if mark in name:
             return family
-    return "operational"
+    if name.startswith("lluvia") or name in ("llovio", "observacion_codigo"):
+        return "weather"
+    if name in ("fecha", "day_of_week", "month", "quarter", "is_weekend", "zona_id", "cluster_root"):
+        return "calendar_or_key"
+    return "zone_or_claims" if name.startswith(("zona_", "reclamos_")) else "base_feature"
+
+
+def title_case(text: Column) -> Column:
+    """First letter of each word upper case, the others lower, single blanks between."""
+    return F.initcap(F.trim(F.regexp_replace(text, "\\s+", " ")))
+
+
+def number_or_error(text: Column) -> Column:
+    """A double; null stays null, and text that is no number raises when the row is read."""
+    v = text.cast("string")
+    number = F.trim(v).try_cast("double")
+    return F.when(v.isNull(), None).when(number.isNotNull(), number).otherwise(F.raise_error(F.concat(F.lit("not a number: "), v)).cast("double"))
+
+
+def run_id(at) -> str:
+    """Name of a run by its UTC time, as ``20250131T235959Z``."""
+    import datetime as dt
+
+    return at.astimezone(dt.timezone.utc).strftime("%Y%m%dT%H%M%SZ")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesela.functions.scalars import composite_key
+
 
 def with_reason(df: DataFrame, rules: list[tuple[str, Column]], out: str = "motivo_exclusion") -> DataFrame:
     """Add the name of the first rule that holds, null for kept rows; a rule that is null does not hold."""
@@ -19,14 +21,15 @@ def claims_with_reason(tramites: DataFrame, since: str = "2021-01-01 00:00:00",
     """Raw claims with id, time, repaired coordinates and ``motivo_exclusion`` (null = kept).
 
     Reasons in order: fecha_invalida, fuera_de_rango, geo_faltante, geo_cero, geo_fuera, duplicado. A claim is a duplicate if an
-    earlier ``row_idx`` has its id, even one that is itself excluded. Only the plain ISO spelling counts as a time here.
+    earlier ``row_idx`` has its id, even one that is itself excluded. Only the plain ISO spelling counts as a time here, as in
+    the rules this follows; ``instants.claim_instants`` is the reader of every spelling.
     """
     south, north, west, east = box
     iso = F.col("dt_inicio").rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$")
     g1, g2 = F.trim("geo1").try_cast("double"), F.trim("geo2").try_cast("double")
     rows = tramites.select(
         "row_idx",
-        F.concat_ws("-", F.coalesce(F.col("numerotramite").try_cast("bigint").cast("string"), F.lit("<NA>")), F.coalesce(F.col("numeroorden").try_cast("bigint").cast("string"), F.lit("<NA>"))).alias("reclamo_id"),
+        composite_key(F.col("numerotramite"), F.col("numeroorden")).alias("reclamo_id"),
         F.when(iso, F.try_to_timestamp("dt_inicio", F.lit("yyyy-MM-dd HH:mm:ss"))).cast("timestamp_ntz").alias("fecha_reclamo"),
         g1.alias("g1"),
         g2.alias("g2"),

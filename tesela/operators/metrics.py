@@ -10,13 +10,14 @@ from tesela.runtime import cut
 
 
 def regression_scores(actual: str, predicted: str) -> list[Column]:
-    """Rows, MAE, RMSE, WMAPE (0 where there is no actual), R2."""
+    """Rows, MAE, RMSE, WMAPE (0 where there is no actual), MAPE (over actuals other than 0), R2."""
     a, e = F.col(actual).cast("double"), F.col(actual).cast("double") - F.col(predicted).cast("double")
     return [
         F.count(e).alias("filas"),
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.coalesce(F.sum(F.abs(e)) / F.nullif(F.sum(F.when(e.isNotNull(), F.abs(a))), F.lit(0.0)), F.lit(0.0)).alias("wmape"),
+        F.avg(F.try_divide(F.abs(e), F.nullif(F.abs(a), F.lit(0.0)))).alias("mape"),
         (1 - F.sum(e * e) / F.nullif(F.var_pop(F.when(e.isNotNull(), a)) * F.count(e), F.lit(0.0))).alias("r2"),
     ]
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesela.operators.metrics import probability_scores, regression_scores
+from tesela.operators.sampling import hundredth
 
 
 def assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -25,7 +26,7 @@ def assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 def split(df: DataFrame, keys: list[str], share: int = 70) -> tuple[DataFrame, DataFrame]:
     """Training and test rows by a hash of ``keys``: the same on every run and at every size."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(100))
+    bucket = hundredth(*keys)
     return df.where(bucket < share), df.where(bucket >= share)
 
 

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesela.functions.scalars import season
+from tesela.operators.ranking import ordered
+from tesela.runtime import cut
+
 #: Sums of the panel: output name, claim column, decimals kept in the exact sum.
-SUMS = {"distance_km_total": "distance_km", "traslado_min_total": "traslado_min", "resolucion_base_min_total": "resolucion_base_min"}
-METRICS = ["reclamos_count", "traslado_min_total", "resolucion_base_min_total"]
+SUMS = {"distance_km_total": "distance_km", "traslado_min_total": "traslado_min", "resolucion_base_min_total": "resolucion_base_min", "costo_operativo_total_ars": "costo_operativo_ars", "costo_total_compuesto_ars": "costo_total_compuesto_ars"}
+METRICS = ["reclamos_count", "tiempo_total_operativo_min", "costo_total_compuesto_ars", "traslado_min_total", "lluvia_mm"]
+TARGETS = {"reclamos": "reclamos_count", "tiempo": "tiempo_total_operativo_min", "costo": "costo_total_compuesto_ars"}
 #: A pivot has a column per value, so at most so many values.
 MOST_PIVOTED = 2_000
 
@@ -19,13 +24,21 @@ def exact_sum(c: str, scale: int = 4) -> Column:
 
 
 def zone_days(claims: DataFrame) -> DataFrame:
-    """Claims per zone and day with distinct counts and sums; claims without a zone are left out."""
-    distinct = {"sedes_unicas": "sede_id", "destinos_unicos": "destino_key", "servicios_unicos": "servicio_normalizado", "localidades_unicas": "localidad"}
-    return (
+    """Claims per zone and day with distinct counts, sums and the mean travel time; claims without a zone are left out."""
+    distinct = {"reclamos_unicos": "reclamo_id", "sedes_unicas": "sede_id", "destinos_unicos": "destino_key", "servicios_unicos": "servicio_normalizado", "localidades_unicas": "localidad"}
+    out = (
         claims.where("zona_id is not null")
         .groupBy("zona_id", "fecha")
-        .agg(F.count(F.lit(1)).alias("reclamos_count"), *[F.count_distinct(c).alias(n) for n, c in distinct.items()], *[exact_sum(c).alias(n) for n, c in SUMS.items()])
+        .agg(F.count(F.lit(1)).alias("reclamos_count"), *[F.count_distinct(c).alias(n) for n, c in distinct.items()], *[exact_sum(c).alias(n) for n, c in SUMS.items()], F.count("traslado_min").alias("_n"))
     )
+    return out.withColumns({"tiempo_total_operativo_min": F.col("traslado_min_total") + F.col("resolucion_base_min_total"), "traslado_min_promedio": F.try_divide("traslado_min_total", "_n")}).drop("_n")
+
+
+def with_rain(panel: DataFrame, rain: DataFrame) -> DataFrame:
+    """Add the day's rain ``fecha, lluvia_mm``, one row per day, to every zone: 0 and status ``missing`` where there is none."""
+    known = F.col("lluvia_mm").isNotNull()
+    out = panel.join(rain, "fecha", "left").withColumn("lluvia_status", F.when(known, "observed").otherwise("missing"))
+    return out.withColumn("lluvia_mm", F.coalesce("lluvia_mm", F.lit(0.0))).withColumn("llovio", F.col("lluvia_mm") > 0)
 
 
 def pivoted_counts(claims: DataFrame, values: list[str], by: str = "sede_id", prefix: str = "reclamos_") -> DataFrame:
@@ -52,7 +65,7 @@ def fixed_calendar(spark, since: str, until: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.lit(since).cast("date"), F.lit(until).cast("date"))).alias("fecha"))
 
 
-def filled_by_name(df: DataFrame, endings: tuple[str, ...] = ("_count", "_total"), starts: tuple[str, ...] = ("reclamos_",)) -> DataFrame:
+def filled_by_name(df: DataFrame, endings: tuple[str, ...] = ("_count", "_total", "_ars", "_unicos", "_promedio", "_operativo_min"), starts: tuple[str, ...] = ("reclamos_",)) -> DataFrame:
     """Nulls to 0 in the numeric columns whose name has one of the endings or starts; others stay null."""
     return df.na.fill(0, [c for c in df.columns if c.endswith(endings) or c.startswith(starts)])
 
@@ -66,7 +79,7 @@ def completed(df: DataFrame, entity: str = "zona_id", day: str = "fecha") -> Dat
 def calendar_features(df: DataFrame, day: str = "fecha") -> DataFrame:
     """Add day of week (Monday 0), month, quarter, season and weekend flag."""
     d = F.col(day)
-    return df.withColumns({"day_of_week": F.weekday(d), "month": F.month(d), "quarter": F.quarter(d), "season": (F.floor((F.month(d) - 1) / 3) + 1).cast("int"), "is_weekend": F.weekday(d).isin(5, 6)})
+    return df.withColumns({"day_of_week": F.weekday(d), "month": F.month(d), "quarter": F.quarter(d), "season": season(d), "is_weekend": F.weekday(d).isin(5, 6)})
 
 
 def trailing_mean(c: str, n: int, least: int, over) -> Column:
@@ -85,11 +98,15 @@ def supervised(df: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
 
 
 def literal_rolling(df: DataFrame, metric: str = "reclamos_count", n: int = 7, least: int = 3) -> DataFrame:
-    """The trailing mean that runs across zone borders, kept for comparison: only the shift is per zone.
+    """The trailing mean of a whole-number ``metric`` that runs across zone borders, kept for comparison: only the shift is per zone.
 
-    The whole frame is one sequence here, so this is for small panels; ``supervised`` is the form that scales.
+    The frame is one sequence in the order of zone and day; running totals of value and count over it, found per range partition, give each row's
+    mean as the difference to the row ``n`` before, so no task holds the whole sequence. ``supervised`` is the form that stays inside zones.
     """
-    lagged = df.select("zona_id", "fecha", F.lag(metric, 1).over(Window.partitionBy("zona_id").orderBy("fecha")).alias("_lag"))
-    w = Window.orderBy("zona_id", "fecha").rowsBetween(-(n - 1), 0)
-    mean = F.when(F.count("_lag").over(w) >= least, F.sum("_lag").over(w) / F.count("_lag").over(w))
-    return lagged.withColumn("media_literal", mean).drop("_lag")
+    lag = F.lag(metric, 1).over(Window.partitionBy("zona_id").orderBy("fecha"))
+    rows = df.select("zona_id", "fecha", lag.cast("bigint").alias("_lag")).select("*", F.coalesce("_lag", F.lit(0)).alias("_v"), F.col("_lag").isNotNull().cast("bigint").alias("_k"))
+    rows = cut(ordered(rows, [F.asc("zona_id"), F.asc("fecha")], "_r", {"_sum": "_v", "_count": "_k"}))
+    earlier = rows.select((F.col("_r") + n).alias("_r"), F.col("_sum").alias("_s0"), F.col("_count").alias("_c0"))
+    both = rows.join(earlier, "_r", "left")
+    total, count = F.col("_sum") - F.coalesce("_s0", F.lit(0)), F.col("_count") - F.coalesce("_c0", F.lit(0))
+    return both.select("zona_id", "fecha", F.when(count >= least, total / count).alias("media_literal"))

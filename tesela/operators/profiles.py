@@ -1,9 +1,14 @@
-"""Profiles of whole tables in one pass each."""
+"""Profiles of whole tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tesela.operators.quantiles import table_quantiles
+from tesela.operators.ranking import mid_ranks
+from tesela.runtime import cut
 
 
 def _unpivoted(row: DataFrame, columns: list[str], parts: list[str]) -> DataFrame:
@@ -11,32 +16,51 @@ def _unpivoted(row: DataFrame, columns: list[str], parts: list[str]) -> DataFram
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), *[F.col(f"`{c}__{p}`").alias(p) for p in parts]) for c in columns])).alias("r")).select("r.*")
 
 
-def quality_profile(df: DataFrame) -> DataFrame:
-    """Per column: type, nulls, null ratio at four decimals, distinct values."""
-    aggs = [f for c in df.columns for f in (F.count_if(F.col(f"`{c}`").isNull()).alias(f"{c}__nulos"), F.count(F.lit(1)).alias(f"{c}__filas"), F.count_distinct(F.col(f"`{c}`")).alias(f"{c}__distintos"))]
+def value_text(df: DataFrame, column: str) -> Column:
+    """A column as text that doesn't depend on the engine: doubles and floats at six decimals."""
+    c = F.col(f"`{column}`")
+    return (c.try_cast("decimal(24,6)") if dict(df.dtypes)[column] in ("double", "float") else c).cast("string")
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``columna, valor, filas`` for every value of each column, null included; counted before the shuffle."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), value_text(df, c).alias("valor")) for c in columns])).alias("x")).select("x.*")
+    return long.groupBy("columna", "valor").agg(F.count(F.lit(1)).alias("filas"))
+
+
+def quality_profile(df: DataFrame, n: int = 5) -> DataFrame:
+    """Per column: type, nulls, null ratio at four decimals, distinct values, and its ``n`` most frequent values with their counts, null written ``<NA>``.
+
+    Everything comes from one count of values; ties of frequent values go by text. Doubles are told apart at six decimals. An empty table gives no rows.
+    """
+    counts = value_counts(df, df.columns)
+    first = first_of(counts, ["columna"], n, F.desc("filas"), F.coalesce("valor", F.lit("<NA>")))
+    shown = F.concat(F.coalesce("valor", F.lit("<NA>")), F.lit(" ("), F.col("filas").cast("string"), F.lit(")"))
+    tops = first.groupBy("columna").agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("puesto", shown.alias("t")))), lambda x: x["t"])).alias("ejemplos"))
+    known = F.col("valor").isNotNull()
+    out = counts.groupBy("columna").agg(F.coalesce(F.sum(F.when(~known, F.col("filas"))), F.lit(0)).alias("nulos"), F.sum("filas").alias("_n"), F.count("valor").alias("distintos"))
     kinds = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
-    out = _unpivoted(df.agg(*aggs), df.columns, ["nulos", "filas", "distintos"])
-    return out.select("columna", F.try_element_at(kinds, "columna").alias("tipo"), "nulos", F.round(F.col("nulos") / F.nullif("filas", F.lit(0)), 4).alias("nulos_ratio"), "distintos")
+    return out.join(tops, "columna").select("columna", F.try_element_at(kinds, "columna").alias("tipo"), "nulos", F.round(F.col("nulos") / F.col("_n"), 4).alias("nulos_ratio"), "distintos", "ejemplos")
+
+
+def first_of(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows of each key in ``order``, numbered in ``puesto``; partial limits before the shuffle keep large keys small."""
+    return df.withColumn("puesto", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("puesto") <= n)
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: count, mean, standard deviation, minimum, exact quantiles and maximum."""
+    v = lambda c: F.col(f"`{c}`").cast("double")
+    aggs = [f.alias(f"{c}__{n}") for c in columns for n, f in (("n", F.count(v(c))), ("media", F.avg(v(c))), ("desvio", F.stddev_samp(v(c))), ("minimo", F.min(v(c))), ("maximo", F.max(v(c))))]
+    moments = _unpivoted(df.agg(*aggs), columns, ["n", "media", "desvio", "minimo", "maximo"])
     names = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    aggs = [
-        f.alias(f"{c}__{n}")
-        for c in columns
-        for n, f in {"n": F.count(c), "media": F.avg(F.col(c).cast("double")), "desvio": F.stddev_samp(F.col(c).cast("double")), "minimo": F.min(c).cast("double"), **{k: F.percentile(F.col(c).cast("double"), F.lit(p)) for k, p in names.items()}, "maximo": F.max(c).cast("double")}.items()
-    ]
-    return _unpivoted(df.agg(*aggs), columns, ["n", "media", "desvio", "minimo", *names, "maximo"])
+    return moments.join(table_quantiles(df, columns, names), "columna", "left").select("columna", "n", "media", "desvio", "minimo", *names, "maximo")
 
 
 def top_values(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
     """The ``n`` most frequent values of each column, null written ``<NA>``; ties by value."""
-    from pyspark.sql.window import Window
-
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), F.coalesce(F.col(c).cast("string"), F.lit("<NA>")).alias("valor")) for c in columns])).alias("x")).select("x.*")
-    counts = long.groupBy("columna", "valor").agg(F.count(F.lit(1)).alias("filas"))
-    return counts.withColumn("puesto", F.row_number().over(Window.partitionBy("columna").orderBy(F.desc("filas"), "valor"))).where(F.col("puesto") <= n)
+    counts = value_counts(df, columns).withColumn("valor", F.coalesce("valor", F.lit("<NA>")))
+    return first_of(counts, ["columna"], n, F.desc("filas"), F.asc("valor"))
 
 
 def table_overview(df: DataFrame, name: str, day: str) -> DataFrame:
@@ -54,3 +78,18 @@ def feature_inventory(base: DataFrame, derived: DataFrame) -> DataFrame:
     aggs = [f for c in derived.columns for f in (F.count_if(F.col(c).isNull()).alias(f"{c}__nulos"), F.count(F.lit(1)).alias(f"{c}__filas"))]
     out = _unpivoted(derived.agg(*aggs), derived.columns, ["nulos", "filas"])
     return out.select("columna", F.try_element_at(families, "columna").alias("familia"), (~F.col("columna").isin(base.columns)).alias("nueva"), "nulos", F.round(F.lit(1.0) - F.col("nulos") / F.nullif("filas", F.lit(0)), 4).alias("cobertura"))
+
+
+def family_summary(inventory: DataFrame) -> DataFrame:
+    """Columns, new columns, nulls and mean coverage of each family of ``feature_inventory``."""
+    return inventory.groupBy("familia").agg(F.count(F.lit(1)).alias("columnas"), F.count_if("nueva").alias("nuevas"), F.sum("nulos").alias("nulos"), F.round(F.avg("cobertura"), 4).alias("cobertura_media"))
+
+
+def rank_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``variable_a, variable_b, spearman`` at three decimals for every pair of columns, over the rows that have all of them; ties share their mean rank."""
+    rows = cut(df.select(*columns).dropna())
+    for c in columns:
+        rows = mid_ranks(rows, c, f"_r_{c}")
+    pairs = [(a, b) for a in columns for b in columns]
+    one = rows.agg(*[F.round(F.corr(f"_r_{a}", f"_r_{b}"), 3).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("variable_a"), F.lit(b).alias("variable_b"), F.col(f"`{i}`").alias("spearman")) for i, (a, b) in enumerate(pairs)])))

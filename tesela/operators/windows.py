@@ -46,48 +46,53 @@ def online_median_sorted(df: DataFrame, key: str, day: str, value: str, least: i
     return df.select(key, day, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandas(run, f"{key} {kind[key]}, {day} {kind[day]}, {out} double").withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
 
 
-def past_median(df: DataFrame, day: str, value: str, least: int, out: str, rows_per_bucket: int = 1_000_000, buckets: int = 64) -> DataFrame:
-    """``day, out``: for each day the median of the values of all earlier days, over all entities; null with fewer than ``least``.
+def past_median(df: DataFrame, day: str, value: str, least: int, out: str, series: str | None = None, rows_per_bucket: int = 1_000_000, buckets: int = 64) -> DataFrame:
+    """``day, out`` (and ``series``, if given): for each day the median of the values of all earlier days, over all entities; null with fewer than ``least``.
 
     Exact and distributed: values are counted per day, then cut at approximate quantiles into buckets (``buckets``, more if
     one would hold over ``rows_per_bucket`` counts); totals per day and bucket tell in which bucket each day's
     middle ranks lie and how deep, and each bucket then answers those ranks alone, in day order.
-    A value that a third of all rows share is one row per day.
+    A value that a third of all rows share is one row per day. ``series`` names a few series, each with medians of its own.
     """
-    rows = df.select(F.col(day).alias("_d"), F.col(value).cast("double").alias("_v"))
-    counted = cut(rows.where("_v is not null").groupBy("_d", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    name = F.col(series).cast("string") if series else F.lit("")
+    rows = df.select(F.coalesce(name, F.lit("")).alias("_k"), F.col(day).alias("_d"), F.col(value).cast("double").alias("_v"))
+    counted = cut(rows.where("_v is not null").groupBy("_k", "_d", "_v").agg(F.count(F.lit(1)).alias("_n")))
     buckets = max(buckets, -(-counted.count() // rows_per_bucket))
-    cuts = sorted(set(counted.agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []))
-    at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
-    valued = counted.withColumn("_b", at)
-    daily = valued.groupBy("_d", "_b").agg(F.sum("_n").alias("_n"))
-    numbers = df.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_b"))
-    grid = rows.select("_d").distinct().join(F.broadcast(numbers), how="cross").join(daily, ["_d", "_b"], "left")
-    before = Window.partitionBy("_b").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    found = counted.groupBy("_k").agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10_000)).collect()
+    cuts = {k: sorted(set(q)) for k, q in found}
+    bounds = F.create_map(*[x for k, q in cuts.items() for x in (F.lit(k), F.array(*[F.lit(float(c)) for c in q]))]) if cuts else None
+    valued = counted.withColumn("_b", F.size(F.filter(F.try_element_at(bounds, "_k"), lambda c: c < F.col("_v"))) if cuts else F.lit(0))
+    daily = valued.groupBy("_k", "_d", "_b").agg(F.sum("_n").alias("_n"))
+    most = max([len(q) for q in cuts.values()], default=0)
+    grid = rows.select("_k", "_d").distinct().withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(most)))).join(daily, ["_k", "_d", "_b"], "left")
+    before = Window.partitionBy("_k", "_b").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
     grid = grid.withColumn("_c", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    lower = Window.partitionBy("_d").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("_below", F.coalesce(F.sum("_c").over(lower), F.lit(0))).withColumn("_all", F.sum("_c").over(Window.partitionBy("_d")))
-    ranks = grid.where("_all > 0").select("_d", "_b", "_c", "_below", F.explode(F.array(F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2))).alias("_r")).where("_r >= _below and _r < _below + _c")
-    asked = ranks.select("_b", "_d", F.lit(None).cast("double").alias("_v"), F.lit(None).cast("bigint").alias("_n"), (F.col("_r") - F.col("_below")).alias("_k"))
-    work = valued.select("_b", "_d", "_v", "_n", F.lit(None).cast("bigint").alias("_k")).unionByName(asked)
+    lower = Window.partitionBy("_k", "_d").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("_below", F.coalesce(F.sum("_c").over(lower), F.lit(0))).withColumn("_all", F.sum("_c").over(Window.partitionBy("_k", "_d")))
+    grid = cut(grid.select("_k", "_d", "_b", "_c", "_below", "_all"))
+    ranks = grid.where("_all > 0").select("_k", "_d", "_b", "_c", "_below", F.explode(F.array(F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2))).alias("_r")).where("_r >= _below and _r < _below + _c")
+    asked = ranks.select("_k", "_b", "_d", F.lit(None).cast("double").alias("_v"), F.lit(None).cast("bigint").alias("_n"), (F.col("_r") - F.col("_below")).alias("_i"))
+    work = valued.select("_k", "_b", "_d", "_v", "_n", F.lit(None).cast("bigint").alias("_i")).unionByName(asked)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # a day's questions come before its values
-        pdf = pdf.assign(_q=pdf["_k"].isna()).sort_values(["_d", "_q"], kind="stable")
+        pdf = pdf.assign(_q=pdf["_i"].isna()).sort_values(["_d", "_q"], kind="stable")
         known = np.unique(pdf.loc[pdf["_q"], "_v"].to_numpy(float))
+        places = np.searchsorted(known, pdf["_v"].fillna(0).to_numpy(float)).tolist()
         tree, top = CountTree(len(known)), []
-        for d, v, n, k, is_value in zip(pdf["_d"].tolist(), pdf["_v"].tolist(), pdf["_n"].tolist(), pdf["_k"].tolist(), pdf["_q"].tolist()):
+        for d, place, n, i, is_value in zip(pdf["_d"].tolist(), places, pdf["_n"].tolist(), pdf["_i"].tolist(), pdf["_q"].tolist()):
             if is_value:
-                tree.add(int(np.searchsorted(known, v)), int(n))
+                tree.add(place, int(n))
             else:
-                top.append((d, known[tree.holder(int(k))]))
-        return pd.DataFrame(top, columns=["_d", "_v"])
+                top.append((pdf["_k"].iat[0], d, known[tree.holder(int(i))]))
+        return pd.DataFrame(top, columns=["_k", "_d", "_v"])
 
     ready_workers(df.sparkSession)
     kind = dict(df.dtypes)[day]
-    answers = work.groupBy("_b").applyInPandas(run, f"_d {kind}, _v double").groupBy("_d").agg(F.avg("_v").alias("_m"))
-    totals = grid.groupBy("_d").agg(F.max("_all").alias("_all"))
-    return totals.join(answers, "_d", "left").select(F.col("_d").alias(day), F.when(F.col("_all") >= least, F.col("_m")).alias(out))
+    answers = work.groupBy("_k", "_b").applyInPandas(run, f"_k string, _d {kind}, _v double").groupBy("_k", "_d").agg(F.avg("_v").alias("_m"))
+    totals = grid.groupBy("_k", "_d").agg(F.max("_all").alias("_all"))
+    found = totals.join(answers, ["_k", "_d"], "left")
+    return found.select(*([F.col("_k").alias(series)] if series else []), F.col("_d").alias(day), F.when(F.col("_all") >= least, F.col("_m")).alias(out))
 
 
 class CountTree:

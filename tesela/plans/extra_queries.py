@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tesela.functions import scalars as S
 from tesela.operators import panel, ranking
 from tesela.operators.dedup import first_by
+from tesela.operators.encoding import one_hot as one_hot_encoded
 from tesela.operators.neighbours import nearest
+from tesela.operators.sampling import hundredth, sampled
 from tesela.plans import explore, panel_queries
 from tesela.plans.registry import Registry
 from tesela.runtime import cut
@@ -63,8 +65,8 @@ def knn_vote(spark, d):
 @query("select reclamo_id, cargado_en, cast(estado_geo = 'direct' as integer) as geo_direct, cast(estado_geo = 'swapped' as integer) as geo_swapped, cast(baja_en is not null as integer) as baja, case when numero_tramite > 0 then round(ln(numero_tramite), 9) end as log_tramite from reclamos_clean")
 def one_hot(spark, d):
     """Indicator columns with the first level (invalid) left out, a flag, and a logarithm."""
-    levels = {f"geo_{v}": (F.col("estado_geo") == v).cast("int") for v in ("direct", "swapped")}
-    return table(spark, d, "reclamos_clean").select("reclamo_id", "cargado_en", *[c.alias(n) for n, c in levels.items()], F.col("baja_en").isNotNull().cast("int").alias("baja"), F.when(F.col("numero_tramite") > 0, F.round(F.ln("numero_tramite"), 9)).alias("log_tramite"))
+    rows = one_hot_encoded(table(spark, d, "reclamos_clean"), "estado_geo", ["direct", "invalid", "swapped"], "geo", drop="invalid")
+    return rows.select("reclamo_id", "cargado_en", "geo_direct", "geo_swapped", F.col("baja_en").isNotNull().cast("int").alias("baja"), F.when(F.col("numero_tramite") > 0, F.round(F.ln("numero_tramite"), 9)).alias("log_tramite"))
 
 
 @query("with p as (select o_orderkey, 1 / (1 + exp(-(o_totalprice - 150000) / 50000)) as p from orders) select o_orderkey, round(p, 9) as logistica, round(p / max(p) over (), 9) as relativa from p")
@@ -94,17 +96,26 @@ def service_dimension(spark, d):
     return allowed.groupBy("zona_id", "fecha", S.service_label(F.col("servicio_normalizado")).alias("servicio")).agg(F.count_distinct("reclamo_id").alias("reclamos"))
 
 
-@query()
+@query("select reclamo_id, fecha_reclamo, lat, lon from reclamos_clean order by md5(reclamo_id), fecha_reclamo, lat, lon limit 1000")
 def sample_hashed(spark, d):
     """A thousand rows of the claims, the same on every run; the cap is the sampler's feature."""
-    return table(spark, d, "reclamos_clean", ["reclamo_id", "fecha_reclamo", "lat", "lon"]).orderBy(F.xxhash64("reclamo_id"), "reclamo_id").limit(1000)
+    return table(spark, d, "reclamos_clean", ["reclamo_id", "fecha_reclamo", "lat", "lon"]).orderBy(F.md5("reclamo_id"), "fecha_reclamo", "lat", "lon").limit(1000)
 
 
-@query()
+_HUNDREDTH = "('0x' || md5({k})[1:8])::bigint % 100"
+
+
+@query(f"select reclamo_id, cargado_en from reclamos_clean where {_HUNDREDTH.format(k='reclamo_id')} < 5")
+def sample_fraction(spark, d):
+    """A twentieth of the claims by a hash of their id, the same on every run."""
+    return sampled(table(spark, d, "reclamos_clean", ["reclamo_id", "cargado_en"]), ["reclamo_id"], 0.05)
+
+
+@query(f"select estado_geo, case when {_HUNDREDTH.format(k='reclamo_id')} < 70 then 'train' else 'test' end as parte, count(*) as filas from reclamos_clean group by 1, 2")
 def stratified_split(spark, d):
     """Rows per part and class of a hash split within each class."""
     rows = table(spark, d, "reclamos_clean").select("estado_geo", "reclamo_id")
-    part = F.when(F.pmod(F.xxhash64("reclamo_id"), F.lit(100)) < 70, "train").otherwise("test")
+    part = F.when(hundredth("reclamo_id") < 70, "train").otherwise("test")
     return rows.groupBy("estado_geo", part.alias("parte")).agg(F.count(F.lit(1)).alias("filas"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tesela.functions import scalars as S
 from tesela.operators import cascade, dedup, joins, metrics, orphans, panel, ranking, windows
+from tesela.operators.quantiles import exact_quantile
 from tesela.plans.registry import Registry
 from tesela.runtime import cut
 from tesela.sources.tables import table
@@ -163,21 +164,30 @@ def rain_classes(spark, d):
     return rows.groupBy("categoria").agg(F.count(F.lit(1)).alias("filas"), F.count_if(F.col("mm") > 0).alias("con_lluvia"), (F.sum(F.col("mm").cast("decimal(18,4)")).cast("double") / F.count("mm")).alias("media"), F.median("mm").alias("mediana"))
 
 
-_PANEL = """
-with p as (
-  select zona_id, fecha, count(*) as reclamos_count, count(distinct sede_id) as sedes_unicas, count(distinct destino_key) as destinos_unicos, count(distinct servicio_normalizado) as servicios_unicos, count(distinct localidad) as localidades_unicas,
-    coalesce(cast(sum(cast(distance_km as decimal(18,4))) as double), 0) as distance_km_total, coalesce(cast(sum(cast(traslado_min as decimal(18,4))) as double), 0) as traslado_min_total, coalesce(cast(sum(cast(resolucion_base_min as decimal(18,4))) as double), 0) as resolucion_base_min_total
+_SUM_SQL = ", ".join(f"coalesce(cast(sum(cast({c} as decimal(18,4))) as double), 0) as {n}" for n, c in panel.SUMS.items())
+_PANEL = f"""
+with q as (
+  select zona_id, fecha, count(*) as reclamos_count, count(distinct reclamo_id) as reclamos_unicos, count(distinct sede_id) as sedes_unicas, count(distinct destino_key) as destinos_unicos, count(distinct servicio_normalizado) as servicios_unicos, count(distinct localidad) as localidades_unicas,
+    {_SUM_SQL}, count(traslado_min) as n_traslado
   from reclamos_zonificados where zona_id is not null group by zona_id, fecha
-), k as (select zona_id, cast(unnest(generate_series(min(fecha), max(fecha), interval 1 day)) as date) as fecha from p group by zona_id),
+), p as (select * exclude (n_traslado), traslado_min_total + resolucion_base_min_total as tiempo_total_operativo_min, traslado_min_total / nullif(n_traslado, 0) as traslado_min_promedio from q),
+k as (select zona_id, cast(unnest(generate_series(min(fecha), max(fecha), interval 1 day)) as date) as fecha from p group by zona_id),
+l as (select fecha, max(lluvia_mm) as mm from lluvia_diaria_clean where lluvia_mm between 0 and 500 and not isnan(lluvia_mm) group by fecha),
 f as (
-  select k.zona_id, k.fecha, coalesce(reclamos_count, 0) as reclamos_count, sedes_unicas, destinos_unicos, servicios_unicos, localidades_unicas, coalesce(distance_km_total, 0) as distance_km_total, coalesce(traslado_min_total, 0) as traslado_min_total, coalesce(resolucion_base_min_total, 0) as resolucion_base_min_total, coalesce(reclamos_count, 0) > 0 as has_claims
-  from k left join p on k.zona_id = p.zona_id and k.fecha = p.fecha
+  select k.zona_id, k.fecha, {", ".join(f"coalesce(p.{c}, 0) as {c}" for c in ("reclamos_count", "reclamos_unicos", "destinos_unicos", "servicios_unicos", *panel.SUMS, "tiempo_total_operativo_min", "traslado_min_promedio"))}, sedes_unicas, localidades_unicas,
+    coalesce(reclamos_count, 0) > 0 as has_claims, coalesce(mm, 0) as lluvia_mm, coalesce(mm, 0) > 0 as llovio, case when mm is null then 'missing' else 'observed' end as lluvia_status
+  from k left join p on k.zona_id = p.zona_id and k.fecha = p.fecha left join l on k.fecha = l.fecha
 )"""
 
 
+def daily_rain(spark, d):
+    """The greatest possible rain of each day over all gauges."""
+    return table(spark, d, "lluvia_diaria_clean", ["fecha", "lluvia_mm"]).where("lluvia_mm between 0 and 500 and not isnan(lluvia_mm) and fecha is not null").groupBy("fecha").agg(F.max("lluvia_mm").alias("lluvia_mm"))
+
+
 def zone_panel(spark, d):
-    """The complete zone-by-day panel."""
-    return panel.completed(panel.zone_days(table(spark, d, "reclamos_zonificados")))
+    """The complete zone-by-day panel with the day's rain."""
+    return panel.with_rain(panel.completed(panel.zone_days(table(spark, d, "reclamos_zonificados"))), daily_rain(spark, d))
 
 
 @query(_PANEL + " select * from p")
@@ -271,59 +281,98 @@ def trailing_median_28(spark, d):
     return windows.trailing_median(_daily_max(spark, d), ["zona_id"], ["fecha"], "y", 28, 7, "mediana").select("zona_id", "fecha", "mediana")
 
 
+# the target of the day six days back is the same weekday as tomorrow
 _FORECAST = (
     _PANEL
-    + """, y as (select zona_id, fecha, lead(reclamos_count) over z as y, lead(fecha) over z is not null as hay, lag(reclamos_count, 6) over z as lag_7, has_claims from f window z as (partition by zona_id order by fecha)),
-h as (select zona_id, fecha, y, hay, lag_7, case when count(y) over t >= 7 then quantile_cont(cast(y as double), 0.5) over t end as trail, case when count(y) over e >= 7 then quantile_cont(cast(y as double), 0.5) over e end as hist
-  from y window t as (partition by zona_id order by fecha rows between 28 preceding and 1 preceding), e as (partition by zona_id order by fecha rows between unbounded preceding and 1 preceding)),
-gd as (select k.fecha, case when count(y.y) >= 30 then quantile_cont(cast(y.y as double), 0.5) end as glo from (select distinct fecha from y) k left join y on y.fecha < k.fecha group by k.fecha),
-c as (select quantile_cont(cast(y as double), 0.5) as konst from y),
-b as (select h.zona_id, h.fecha, h.y as y_reclamos_t1, greatest(coalesce(cast(lag_7 as double), trail, hist, glo, konst), 0) as baseline_reclamos,
-  case when lag_7 is not null then 'lag_7' when trail is not null then 'trailing_28' when hist is not null then 'zone_history' when glo is not null then 'global_history' else 'global_fallback' end as regla
-  from h join gd on h.fecha = gd.fecha cross join c where hay)"""
+    + """, y as (
+  select zona_id, fecha, month(fecha) as mes, (month(fecha) - 1) // 3 as estacion, lead(fecha) over z is not null as hay, cast(lag(reclamos_count, 6) over z as double) as previa,
+    cast(lead(reclamos_count) over z as double) as y_reclamos, lead(tiempo_total_operativo_min) over z as y_tiempo, lead(costo_total_compuesto_ars) over z as y_costo
+  from f window z as (partition by zona_id order by fecha)
+), u as (
+  select zona_id, fecha, mes, estacion, 'reclamos' as objetivo, y_reclamos as y from y union all select zona_id, fecha, mes, estacion, 'tiempo', y_tiempo from y
+  union all select zona_id, fecha, mes, estacion, 'unitario', y_costo / nullif(y_reclamos, 0) from y
+), h as (
+  select *, case when count(y) over t >= 7 then quantile_cont(y, 0.5) over t end as trail, case when count(y) over e >= 7 then quantile_cont(y, 0.5) over e end as hist,
+    case when count(y) over m >= 5 then quantile_cont(y, 0.5) over m end as mensual, case when count(y) over s >= 5 then quantile_cont(y, 0.5) over s end as estacional
+  from u window t as (partition by objetivo, zona_id order by fecha rows between 28 preceding and 1 preceding), e as (partition by objetivo, zona_id order by fecha rows between unbounded preceding and 1 preceding),
+    m as (partition by objetivo, zona_id, mes order by fecha rows between unbounded preceding and 1 preceding), s as (partition by objetivo, zona_id, estacion order by fecha rows between unbounded preceding and 1 preceding)
+), gd as (select k.objetivo, k.fecha, case when count(u.y) >= 30 then quantile_cont(u.y, 0.5) end as glo from (select distinct objetivo, fecha from u) k left join u on u.objetivo = k.objetivo and u.fecha < k.fecha group by k.objetivo, k.fecha),
+c as (select objetivo, quantile_cont(y, 0.5) as konst from u group by objetivo),
+j as (select h.*, glo, konst from h join gd on h.objetivo = gd.objetivo and h.fecha = gd.fecha join c on h.objetivo = c.objetivo),
+b as (
+  select y.zona_id, y.fecha, y_reclamos, y_tiempo, y_costo, greatest(coalesce(previa, r.trail, r.hist, r.glo, r.konst), 0) as base_reclamos, coalesce(t.mensual, t.estacional, t.trail, t.hist, t.glo, t.konst) as base_tiempo,
+    greatest(greatest(coalesce(previa, r.trail, r.hist, r.glo, r.konst), 0) * coalesce(n.mensual, n.trail, n.hist, n.glo, n.konst), 0) as base_costo,
+    case when previa is not null then 'semana_anterior' when r.trail is not null then 'trailing_28' when r.hist is not null then 'historia_zona' when r.glo is not null then 'historia_global' else 'global_fallback' end as regla_reclamos,
+    case when t.mensual is not null then 'zona_mes' when t.estacional is not null then 'zona_estacion' when t.trail is not null then 'trailing_28' when t.hist is not null then 'historia_zona' when t.glo is not null then 'historia_global' else 'global_fallback' end as regla_tiempo,
+    case when n.mensual is not null then 'zona_mes' when n.trail is not null then 'trailing_28' when n.hist is not null then 'historia_zona' when n.glo is not null then 'historia_global' else 'global_fallback' end as regla_costo
+  from y join j r on r.objetivo = 'reclamos' and y.zona_id = r.zona_id and y.fecha = r.fecha join j t on t.objetivo = 'tiempo' and y.zona_id = t.zona_id and y.fecha = t.fecha join j n on n.objetivo = 'unitario' and y.zona_id = n.zona_id and y.fecha = n.fecha
+  where hay
+)"""
 )
 
 
 def forecast(spark, d):
-    """Past-only heuristic forecast of next-day claims with the rule that gave it."""
+    """Past-only heuristic forecast of next-day claims, time and cost, with the rule that gave each; cost is claims times the median cost of a claim."""
     w = Window.partitionBy("zona_id").orderBy("fecha")
-    # the target of the day six days back is the same weekday as tomorrow
-    y = zone_panel(spark, d).select("zona_id", "fecha", F.lead("reclamos_count").over(w).alias("y"), F.lead("fecha").over(w).isNotNull().alias("hay"), F.lag("reclamos_count", 6).over(w).cast("double").alias("lag_7"))
-    y = cut(y)  # five branches read it
-    y = windows.trailing_median(y, ["zona_id"], ["fecha"], "y", 28, 7, "trail")
-    y = y.join(windows.online_median_sorted(y, "zona_id", "fecha", "y", 7, "hist"), ["zona_id", "fecha"], "left").join(windows.past_median(y, "fecha", "y", 30, "glob"), "fecha", "left")
-    y = joins.with_scalars(y, y.agg(F.percentile("y", F.lit(0.5)).alias("konst")))
-    branches = [("lag_7", F.col("lag_7")), ("trailing_28", F.col("trail")), ("zone_history", F.col("hist")), ("global_history", F.col("glob"))]
-    best = F.greatest(F.coalesce("lag_7", "trail", "hist", "glob", "konst"), F.lit(0.0))
-    return y.where("hay").select("zona_id", "fecha", F.col("y").alias("y_reclamos_t1"), best.alias("baseline_reclamos"), S.source_label(*branches).alias("regla"))
-
-
-@query(_FORECAST + " select *, abs(y_reclamos_t1 - baseline_reclamos) as error_abs from b")
+    targets = {f"y_{n}": F.lead(c).over(w).cast("double") for n, c in panel.TARGETS.items()}
+    y = zone_panel(spark, d).select("zona_id", "fecha", F.month("fecha").alias("mes"), F.floor((F.month("fecha") - 1) / 3).alias("estacion"), F.lead("fecha").over(w).isNotNull().alias("hay"), F.lag("reclamos_count", 6).over(w).cast("double").alias("previa"), *[c.alias(n) for n, c in targets.items()])
+    y = cut(y)  # many branches read it
+    each = F.array(*[F.struct(F.lit(n).alias("objetivo"), v.alias("y")) for n, v in (("reclamos", F.col("y_reclamos")), ("tiempo", F.col("y_tiempo")), ("unitario", F.try_divide("y_costo", "y_reclamos")))])
+    u = y.select("zona_id", "fecha", "mes", "estacion", F.inline(each)).withColumn("serie", F.concat_ws("|", "objetivo", "zona_id"))
+    h = windows.trailing_median(u, ["serie"], ["fecha"], "y", 28, 7, "trail")
+    h = windows.online_median(h, ["serie", "mes"], ["fecha"], "y", 5, "mensual")
+    h = cut(windows.online_median(h, ["serie", "estacion"], ["fecha"], "y", 5, "estacional"))
+    h = h.join(windows.online_median_sorted(h, "serie", "fecha", "y", 7, "hist"), ["serie", "fecha"], "left")
+    h = h.join(windows.past_median(u, "fecha", "y", 30, "glo", "objetivo"), ["objetivo", "fecha"], "left").join(F.broadcast(exact_quantile(u, "objetivo", "y", 0.5, "konst")), "objetivo", "left")  # three rows
+    value = lambda n, c: F.max(F.when(F.col("objetivo") == n, F.col(c))).alias(f"{n}_{c}")
+    wide = h.groupBy("zona_id", "fecha").agg(*[value(n, c) for n in ("reclamos", "tiempo", "unitario") for c in ("mensual", "estacional", "trail", "hist", "glo", "konst")])
+    y = y.where("hay").join(wide, ["zona_id", "fecha"])
+    names = {"mensual": "zona_mes", "estacional": "zona_estacion", "trail": "trailing_28", "hist": "historia_zona", "glo": "historia_global"}
+    chains = {"reclamos": ["trail", "hist", "glo"], "tiempo": ["mensual", "estacional", "trail", "hist", "glo"], "unitario": ["mensual", "trail", "hist", "glo"]}
+    steps = {n: [(names[c], F.col(f"{n}_{c}")) for c in chain] for n, chain in chains.items()}
+    steps["reclamos"].insert(0, ("semana_anterior", F.col("previa")))
+    best = {n: F.coalesce(*[c for _, c in s], F.col(f"{n}_konst")) for n, s in steps.items()}
+    claims = F.greatest(best["reclamos"], F.lit(0.0))
+    out = {"base_reclamos": claims, "base_tiempo": best["tiempo"], "base_costo": F.greatest(claims * best["unitario"], F.lit(0.0))}
+    rules = {f"regla_{n}": S.source_label(*steps[k]) for n, k in (("reclamos", "reclamos"), ("tiempo", "tiempo"), ("costo", "unitario"))}
+    return y.select("zona_id", "fecha", "y_reclamos", "y_tiempo", "y_costo", *[c.alias(n) for n, c in (out | rules).items()])
+
+
+_ROUNDED = ["y_tiempo", "y_costo", "base_tiempo", "base_costo"]
+
+
+@query(_FORECAST + f" select * replace ({', '.join(f'round({c}, 6) as {c}' for c in _ROUNDED)}), {', '.join(f'round(abs(y_{n} - base_{n}), 6) as error_{n}' for n in panel.TARGETS)} from b")
 def baseline_forecast(spark, d):
-    """The forecast with its rule and absolute error."""
-    return forecast(spark, d).withColumn("error_abs", F.abs(F.col("y_reclamos_t1") - F.col("baseline_reclamos")))
+    """The three forecasts with their rules and absolute errors."""
+    out = forecast(spark, d).withColumns({f"error_{n}": F.round(F.abs(F.col(f"y_{n}") - F.col(f"base_{n}")), 6) for n in panel.TARGETS})
+    return out.withColumns({c: F.round(c, 6) for c in _ROUNDED})
 
 
-_SCORES = "count(e) as filas, round(avg(abs(e)), 9) as mae, round(sqrt(avg(e * e)), 9) as rmse, round(coalesce(sum(abs(e)) / nullif(sum(abs(a)), 0), 0), 9) as wmape, round(1 - sum(e * e) / nullif(var_pop(a) * count(e), 0), 9) as r2"
+_SCORES = "count(e) as filas, round(avg(abs(e)), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse, round(coalesce(sum(abs(e)) / nullif(sum(abs(a)), 0), 0), 6) as wmape, round(avg(abs(e) / nullif(abs(a), 0)), 6) as mape, round(1 - sum(e * e) / nullif(var_pop(a) * count(e), 0), 6) as r2, round(sum(a), 4) as total_real, round(sum(p), 4) as total_previsto"
 
 
 @query(
     _FORECAST
-    + f", x as (select cast(y_reclamos_t1 as double) as a, y_reclamos_t1 - baseline_reclamos as e, fecha >= (select max(fecha) from b) - 179 as r from b) select 'full' as ventana, {_SCORES} from x union all select 'recent_180', {_SCORES} from x where r"
+    + ", x as ("
+    + " union all ".join(f"select '{n}' as objetivo, y_{n} as a, base_{n} as p, y_{n} - base_{n} as e, fecha >= (select max(fecha) from b) - 179 as r from b" for n in panel.TARGETS)
+    + f") select objetivo, 'full' as ventana, {_SCORES} from x group by objetivo union all select objetivo, 'recent_180', {_SCORES} from x where r group by objetivo"
 )
 def baseline_metrics(spark, d):
-    """Errors of the forecast over all days and over the last 180."""
-    b = forecast(spark, d)
-    recent = joins.with_scalars(b, b.agg(F.date_sub(F.max("fecha"), 179).alias("corte"))).where("fecha >= corte")
-    score = lambda name, df: df.agg(*metrics.regression_scores("y_reclamos_t1", "baseline_reclamos")).withColumn("ventana", F.lit(name))
-    both = score("full", b).unionByName(score("recent_180", recent))
-    return both.withColumns({c: F.round(c, 9) for c in ("mae", "rmse", "wmape", "r2")})
+    """Errors and totals of each forecast over all days and over the last 180."""
+    b = cut(forecast(spark, d))
+    b = joins.with_scalars(b, b.agg(F.date_sub(F.max("fecha"), 179).alias("corte")))
+    each = F.array(*[F.struct(F.lit(n).alias("objetivo"), F.col(f"y_{n}").alias("a"), F.col(f"base_{n}").alias("p")) for n in panel.TARGETS])
+    spans = F.array_compact(F.array(F.lit("full"), F.when(F.col("fecha") >= F.col("corte"), F.lit("recent_180"))))
+    long = b.select(F.explode(spans).alias("ventana"), each.alias("x")).select("ventana", F.inline("x"))
+    out = long.groupBy("objetivo", "ventana").agg(*metrics.regression_scores("a", "p"), F.round(F.sum("a"), 4).alias("total_real"), F.round(F.sum("p"), 4).alias("total_previsto"))
+    return out.withColumns({c: F.round(c, 6) for c in ("mae", "rmse", "wmape", "mape", "r2")})
 
 
-@query(_FORECAST + " select regla, count(*) as filas from b group by regla")
+@query(_FORECAST + " " + " union all ".join(f"select '{n}' as objetivo, regla_{n} as regla, count(*) as filas from b group by regla_{n}" for n in panel.TARGETS))
 def rule_coverage(spark, d):
-    """Forecasts per rule."""
-    return forecast(spark, d).groupBy("regla").agg(F.count(F.lit(1)).alias("filas"))
+    """Forecasts per target and rule."""
+    each = F.array(*[F.struct(F.lit(n).alias("objetivo"), F.col(f"regla_{n}").alias("regla")) for n in panel.TARGETS])
+    return forecast(spark, d).select(F.inline(each)).groupBy("objetivo", "regla").agg(F.count(F.lit(1)).alias("filas"))
 
 
 @query(_ZV + " select zona_id, fecha, coalesce(mm, last_value(mm ignore nulls) over (partition by zona_id order by fecha rows unbounded preceding)) as mm, y from v")
@@ -366,7 +415,7 @@ def override_merge(spark, d):
     return dedup.overridden(base, joins.aligned(manual, base), ["pluviometro", "fecha"], F.col("mm"))
 
 
-_PAIRS = [(m, p) for m in ("reclamos_count", "traslado_min_total") for p in ("lag_1", "lag_7", "roll_7_mean", "roll_28_mean")]
+_PAIRS = [(m, p) for m in ("reclamos_count", "tiempo_total_operativo_min", "costo_total_compuesto_ars") for p in ("lag_1", "lag_7", "roll_7_mean", "roll_28_mean")]
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesela.functions import scalars as S
 from tesela.operators import clusters, joins, metrics, panel, profiles, proximity, ranking
+from tesela.operators.quantiles import exact_quantile, exact_quantiles, table_quantiles
 from tesela.plans import explore, panel_queries
 from tesela.plans.registry import Registry
 from tesela.runtime import cut
@@ -79,24 +80,35 @@ def hotspots(spark, d):
     return rows.groupBy("sede_id", "destino_key").agg(F.count(F.lit(1)).alias("reclamos"), F.count_distinct("zona_id").alias("zonas"), panel.exact_sum("distance_km").alias("km"), mode.alias("servicio_modal"), F.min("fecha").alias("desde"), F.max("fecha").alias("hasta"))
 
 
+_DOMINANT = {"sede_principal": "sede_id", "servicio_principal": "servicio_normalizado", "localidad_principal": "localidad"}
+
+
 @query(
-    "with n as (select zona_id, localidad, count(*) as c from reclamos_zonificados where zona_id is not null group by 1, 2), p as (select zona_id, coalesce(localidad, 'desconocido') as localidad_dominante from (select *, row_number() over (partition by zona_id order by c desc, localidad nulls last) as k from n) where k = 1) "
-    "select z.zona_id, p.localidad_dominante, count(distinct destino_key) as destinos, count(distinct sede_id) as sedes from reclamos_zonificados z join p on z.zona_id = p.zona_id group by 1, 2"
+    "with "
+    + ", ".join(f"{n} as (select zona_id, coalesce({c}, 'desconocido') as {n} from (select zona_id, {c}, row_number() over (partition by zona_id order by count(*) desc, {c} nulls last) as k from reclamos_zonificados where zona_id is not null group by zona_id, {c}) where k = 1)" for n, c in _DOMINANT.items())
+    + ", z as (select zona_id, count(distinct destino_key) as destinos, count(distinct sede_id) as sedes, count(distinct servicio_normalizado) as servicios from reclamos_zonificados where zona_id is not null group by zona_id) "
+    + "select z.*, "
+    + ", ".join(_DOMINANT)
+    + " from z "
+    + " ".join(f"join {n} on z.zona_id = {n}.zona_id" for n in _DOMINANT)
 )
 def zone_profile(spark, d):
-    """Dominant locality and distinct counts per zone."""
+    """Dominant depot, service and locality and distinct counts per zone; nulls count as a value of their own."""
     rows = table(spark, d, "reclamos_zonificados").where("zona_id is not null")
-    counted = rows.groupBy("zona_id", "localidad").count()
-    top = counted.groupBy("zona_id").agg(F.min_by(F.struct("localidad"), F.struct(-F.col("count"), F.col("localidad").isNull(), "localidad")).alias("t"))
-    return rows.groupBy("zona_id").agg(F.count_distinct("destino_key").alias("destinos"), F.count_distinct("sede_id").alias("sedes")).join(top, "zona_id").select("zona_id", F.coalesce("t.localidad", F.lit("desconocido")).alias("localidad_dominante"), "destinos", "sedes")
+    each = F.array(*[F.struct(F.lit(n).alias("que"), F.col(c).alias("valor")) for n, c in _DOMINANT.items()])
+    counted = rows.select("zona_id", F.inline(each)).groupBy("zona_id", "que", "valor").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(-F.col("n"), F.col("valor").isNull(), "valor")
+    tops = counted.groupBy("zona_id").agg(*[F.coalesce(F.min_by(F.when(F.col("que") == n, F.struct("valor")), F.when(F.col("que") == n, order)).valor, F.lit("desconocido")).alias(n) for n in _DOMINANT])
+    return rows.groupBy("zona_id").agg(F.count_distinct("destino_key").alias("destinos"), F.count_distinct("sede_id").alias("sedes"), F.count_distinct("servicio_normalizado").alias("servicios")).join(tops, "zona_id")
 
 
 @query("select case when grouping(localidad) = 1 then 'GLOBAL_FALLBACK' else coalesce(localidad, 'desconocida') end as localidad, quantile_cont(resolucion_base_min, 0.5) as mediana, count(*) as filas from reclamos_zonificados where resolucion_base_min > 0 and resolucion_base_min <= 1440 group by grouping sets ((localidad), ())")
 def resolution_median(spark, d):
     """Median resolution time per locality and over all."""
     rows = table(spark, d, "reclamos_zonificados").where("resolucion_base_min > 0 and resolucion_base_min <= 1440").select(F.coalesce("localidad", F.lit("desconocida")).alias("localidad"), "resolucion_base_min")
-    out = rows.rollup("localidad").agg(F.percentile("resolucion_base_min", F.lit(0.5)).alias("mediana"), F.count(F.lit(1)).alias("filas"))
-    return out.select(F.coalesce("localidad", F.lit("GLOBAL_FALLBACK")).alias("localidad"), "mediana", "filas")
+    both = rows.select(F.explode(F.array("localidad", F.lit("GLOBAL_FALLBACK"))).alias("localidad"), "resolucion_base_min")
+    counts = both.groupBy("localidad").agg(F.count(F.lit(1)).alias("filas"))
+    return exact_quantile(both, "localidad", "resolucion_base_min", 0.5, "mediana").join(counts, "localidad")
 
 
 @query("select sede_id, servicio_normalizado, count(*) as reclamos, count(distance_km) as con_ruta, count(distance_km) * 100.0 / count(*) as cobertura_pct, grouping(servicio_normalizado) as nivel from reclamos_zonificados group by grouping sets ((sede_id), (sede_id, servicio_normalizado))")
@@ -112,25 +124,23 @@ _STATUSES = ["ok", "pending", "zero_results", "api_error", "request_error"]
 
 @query("select sede_id, " + ", ".join(f"count(*) filter (where routing_status = '{s}') as {s}" for s in _STATUSES) + ", count(*) as total from distancias_cache group by sede_id")
 def status_pivot(spark, d):
-    """Answers per depot and status."""
-    return table(spark, d, "distancias_cache").groupBy("sede_id").agg(*[F.count_if(F.col("routing_status") == s).alias(s) for s in _STATUSES], F.count(F.lit(1)).alias("total"))
+    """Answers per depot and status: the known statuses in their order, then a column for any other that the table has."""
+    cache = table(spark, d, "distancias_cache", ["sede_id", "routing_status"])
+    extra = [v for v in panel.present_values(cache, "routing_status") if v not in _STATUSES]
+    return cache.groupBy("sede_id").agg(*[F.count_if(F.col("routing_status") == s).alias(s) for s in [*_STATUSES, *extra]], F.count(F.lit(1)).alias("total"))
 
 
-_Q = ["zona_id", "destino_key", "distance_km", "costo_operativo_ars", "fecha"]
+_Q = {"reclamo_id": "string", "fecha_reclamo": "timestamp_ntz", "destino_key": "string", "sede_id": "string", "servicio_normalizado": "string", "localidad": "string", "zona_id": "string", "fecha": "date", "distance_km": "double", "traslado_min": "double", "resolucion_base_min": "double", "costo_operativo_ars": "double", "costo_total_compuesto_ars": "double"}
 
 
-@query(" union all ".join(f"select '{c}' as columna, '{t}' as tipo, count(*) - count({c}) as nulos, round(cast(count(*) - count({c}) as double) / count(*), 4) as nulos_ratio, count(distinct {c}) as distintos from reclamos_zonificados" for c, t in zip(_Q, ["string", "string", "double", "double", "date"])))
+@query(
+    "with v as ("
+    + " union all ".join(f"select '{c}' as columna, '{t}' as tipo, cast({f'cast({c} as decimal(24,6))' if t == 'double' else c} as varchar) as valor from reclamos_zonificados" for c, t in _Q.items())
+    + "), n as (select columna, tipo, valor, count(*) as filas from v group by all), k as (select *, row_number() over (partition by columna order by filas desc, coalesce(valor, '<NA>')) as k from n) "
+    "select columna, tipo, cast(coalesce(sum(filas) filter (where valor is null), 0) as bigint) as nulos, round(cast(coalesce(sum(filas) filter (where valor is null), 0) as double) / sum(filas), 4) as nulos_ratio, count(valor) as distintos, string_agg(coalesce(valor, '<NA>') || ' (' || filas || ')', ', ' order by k) filter (where k <= 5) as ejemplos from k group by columna, tipo"
+)
 def quality_profile(spark, d):
-    """Type, nulls and distinct values per column."""
-    return profiles.quality_profile(table(spark, d, "reclamos_zonificados", _Q))
-
-
-_QW = {"reclamo_id": "string", "fecha_reclamo": "timestamp_ntz", "destino_key": "string", "sede_id": "string", "servicio_normalizado": "string", "localidad": "string", "zona_id": "string", "fecha": "date", "distance_km": "double", "traslado_min": "double", "resolucion_base_min": "double", "costo_operativo_ars": "double", "costo_total_compuesto_ars": "double"}
-
-
-@query(" union all ".join(f"select '{c}' as columna, '{t}' as tipo, count(*) - count({c}) as nulos, round(cast(count(*) - count({c}) as double) / count(*), 4) as nulos_ratio, count(distinct {c}) as distintos from reclamos_zonificados" for c, t in _QW.items()))
-def quality_profile_whole(spark, d):
-    """Type, nulls and distinct values of every column that the table has."""
+    """Type, nulls, distinct and most frequent values of every column of the table."""
     return profiles.quality_profile(table(spark, d, "reclamos_zonificados"))
 
 
@@ -174,7 +184,9 @@ def target_stats(spark, d):
     rows = table(spark, d, "zona_diario_base").select(F.col("reclamos_count").cast("double").alias("reclamos_count"), "distance_km_total", "lluvia_mm")
     long = rows.unpivot([], rows.columns, "objetivo", "v")
     r = lambda c: F.round(c, 6)
-    return long.groupBy("objetivo").agg(F.count("v").alias("n"), r(F.avg("v")).alias("media"), r(F.percentile("v", F.lit(0.5))).alias("mediana"), r(F.stddev_samp("v")).alias("desvio"), F.min("v").alias("minimo"), F.max("v").alias("maximo"), r(F.percentile("v", F.lit(0.25))).alias("q25"), r(F.percentile("v", F.lit(0.75))).alias("q75"))
+    moments = long.groupBy("objetivo").agg(F.count("v").alias("n"), r(F.avg("v")).alias("media"), r(F.stddev_samp("v")).alias("desvio"), F.min("v").alias("minimo"), F.max("v").alias("maximo"))
+    parts = exact_quantiles(long, "objetivo", "v", {"mediana": 0.5, "q25": 0.25, "q75": 0.75})
+    return moments.join(parts.select("objetivo", *[r(c).alias(c) for c in ("mediana", "q25", "q75")]), "objetivo", "left")
 
 
 @query("select cast(date_trunc('month', fecha_reclamo) as date) as mes, count(*) as reclamos from reclamos_clean group by 1")
@@ -220,7 +232,7 @@ def quartile_compare(spark, d):
 def near_far(spark, d):
     """Claims nearer and farther than the median distance."""
     rows = table(spark, d, "reclamos_zonificados").where("distance_km is not null")
-    rows = joins.with_scalars(rows, rows.agg(F.percentile("distance_km", F.lit(0.5)).alias("q")))
+    rows = joins.with_scalars(rows, table_quantiles(rows, ["distance_km"], {"q": 0.5}).select("q"))
     out = rows.groupBy(F.when(F.col("distance_km") <= F.col("q"), "cerca").otherwise("lejos").alias("grupo")).agg(F.count(F.lit(1)).alias("reclamos"), (F.sum(F.col("traslado_min").cast("decimal(18,4)")).cast("double") / F.count("traslado_min")).alias("traslado_medio"))
     return ranking.with_share(out, "reclamos", "parte")
 
@@ -249,11 +261,24 @@ def rain_buckets(spark, d):
     return labels.join(own, "tramo", "left").na.fill(0, ["dias", "reclamos"])
 
 
-@query(_RAINY + ", r as (select rank() over (order by reclamos) + (count(*) over (partition by reclamos) - 1) / 2.0 as a, rank() over (order by mm) + (count(*) over (partition by mm) - 1) / 2.0 as b from dia where mm is not null and reclamos is not null) select round(corr(a, b), 3) as spearman from r")
-def spearman_rain(spark, d):
-    """Rank correlation of rain and claims."""
-    days = cut(_days(spark, d).dropna())
-    return ranking.mid_ranks(ranking.mid_ranks(days, "reclamos", "a"), "mm", "b").agg(F.round(F.corr("a", "b"), 3).alias("spearman"))
+_VARS = ["reclamos", "mm", "km", "traslado"]
+_DAYS = "with dia as (select fecha, cast(sum(reclamos_count) as bigint) as reclamos, max(lluvia_mm) as mm, cast(sum(cast(distance_km_total as decimal(18,4))) as double) as km, cast(sum(cast(traslado_min_total as decimal(18,4))) as double) as traslado from zona_diario_base group by fecha)"
+
+
+@query(
+    _DAYS
+    + ", r as (select "
+    + ", ".join(f"rank() over (order by {v}) + (count(*) over (partition by {v}) - 1) / 2.0 as {v}" for v in _VARS)
+    + " from dia where "
+    + " and ".join(f"{v} is not null" for v in _VARS)
+    + ") "
+    + " union all ".join(f"select '{a}' as variable_a, '{b}' as variable_b, round(corr({a}, {b}), 3) as spearman from r" for a in _VARS for b in _VARS)
+)
+def spearman_matrix(spark, d):
+    """Rank correlations of claims, rain, distance and travel time per day."""
+    total = lambda c: F.sum(F.col(c).try_cast("decimal(18,4)")).cast("double")
+    days = table(spark, d, "zona_diario_base").groupBy("fecha").agg(F.sum("reclamos_count").alias("reclamos"), F.max("lluvia_mm").alias("mm"), total("distance_km_total").alias("km"), total("traslado_min_total").alias("traslado"))
+    return profiles.rank_correlations(days, _VARS)
 
 
 @query(_ZS + ", s as (select zona_id, cast(reclamos as double) / sum(reclamos) over () as parte_reclamos, cast(destinos as double) / sum(destinos) over () as parte_destinos from z) select zona_id, 'parte_reclamos' as medida, parte_reclamos as valor from s union all select zona_id, 'parte_destinos', parte_destinos from s")
@@ -284,11 +309,11 @@ def zone_map(spark, d):
     return zones.join(days, "zona_id", "left").na.fill(0, ["dias", "km"])
 
 
-@query()
+@query("with c as (select reclamo_id, fecha_reclamo, lat, lon, lat between -30 and -25 and lon between -57 and -53 as d, lon between -30 and -25 and lat between -57 and -53 as s from reclamos_clean) select reclamo_id, fecha_reclamo, case when d then lat else lon end as lat, case when d then lon else lat end as lon from c where d or s order by fecha_reclamo desc, md5(reclamo_id), 3, 4 limit 5000")
 def claim_map(spark, d):
     """Newest claims with usable coordinates; the cap is the map's own feature."""
     claims = proximity.usable_coordinates(table(spark, d, "reclamos_clean", ["reclamo_id", "fecha_reclamo", "lat", "lon"]))
-    return claims.orderBy(F.desc("fecha_reclamo"), F.xxhash64("reclamo_id")).limit(5000)
+    return claims.orderBy(F.desc("fecha_reclamo"), F.md5("reclamo_id"), "lat", "lon").limit(5000)
 
 
 @query("select fecha, zona_id, servicio_normalizado as servicio, count(distinct reclamo_id) as reclamos from reclamos_zonificados where zona_id is not null group by 1, 2, 3")
@@ -437,12 +462,12 @@ def confusion_metrics(spark, d):
     return metrics.confusion(_scored(spark, d).withColumn("p", (F.col("s") >= 0.5).cast("int")), "y", "p")
 
 
-@query("with p as (select cast(l_extendedprice as double) as a, l_quantity * 1000 as q from lineitem), x as (select a, a - q as e from p) select count(e) as filas, round(avg(abs(e)), 4) as mae, round(sqrt(avg(e * e)), 4) as rmse, round(sum(abs(e)) / sum(abs(a)), 6) as wmape, round(1 - sum(e * e) / (var_pop(a) * count(e)), 6) as r2 from x")
+@query("with p as (select cast(l_extendedprice as double) as a, l_quantity * 1000 as q from lineitem), x as (select a, a - q as e from p) select count(e) as filas, round(avg(abs(e)), 4) as mae, round(sqrt(avg(e * e)), 4) as rmse, round(sum(abs(e)) / sum(abs(a)), 6) as wmape, round(avg(abs(e) / nullif(abs(a), 0)), 6) as mape, round(1 - sum(e * e) / (var_pop(a) * count(e)), 6) as r2 from x")
 def regression_metrics(spark, d):
     """Errors of a simple price estimate."""
     rows = table(spark, d, "lineitem").select("l_extendedprice", (F.col("l_quantity") * 1000).alias("q"))
     out = rows.agg(*metrics.regression_scores("l_extendedprice", "q"))
-    return out.withColumns({"mae": F.round("mae", 4), "rmse": F.round("rmse", 4), "wmape": F.round("wmape", 6), "r2": F.round("r2", 6)})
+    return out.withColumns({"mae": F.round("mae", 4), "rmse": F.round("rmse", 4), "wmape": F.round("wmape", 6), "mape": F.round("mape", 6), "r2": F.round("r2", 6)})
 
 
 @query(_PRED + " select cast(least(floor(s * 10), 9) as integer) as tramo, count(*) as filas, round(avg(s), 9) as prob_media, avg(cast(y as double)) as observado from p group by 1")
@@ -489,13 +514,33 @@ def silhouette(spark, d):
     return metrics.silhouette_squared(table(spark, d, "embeddings"), "vec_id", "embedding", "label").select("vec_id", F.round("silueta", 6).alias("silueta"))
 
 
-@query()
+_BASE = ["zona_id", "fecha", "reclamos_count", "reclamos_unicos", "sedes_unicas", "destinos_unicos", "servicios_unicos", "localidades_unicas", *panel.SUMS, "tiempo_total_operativo_min", "traslado_min_promedio", "has_claims", "lluvia_mm", "lluvia_status", "llovio"]
+_DERIVED = [*_BASE, *[f"{m}_{x}" for m in panel.METRICS for x in ("lag_1", "lag_7", "roll_7_mean", "roll_28_mean")], *[f"y_{m}_t1" for m in panel.METRICS], "target_available_t1"]
+_FAMILY = (
+    "case when starts_with(columna, 'y_') then 'target' when contains(columna, '_lag_') then 'lag' when contains(columna, '_roll_') then 'rolling' when starts_with(columna, 'lluvia') or columna = 'llovio' then 'weather' "
+    "when columna in ('fecha', 'zona_id') then 'calendar_or_key' when starts_with(columna, 'zona_') or starts_with(columna, 'reclamos_') then 'zone_or_claims' else 'base_feature' end"
+)
+_INVENTORY = (
+    panel_queries._SUPERVISED
+    + ", n as (select count(*) as filas from s), v as ("
+    + " union all ".join(f"select '{c}' as columna, {str(c not in _BASE).lower()} as nueva, count(*) - count(\"{c}\") as nulos from s" for c in _DERIVED)
+    + f"), i as (select columna, {_FAMILY} as familia, nueva, nulos, round(1 - cast(nulos as double) / filas, 4) as cobertura from v, n)"
+)
+
+
+@query(_INVENTORY + " select * from i")
 def feature_inventory(spark, d):
     """Family, origin, nulls and coverage of each panel column."""
     base = panel_queries.zone_panel(spark, d)
     return profiles.feature_inventory(base, panel.supervised(base))
 
 
+@query(_INVENTORY + " select familia, count(*) as columnas, count(*) filter (where nueva) as nuevas, cast(sum(nulos) as bigint) as nulos, round(avg(cobertura), 4) as cobertura_media from i group by familia")
+def feature_families(spark, d):
+    """Columns, new columns, nulls and coverage per family."""
+    return profiles.family_summary(feature_inventory(spark, d))
+
+
 @query("with s as (select servicio_normalizado, translate(upper(trim(regexp_replace(servicio_normalizado, '\\s+', ' ', 'g'))), 'ÁÉÍÓÚÑ', 'AEIOUN') as servicio from reclamos_zonificados) select servicio, case when servicio in ('AGUA', 'ENERGIA') then 'redes' else 'otros' end as grupo, count(*) as filas from s group by 1, 2")
 def service_map(spark, d):
     """Claims per normalised service and its group."""
