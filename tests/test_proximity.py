@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -39,7 +40,8 @@ def test_triangles_cover_the_ring_once(seed):
         ring.append(ring[0])
     triangles = ear_clip([p[0] for p in ring], [p[1] for p in ring])
     assert sum(area([t[:2], t[2:4], t[4:]]) for t in triangles) == pytest.approx(area(ring))
-    tree = Hierarchy(np.array(triangles), np.zeros(len(triangles), int))
+    boxes = np.array([(min(t[0::2]), min(t[1::2]), max(t[0::2]), max(t[1::2])) for t in triangles])
+    tree = Hierarchy([(t[0::2], t[1::2]) for t in triangles], boxes, np.zeros(len(triangles), int))
     points = np.array([(rng.uniform(-1, 1), rng.uniform(-1, 1)) for _ in range(500)])
     got = set(tree.containing(points[:, 0], points[:, 1])[0].tolist())
     assert got == {i for i, p in enumerate(points) if inside(ring, *p)}
@@ -63,23 +65,43 @@ def test_containing_regions(spark, rows, monkeypatch):
     want = [("both", "a"), ("both", "c"), ("edge", "a"), ("edge", "b"), ("in", "a")]
     find = lambda p, r: containing_regions(p, r, "id", "distrito_id", "la", "lo", "vert_lat", "vert_lon")
     assert sorted(rows(find(points, regions))) == want
-    monkeypatch.setattr(proximity, "REGIONS_PER_BLOCK", 2)
+    monkeypatch.setattr(proximity, "SHAPES_PER_BLOCK", 2)
     assert sorted(rows(find(points, regions))) == want
     assert find(points, regions.limit(0)).count() == 0 and find(points.limit(0), regions).count() == 0
 
 
+def test_a_ring_that_crosses_itself_is_searched_whole(spark, rows):
+    bow = ("bow", "n", [0.0, 2.0, 0.0, 2.0], [0.0, 2.0, 2.0, 0.0])
+    points = spark.createDataFrame([("west", 1.0, 0.5), ("east", 1.0, 1.5), ("north", 1.5, 1.0), ("south", 0.5, 1.0), ("middle", 1.0, 1.0), ("rim", 0.0, 1.0), ("vertex", 2.0, 2.0)], "id string, la double, lo double")
+    assert ear_clip([0.0, 2.0, 2.0, 0.0], [0.0, 2.0, 0.0, 2.0]) is None
+    found = containing_regions(points, spark.createDataFrame([bow, square("a", 0.0, 0.0)], RINGS), "id", "distrito_id", "la", "lo", "vert_lat", "vert_lon")
+    assert sorted(rows(found.where("distrito_id = 'bow'"))) == [(x, "bow") for x in ("east", "middle", "vertex", "west")]
+
+
+def test_large_rings_are_clipped_in_reasonable_time():
+    rng = random.Random(3)
+    ring = star(rng, 3000)
+    began = time.process_time()
+    triangles = ear_clip([p[0] for p in ring], [p[1] for p in ring])
+    assert sum(area([t[:2], t[2:4], t[4:]]) for t in triangles) == pytest.approx(area(ring))
+    assert time.process_time() - began < 20
+
+
 def metres(a, b):
     (la, lo), (lb, ob) = a, b
     h = math.sin(math.radians(lb - la) / 2) ** 2 + math.cos(math.radians(la)) * math.cos(math.radians(lb)) * math.sin(math.radians(ob - lo) / 2) ** 2
     return 2 * 6371008.8 * math.asin(min(1, math.sqrt(h)))
 
 
-def test_close_pairs(spark):
+def test_close_pairs(spark, monkeypatch):
     rng = random.Random(5)
     data = [(f"r{i}", rng.choice("xy"), -29.5 + rng.uniform(0, 0.02), -56.5 + rng.uniform(0, 0.02)) for i in range(400)]
     data += data[:30] + [("r1", "x", -29.5, -56.5), (None, "x", -29.5, -56.5), ("q", None, -29.5, -56.5), ("q", "x", None, -56.5)]
     got = {tuple(r) for r in close_pairs(spark.createDataFrame(data, "id string, g string, la double, lo double"), "id", "g", "la", "lo", 100.0).collect()}
     known = {p for p in data if None not in p}
+    monkeypatch.setattr(proximity, "CROWDED", 3)
+    split = {tuple(r) for r in close_pairs(spark.createDataFrame(data, "id string, g string, la double, lo double"), "id", "g", "la", "lo", 100.0).collect()}
+    assert split == got
     assert got == {(a[0], b[0]) for a in known for b in known if a[0] < b[0] and a[1] == b[1] and metres(a[2:], b[2:]) <= 100}
 
 
