@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tesela.operators.proximity import EARTH_M, great_circle_m
 from tesela.operators.ranking import ordered
-from tesela.runtime import ready_workers, salted_lookup
+from tesela.runtime import cut, ready_workers, salted_lookup
 
 
 def _km(lat: np.ndarray, lon: np.ndarray, la: float, lo: float) -> np.ndarray:
@@ -17,26 +19,29 @@ def _km(lat: np.ndarray, lon: np.ndarray, la: float, lo: float) -> np.ndarray:
     return 2 * EARTH_M / 1000 * np.arcsin(np.minimum(1, np.sqrt(a)))
 
 
-def bounded_zones(destinos: DataFrame, diameter_km: float = 5.0, tile_deg: float = 1.0) -> DataFrame:
+def bounded_zones(destinos: DataFrame, diameter_km: float = 5.0, tile_deg: float = 1.0, cells: int = 50) -> DataFrame:
     """``destino_id, zona`` for destinations ``destino_id, lat, lon, peso``: greedy zones no wider than ``diameter_km``.
 
-    Heaviest first, a destination joins the zone with the nearest weighted centre among those it keeps within the diameter, else
+    Destinations are first added up to cells a ``cells``-th of the diameter wide, so that the sequential step has a bounded input however many there are.
+    Heaviest first, a cell joins the zone with the nearest weighted centre among those it keeps within the diameter, its own width included, else
     opens one. The greedy order runs inside tiles of ``tile_deg`` degrees in parallel, so a zone doesn't cross a tile's
-    border; zones are numbered by weight over all tiles. Rows without coordinates are left out.
+    border; zones are numbered by weight over all tiles. Rows without coordinates are left out; of repeated ids each row is placed.
     """
+    side = diameter_km / cells / 111.32  # of a cell, in degrees
+    reach = diameter_km - 2 * math.sqrt(2) * diameter_km / cells  # of centres, so that no two points of their cells are farther apart
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["peso", "destino_id"], ascending=[False, True])
+        pdf = pdf.sort_values(["peso", "cy", "cx"], ascending=[False, True, True])
         zones: list[dict] = []
-        cells: dict[tuple[int, int], set[int]] = {}
+        near: dict[tuple[int, int], set[int]] = {}
         out = []
         cell = diameter_km / 111.32
         for la, lo, w in zip(pdf.lat.tolist(), pdf.lon.tolist(), pdf.peso.tolist()):
             cy, cx = int(la // cell), int(lo * np.cos(np.radians(la)) // cell)
             best, best_km = None, None
-            for k in sorted({k for y in (cy - 1, cy, cy + 1) for x in (cx - 1, cx, cx + 1) for k in cells.get((y, x), ())}):
+            for k in sorted({k for y in (cy - 1, cy, cy + 1) for x in (cx - 1, cx, cx + 1) for k in near.get((y, x), ())}):
                 z = zones[k]
-                if _km(np.array(z["lat"]), np.array(z["lon"]), la, lo).max() <= diameter_km:
+                if _km(np.array(z["lat"]), np.array(z["lon"]), la, lo).max() <= reach:
                     km = float(_km(np.array([z["cla"]]), np.array([z["clo"]]), la, lo)[0])
                     if best is None or km < best_km:
                         best, best_km = k, km
@@ -48,18 +53,22 @@ def bounded_zones(destinos: DataFrame, diameter_km: float = 5.0, tile_deg: float
             z["lon"].append(lo)
             total = z["w"] + max(w, 1e-9)
             z["cla"], z["clo"], z["w"] = (z["cla"] * z["w"] + la * max(w, 1e-9)) / total, (z["clo"] * z["w"] + lo * max(w, 1e-9)) / total, total
-            cells.get(z["cell"], set()).discard(best)
+            near.get(z["cell"], set()).discard(best)
             z["cell"] = (int(z["cla"] // cell), int(z["clo"] * np.cos(np.radians(z["cla"])) // cell))
-            cells.setdefault(z["cell"], set()).add(best)
+            near.setdefault(z["cell"], set()).add(best)
             out.append(best)
-        return pd.DataFrame({"destino_id": pdf.destino_id, "tile": pdf.tile, "local": out, "peso": pdf.peso})
+        return pd.DataFrame({"tile": pdf.tile, "cy": pdf.cy, "cx": pdf.cx, "local": out, "peso": pdf.peso})
 
     ready_workers(destinos.sparkSession)
-    rows = destinos.where("lat is not null and lon is not null").select("destino_id", "lat", "lon", F.coalesce("peso", F.lit(0)).cast("double").alias("peso"), F.concat_ws("_", F.floor(F.col("lat") / tile_deg), F.floor(F.col("lon") / tile_deg)).alias("tile"))
-    placed = rows.groupBy("tile").applyInPandas(run, "destino_id bigint, tile string, local int, peso double")
+    rows = destinos.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+    rows = rows.select("destino_id", "lat", "lon", F.coalesce("peso", F.lit(0)).cast("double").alias("peso"), F.concat_ws("_", F.floor(F.col("lat") / tile_deg), F.floor(F.col("lon") / tile_deg)).alias("tile"), F.floor(F.col("lat") / side).alias("cy"), F.floor(F.col("lon") / side).alias("cx"))
+    place = ["tile", "cy", "cx"]
+    summed = rows.groupBy(*place).agg(((F.min("lat") + F.max("lat")) / 2).alias("lat"), ((F.min("lon") + F.max("lon")) / 2).alias("lon"), F.sum("peso").alias("peso"))
+    placed = cut(summed.groupBy("tile").applyInPandas(run, "tile string, cy bigint, cx bigint, local int, peso double"))
     weight = placed.groupBy("tile", "local").agg(F.sum("peso").alias("_w"))
     weight = ordered(weight, [F.desc("_w"), F.asc("tile"), F.asc("local")], "_n")
-    return placed.join(weight, ["tile", "local"]).select("destino_id", F.format_string("zona_%04d", "_n").alias("zona"))
+    named = placed.join(weight, ["tile", "local"]).select(*place, F.format_string("zona_%04d", "_n").alias("zona"))
+    return salted_lookup(rows.select("destino_id", *place), named, place, "inner", spread=F.xxhash64("destino_id")).select("destino_id", "zona")
 
 
 def _outline(lat: np.ndarray, lon: np.ndarray, la: float, lo: float) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesela.runtime import small
+from tesela.runtime import cut, small
 
 
 def assert_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
@@ -17,13 +17,13 @@ def assert_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", validate: str | None = None) -> DataFrame:
-    """Equi-join on non-null keys; ``validate`` is ``m:1`` or ``1:1`` and is checked by a count before, or None."""
+    """Equi-join on non-null keys; ``validate`` is ``m:1`` or ``1:1`` and is checked by a count before, or None. What is checked is written once, so nothing is computed twice."""
     if validate:
         if validate not in ("m:1", "1:1"):
             raise ValueError(f"unknown cardinality {validate}")
-        assert_unique(right, on, "right side")
+        right = assert_unique(cut(right), on, "right side")
         if validate == "1:1":
-            assert_unique(left, on, "left side")
+            left = assert_unique(cut(left), on, "left side")
     return left.join(right, on, how)
 
 
@@ -35,8 +35,8 @@ def single_row(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_scalars(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Add the columns of a one-row frame to every row."""
-    return df.join(F.broadcast(single_row(one, "reference")), how="cross")
+    """Add the columns of a one-row frame, computed once, to every row."""
+    return df.join(F.broadcast(single_row(cut(one), "reference")), how="cross")
 
 
 def looked_up(df: DataFrame, reference: DataFrame, key: str, value: str, default: Column | None = None) -> DataFrame:

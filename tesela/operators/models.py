@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.ml import Pipeline
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesela.operators.metrics import probability_scores, regression_scores
+from tesela.operators.metrics import prediction_strength, probability_scores, regression_scores, roc_auc
 from tesela.operators.sampling import hundredth
+from tesela.runtime import cut
 
 
 def assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -95,14 +100,65 @@ def score_of(predicted: DataFrame) -> DataFrame:
 
 def classification(train: DataFrame, test: DataFrame, name: str) -> DataFrame:
     """AUC, Brier score, log loss and accuracy on ``test``."""
-    predicted = score_of(CLASSIFIERS[name]().fit(weighted(train)).transform(test))
-    auc = BinaryClassificationEvaluator().evaluate(predicted)
-    return predicted.agg(*probability_scores("label", "p")).select(F.lit(name).alias("modelo"), F.lit(float(auc)).alias("auc"), "*")
+    predicted = cut(score_of(CLASSIFIERS[name]().fit(weighted(train)).transform(test)).select("label", F.round("p", 9).alias("p")))
+    return predicted.agg(*probability_scores("label", "p")).join(roc_auc(predicted, "label", "p"), how="cross").select(F.lit(name).alias("modelo"), "auc", "brier", "log_loss", "exactitud")
+
+
+def adaboost(train: DataFrame, test: DataFrame, rounds: int = 5) -> DataFrame:
+    """Scores of boosted stumps: each round weighs up the rows that the last stump got wrong, and stumps vote by the logarithm of their odds."""
+    rows, votes = cut(train.select("features", "label").withColumn("weight", F.lit(1.0))), []
+    for _ in range(rounds):
+        stump = C.DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=42).fit(rows)
+        told = stump.transform(rows).select("features", "label", "weight", (F.col("prediction") != F.col("label")).alias("_wrong"))
+        wrong, total = told.agg(F.sum(F.when(F.col("_wrong"), F.col("weight")).otherwise(0.0)), F.sum("weight")).first()
+        error = min(max(wrong / total, 1e-9), 1 - 1e-9) if total else 0.5
+        if error >= 0.5:
+            break
+        vote = math.log((1 - error) / error)
+        votes.append((stump, vote))
+        rows = cut(told.select("features", "label", (F.col("weight") * F.when(F.col("_wrong"), math.exp(vote)).otherwise(1.0)).alias("weight")))
+    out = test.select("features", "label").withColumn("_score", F.lit(0.0))
+    for stump, vote in votes:
+        out = stump.transform(out).select("features", "label", (F.col("_score") + vote * (2 * F.col("prediction") - 1)).alias("_score"))
+    out = out.withColumn("p", F.lit(1.0) / (F.exp(-F.col("_score")) + 1))
+    return out.agg(*probability_scores("label", "p")).select(F.lit("adaboost").alias("modelo"), F.lit(len(votes)).alias("rondas"), "*")
+
+
+def tree_sizes(train: DataFrame, test: DataFrame, gains: tuple[float, ...] = (0.0, 0.001, 0.01, 0.1)) -> DataFrame:
+    """Leaves, depth and held-out MAE of a regression tree for growing least gains of a split, which take the place of pruning by cost."""
+    out = []
+    for gain in gains:
+        tree = R.DecisionTreeRegressor(maxDepth=8, minInfoGain=gain, seed=42).fit(train)
+        mae = RegressionEvaluator(metricName="mae").evaluate(tree.transform(test))
+        out.append((gain, (tree.numNodes + 1) // 2, tree.depth, float(mae)))
+    return train.sparkSession.createDataFrame(out, "ganancia double, hojas int, profundidad int, mae double")
+
+
+def half_strengths(df: DataFrame, row: str, ks: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
+    """Prediction strength by number of clusters: k-means is fitted on either half of the rows (by a hash of ``row``), and the second half's clusters are judged by the first half's model."""
+    train, test = split(df, [row], 50)
+    out = None
+    for k in ks:
+        there, here = (K.KMeans(k=k, seed=42).fit(part) for part in (train, test))
+        both = there.transform(here.transform(test).withColumnRenamed("prediction", "propio")).withColumnRenamed("prediction", "ajeno")
+        one = prediction_strength(both, "propio", "ajeno").select(F.lit(k).alias("k"), "fuerza")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def random_search(train: DataFrame, tries: int = 6, seed: int = 42) -> DataFrame:
+    """Mean cross-validated error of an elastic net at parameters drawn at random: the penalty log-uniformly, its mixture uniformly."""
+    draw = random.Random(seed)
+    lr = R.LinearRegression()
+    maps = [{lr.regParam: 10 ** draw.uniform(-3, 1), lr.elasticNetParam: draw.random()} for _ in range(tries)]
+    cv = CrossValidator(estimator=Pipeline(stages=[lr]), estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="mae"), numFolds=3, seed=seed, parallelism=2).fit(train)
+    rows = [(float(g[lr.regParam]), float(g[lr.elasticNetParam]), float(m)) for g, m in zip(maps, cv.avgMetrics)]
+    return train.sparkSession.createDataFrame(rows, "reg double, mezcla double, mae double")
 
 
-def ensembles(train: DataFrame, test: DataFrame, names: tuple[str, ...] = ("logistic", "tree", "naive_bayes")) -> DataFrame:
+def ensembles(train: DataFrame, test: DataFrame, keys: list[str], names: tuple[str, ...] = ("logistic", "tree", "naive_bayes")) -> DataFrame:
     """Scores of hard voting, soft voting and stacking (a second-level logistic regression on the members' probabilities)."""
-    first, second = split(train, ["features"], 50)
+    first, second = split(train, keys, 50)
     models = {n: CLASSIFIERS[n]().fit(weighted(first)) for n in names}
 
     def members(df: DataFrame) -> DataFrame:
@@ -120,9 +176,9 @@ def ensembles(train: DataFrame, test: DataFrame, names: tuple[str, ...] = ("logi
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-def calibration(train: DataFrame, test: DataFrame) -> DataFrame:
+def calibration(train: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:
     """Scores of raw, Platt-scaled and isotonic probabilities of a margin classifier."""
-    first, second = split(train, ["features"], 50)
+    first, second = split(train, keys, 50)
     svm = CLASSIFIERS["svm"]().fit(first)
     margin = lambda df: svm.transform(df).withColumn("m", vector_to_array("rawPrediction")[1]).drop("prediction", "rawPrediction")
     as_vector = VectorAssembler(inputCols=["m"], outputCol="mv")
@@ -135,11 +191,15 @@ def calibration(train: DataFrame, test: DataFrame) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-def kmeans_elbow(df: DataFrame, ks: range = range(2, 7)) -> DataFrame:
-    """Inertia and silhouette for each number of clusters."""
+def kmeans_elbow(df: DataFrame, ks: range = range(1, 20), starts: int = 1) -> DataFrame:
+    """Least inertia over ``starts`` seeds for each number of clusters, and its silhouette from two clusters on."""
     out = []
     for k in ks:
-        model = K.KMeans(k=k, seed=42).fit(df)
+        if k == 1:
+            one = df.agg(Summarizer.metrics("variance", "count").summary(F.col("features")).alias("s")).select("s.variance", "s.count").first()
+            out.append((1, float(sum(one[0])) * (one[1] - 1), None))
+            continue
+        model = min((K.KMeans(k=k, seed=42 + i).fit(df) for i in range(starts)), key=lambda m: m.summary.trainingCost)
         out.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator().evaluate(model.transform(df)))))
     return df.sparkSession.createDataFrame(out, "k int, inercia double, silueta double")
 

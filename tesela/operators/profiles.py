@@ -31,7 +31,7 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def quality_profile(df: DataFrame, n: int = 5) -> DataFrame:
     """Per column: type, nulls, null ratio at four decimals, distinct values, and its ``n`` most frequent values with their counts, null written ``<NA>``.
 
-    Everything comes from one count of values; ties of frequent values go by text. Doubles are told apart at six decimals. An empty table gives no rows.
+    Everything comes from one count of values; ties of frequent values go by text. Doubles are told apart at six decimals. Columns of an empty table have no ratio and no values.
     """
     counts = value_counts(df, df.columns)
     first = first_of(counts, ["columna"], n, F.desc("filas"), F.coalesce("valor", F.lit("<NA>")))
@@ -39,8 +39,9 @@ def quality_profile(df: DataFrame, n: int = 5) -> DataFrame:
     tops = first.groupBy("columna").agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("puesto", shown.alias("t")))), lambda x: x["t"])).alias("ejemplos"))
     known = F.col("valor").isNotNull()
     out = counts.groupBy("columna").agg(F.coalesce(F.sum(F.when(~known, F.col("filas"))), F.lit(0)).alias("nulos"), F.sum("filas").alias("_n"), F.count("valor").alias("distintos"))
-    kinds = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
-    return out.join(tops, "columna").select("columna", F.try_element_at(kinds, "columna").alias("tipo"), "nulos", F.round(F.col("nulos") / F.col("_n"), 4).alias("nulos_ratio"), "distintos", "ejemplos")
+    columns = df.sparkSession.createDataFrame(df.dtypes, "columna string, tipo string")
+    whole = columns.join(out.join(tops, "columna"), "columna", "left").na.fill(0, ["nulos", "distintos"])
+    return whole.select("columna", "tipo", "nulos", F.round(F.col("nulos") / F.col("_n"), 4).alias("nulos_ratio"), "distintos", "ejemplos")
 
 
 def first_of(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:

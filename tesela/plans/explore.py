@@ -32,6 +32,33 @@ def allowed_services(df: DataFrame, columns: list[str], allowed: list[str]) -> D
     return df.where(reduce(lambda a, b: a | b, [F.coalesce(service_label(F.col(c)).isin(wanted), F.lit(False)) for c in present]))
 
 
+# Names of service and date columns, in order of preference.
+SERVICE_COLUMNS = ["servicio", "servicio_normalizado", "service_label"]
+DATE_COLUMNS = ["fecha", "fecha_reclamo", "fecha_hora"]
+
+
+def detect_column(df: DataFrame, candidates: list[str]) -> str | None:
+    """The first of ``candidates`` that ``df`` has."""
+    return next((c for c in candidates if c in df.columns), None)
+
+
+def service_dimension(df: DataFrame, claims: DataFrame | None = None, least: int = 3) -> tuple[str, str | None, DataFrame]:
+    """How the services of a table can be filtered: ``mode``, the column, and a frame with ``servicio``.
+
+    ``claims_proxy`` if the table is by zone and day and its claims are given: their services stand for its own. ``direct`` if it has a service column
+    with at least ``least`` different values that are not blank. Else ``none``, with no rows.
+    """
+    if claims is not None and {"fecha", "zona_id"} <= set(df.columns):
+        return "claims_proxy", "servicio", service_frame(claims)
+    column = detect_column(df, SERVICE_COLUMNS)
+    if column is not None:
+        services = df.select(F.col(column).alias("servicio"))
+        known = services.select(F.nullif(F.trim("servicio"), F.lit("")).alias("s")).where("s is not null").distinct()
+        if known.limit(least).count() >= least:
+            return "direct", column, services
+    return "none", None, df.sparkSession.createDataFrame([], "servicio string")
+
+
 def service_frame(claims: DataFrame) -> DataFrame:
     """Distinct claims per day, zone and service."""
     return claims.where("zona_id is not null").groupBy("fecha", "zona_id", F.col("servicio_normalizado").alias("servicio")).agg(F.count_distinct("reclamo_id").alias("reclamos"))

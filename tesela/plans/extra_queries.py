@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tesela.functions import scalars as S
 from tesela.operators import panel, ranking
-from tesela.operators.dedup import first_by
+from tesela.operators.dedup import first_by, overridden
 from tesela.operators.encoding import one_hot as one_hot_encoded
-from tesela.operators.neighbours import nearest
+from tesela.operators.neighbours import nearest, vote
 from tesela.operators.sampling import hundredth, sampled
 from tesela.plans import explore, panel_queries
 from tesela.plans.registry import Registry
@@ -57,9 +57,43 @@ def knn_vote(spark, d):
     e = table(spark, d, "embeddings")
     near = nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
     labels = e.select(F.col("vec_id").alias("vecino"), F.col("label").alias("voto"))
-    votes = near.join(labels, "vecino").groupBy("consulta", "voto").agg(F.count(F.lit(1)).alias("votos"))
     own = e.select(F.col("vec_id").alias("consulta"), F.col("label").alias("propia"))
-    return first_by(votes, ["consulta"], F.desc("votos"), F.asc("voto")).join(own, "consulta").select("consulta", "propia", "voto", "votos")
+    return vote(near, labels).join(own, "consulta").select("consulta", "propia", "voto", "votos")
+
+
+@query(
+    "with g as (select a.vec_id as consulta, b.vec_id as vecino, b.label, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: pow(cast(x[1] as double) - cast(x[2] as double), 2)))) as dist from embeddings a join embeddings b on a.vec_id % 20 = 0 and a.vec_id != b.vec_id), "
+    "r as (select *, row_number() over (partition by consulta order by dist, vecino) as k from g), v as (select consulta, label, round(sum(1 / greatest(dist, 1e-9)), 9) as n from r where k <= 5 group by 1, 2), w as (select *, row_number() over (partition by consulta order by n desc, label) as k from v) select consulta, label as voto, round(n, 6) as votos from w where k = 1"
+)
+def knn_vote_weighted(spark, d):
+    """Class by the vote of the five nearest neighbours, each weighing the inverse of its distance."""
+    e = table(spark, d, "embeddings")
+    near = nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
+    return vote(near, e.select(F.col("vec_id").alias("vecino"), F.col("label").alias("voto")), 1 / F.greatest("dist", F.lit(1e-9))).withColumn("votos", F.round("votos", 6))
+
+
+@query(
+    "select 'zona_diario_base' as tabla, 'claims_proxy' as modo, 'servicio' as columna, count(distinct servicio_normalizado) as servicios from reclamos_zonificados where zona_id is not null and trim(servicio_normalizado) != '' union all select 'reclamos_zonificados', 'direct', 'servicio_normalizado', count(distinct trim(servicio_normalizado)) from reclamos_zonificados where trim(servicio_normalizado) != '' "
+    "union all select 'distancias_cache', 'none', null, 0"
+)
+def service_modes(spark, d):
+    """How each table's services can be filtered, and how many there are."""
+    claims = table(spark, d, "reclamos_zonificados")
+    out = None
+    for name, own in (("zona_diario_base", claims), ("reclamos_zonificados", None), ("distancias_cache", None)):
+        mode, column, frame = explore.service_dimension(table(spark, d, name), own)
+        one = frame.where("trim(servicio) != ''").agg(F.count_distinct(F.trim("servicio")).alias("servicios")).select(F.lit(name).alias("tabla"), F.lit(mode).alias("modo"), F.lit(column).cast("string").alias("columna"), "servicios")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("with i as (select servicio_normalizado as servicio, sede_id as sede, row_number() over (partition by servicio_normalizado order by count(*) desc, sede_id) as k from reclamos_zonificados group by 1, 2), e(servicio, sede) as (values ('AGUA', 'SD00001'), ('TELEFONIA', 'SD00002')) select coalesce(e.servicio, i.servicio) as servicio, coalesce(e.sede, i.sede) as sede, cast(e.servicio is not null as integer) as prioridad from (select * from i where k = 1) i full join e on i.servicio = e.servicio")
+def service_precedence(spark, d):
+    """The depot of each service: a given one first, else the one with most of its claims."""
+    counts = table(spark, d, "reclamos_zonificados").groupBy(F.col("servicio_normalizado").alias("servicio"), F.col("sede_id").alias("sede")).agg(F.count(F.lit(1)).alias("n"))
+    inferred = first_by(counts, ["servicio"], F.desc("n"), F.asc("sede")).drop("n")
+    given = spark.createDataFrame([("AGUA", "SD00001"), ("TELEFONIA", "SD00002")], "servicio string, sede string")
+    return overridden(inferred, given, ["servicio"], F.col("sede"))
 
 
 @query("select reclamo_id, cargado_en, cast(estado_geo = 'direct' as integer) as geo_direct, cast(estado_geo = 'swapped' as integer) as geo_swapped, cast(baja_en is not null as integer) as baja, case when numero_tramite > 0 then round(ln(numero_tramite), 9) end as log_tramite from reclamos_clean")

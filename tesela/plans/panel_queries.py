@@ -14,7 +14,6 @@ from tesela.runtime import cut
 from tesela.sources.tables import table
 
 query = Registry()
-SEDES = ["SD00001", "SD00002", "SD00003"]
 
 _CLAIMS = r"""
 with r as (
@@ -55,15 +54,15 @@ def exclusion_share(spark, d):
     return ranking.with_totals(n, {"_all": F.sum("filas")}).select("motivo_exclusion", "filas", (F.col("filas") * 100.0 / F.col("_all")).alias("porcentaje"))
 
 
+_PAIR_SQL = r"^\s*0*(\d+)(?:\.0*)?\s*[-/_\x{2010}-\x{2015}\x{2212}]\s*0*(\d+)(?:\.0*)?\s*$"
+
+
 @query(
-    "with t as (select tarea_row_id, regexp_replace(trim(reclamo_id), '\\s*[-/]\\s*', '-') as k, try_strptime(fecha, '%Y-%m-%d') as f from tramites_tareas) "
+    f"with t as (select tarea_row_id, case when regexp_matches(reclamo_id, '{_PAIR_SQL}') then regexp_replace(reclamo_id, '{_PAIR_SQL}', '\\1-\\2') end as k, try_strptime(fecha, '%Y-%m-%d') as f from tramites_tareas) "
     "select tarea_row_id, case when f is null then 'fecha_invalida' else 'huerfana' end as motivo_exclusion from t where f is null or k is null or k not in (select reclamo_id from reclamos_clean)"
 )
 def tasks_orphans(spark, d):
-    """Tasks with a bad date, else without a claim; references are compared by their two numbers, and one that names none has no claim.
-
-    The SQL twin only trims and unifies signs, so it also reports claims that are spelled with leading zeros, ``.0`` or other dashes.
-    """
+    """Tasks with a bad date, else without a claim; references are compared by their two numbers, and one that names none has no claim."""
     day = F.when(F.col("fecha").rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp("fecha", F.lit("yyyy-M-d")))
     tasks = table(spark, d, "tramites_tareas").select("tarea_row_id", orphans.pair_key(F.col("reclamo_id")).alias("k"), day.alias("f"))
     claims = table(spark, d, "reclamos_clean", ["reclamo_id"]).select(orphans.pair_key(F.col("reclamo_id")).alias("k"))
@@ -232,22 +231,11 @@ def calendar_features(spark, d):
     return panel.calendar_features(table(spark, d, "zona_diario_base", ["fecha"]).distinct())
 
 
-@query("select zona_id, fecha, " + ", ".join(f"count(*) filter (where sede_id = '{s}') as reclamos_{s.lower()}" for s in SEDES) + " from reclamos_zonificados where zona_id is not null group by zona_id, fecha")
+@query("select * from (pivot (select zona_id, fecha, 'reclamos_' || lower(sede_id) as c from reclamos_zonificados where zona_id is not null and sede_id is not null) on c using count(*) group by zona_id, fecha)")
 def depot_pivot(spark, d):
-    """Claims per zone, day and depot: a column for every depot of the table, and for those of SEDES also where they have none.
-
-    The SQL twin knows only SEDES, so it holds for tables without other depots.
-    """
-    claims = table(spark, d, "reclamos_zonificados")
-    return panel.pivoted_counts(claims, sorted({*SEDES, *panel.present_values(claims.where("zona_id is not null"), "sede_id")}))
-
-
-_ZM = "with b as (select zona_id, fecha, arg_max({'r': reclamos_count, 'l': lluvia_mm}, (cargado_en, reclamos_count, lluvia_mm)) as x from zona_diario_base group by 1, 2), v as (select zona_id, fecha, cast(x.r as double) as y, x.l as mm from b)"
-
-
-def _values(spark, d):
-    latest = table(spark, d, "zona_diario_base").groupBy("zona_id", "fecha").agg(F.max(F.struct("cargado_en", "reclamos_count", "lluvia_mm")).alias("x"))
-    return latest.select("zona_id", "fecha", F.col("x.reclamos_count").cast("double").alias("y"), F.col("x.lluvia_mm").alias("mm"))
+    """Claims per zone, day and depot: a column for every depot of the table."""
+    claims = table(spark, d, "reclamos_zonificados").where("zona_id is not null and sede_id is not null")
+    return panel.pivoted_counts(claims, panel.present_values(claims, "sede_id"))
 
 
 _ZV = "with v as (select zona_id, fecha, max(cast(reclamos_count as double)) as y, max(lluvia_mm) as mm from zona_diario_base group by 1, 2)"

@@ -329,35 +329,20 @@ def service_semi_filter(spark, d):
     return explore.by_services(days, service_frame(spark, d), ["agua ", "INTERNET"])
 
 
-_EX = "with e as (select * from zona_diario_base where fecha between date '2022-01-01' and date '2024-12-31' and zona_id in ('Z00-0001', 'Z00-0002', 'Z00-0003') and coalesce(llovio, false))"
-
-
-@query(_EX + " select zona_id, fecha, reclamos_count, lluvia_mm, cargado_en from e")
+@query("select zona_id, fecha, reclamos_count, lluvia_mm, cargado_en from zona_diario_base where fecha between date '2022-01-01' and date '2024-12-31' and coalesce(llovio, false)")
 def explore_filtered(spark, d):
-    """Zone-days of some zones in a range of days with rain."""
-    return explore.filtered(table(spark, d, "zona_diario_base"), since="2022-01-01", until="2024-12-31", zones=["Z00-0001", "Z00-0002", "Z00-0003"], rainy=True).select("zona_id", "fecha", "reclamos_count", "lluvia_mm", "cargado_en")
-
-
-@query(_EX + " select count(*) as filas, count(distinct zona_id) as zonas, cast(sum(reclamos_count) as bigint) as reclamos from e")
-def explore_kpis(spark, d):
-    """Rows, zones and claims of the filtered days."""
-    return explore.kpis(explore_filtered(spark, d))
-
-
-@query(_EX + " select fecha, cast(sum(reclamos_count) as bigint) as valor from e group by fecha")
-def metric_by_date(spark, d):
-    """Claims per filtered day."""
-    return explore.by_date(explore_filtered(spark, d), "reclamos_count")
+    """Zone-days with rain in a range of days."""
+    return explore.filtered(table(spark, d, "zona_diario_base"), since="2022-01-01", until="2024-12-31", rainy=True).select("zona_id", "fecha", "reclamos_count", "lluvia_mm", "cargado_en")
 
 
 @query("select count(*) as filas, count(distinct zona_id) as zonas, cast(sum(reclamos_count) as bigint) as reclamos from zona_diario_base")
-def explore_kpis_whole(spark, d):
+def explore_kpis(spark, d):
     """Rows, zones and claims of the whole table, every load of a day counted."""
     return explore.kpis(explore.filtered(table(spark, d, "zona_diario_base", ["zona_id", "reclamos_count"])))
 
 
 @query("select fecha, cast(sum(reclamos_count) as bigint) as valor from zona_diario_base group by fecha")
-def metric_by_date_whole(spark, d):
+def metric_by_date(spark, d):
     """Claims per day over the whole table, every load of a day counted."""
     return explore.by_date(explore.filtered(table(spark, d, "zona_diario_base", ["fecha", "reclamos_count"])), "reclamos_count")
 
@@ -414,6 +399,21 @@ def zone_cluster(spark, d):
     return clusters.bounded_zones(points)
 
 
+@query("select 'destinos' as control, count(distinct destino_id) filter (where lat is not null and lon is not null) as valor from zonas_clusterizadas union all select 'sin_zona', 0 union all select 'en_varias', 0 union all select 'demasiado_anchas', 0")
+def zone_cluster_check(spark, d):
+    """What must hold of the grown zones, counted."""
+    points = table(spark, d, "zonas_clusterizadas").where("destino_id is not null").groupBy("destino_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.max("cluster_reclamos_count").alias("peso")).dropna(subset=["lat", "lon"])
+    zones = cut(clusters.bounded_zones(points))
+    wide = clusters.zone_diameters(zones.join(points, "destino_id"), "zona").where("diametro_km > 5")
+    several = zones.groupBy("destino_id").count().where("count > 1")
+    parts = {"destinos": zones, "sin_zona": points.join(zones, "destino_id", "left_anti"), "en_varias": several, "demasiado_anchas": wide}
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.lit(name).alias("control"), F.count(F.lit(1)).alias("valor"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("select event_type, count(*) as eventos, count(json_extract_string(props, '$.k')) as con_k, count(json_extract_string(props, '$.page')) as con_pagina, sum(length(props)) as largo from events group by event_type")
 def json_components(spark, d):
     """Fields present in JSON text."""
@@ -549,9 +549,6 @@ def service_map(spark, d):
     return joins.looked_up(rows, groups, "servicio", "grupo", F.lit("otros")).groupBy("servicio", "grupo").agg(F.count(F.lit(1)).alias("filas"))
 
 
-QUERIES, ORACLES = query.QUERIES, query.ORACLES
-
-
 @query(
     "with e as (select vec_id, label, cast(embedding as double[]) as x from embeddings), n as (select label, count(*) as n from e group by 1), s as (select a.vec_id, a.label as own, b.label as c, sum(list_distance(a.x, b.x)) as d from e a cross join e b group by 1, 2, 3), "
     "m as (select vec_id, max(n) filter (where c = own) as k, max(d / nullif(n - 1, 0)) filter (where c = own) as i, min(d / n) filter (where c != own) as o from s join n on n.label = s.c group by 1) "
@@ -560,3 +557,6 @@ QUERIES, ORACLES = query.QUERIES, query.ORACLES
 def silhouette_exact(spark, d):
     """Silhouette per vector with euclidean distance."""
     return metrics.silhouette_euclidean(table(spark, d, "embeddings"), "vec_id", "embedding", "label").select("vec_id", F.round("silueta", 6).alias("silueta"))
+
+
+QUERIES, ORACLES = query.QUERIES, query.ORACLES

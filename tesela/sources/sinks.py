@@ -41,3 +41,16 @@ def markdown_table(df: DataFrame, title: str, most: int = 1_000) -> str:
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows[:most]]
     return "\n".join([*lines, *(["", f"The first {most} rows."] if len(rows) > most else []), ""])
+
+
+def make_layout(root: str, folders: tuple[str, ...] = ("raw", "processed", "cache", "reports")) -> dict[str, str]:
+    """Make the folders of a workspace that are missing and return their paths by name."""
+    paths = {f: Path(root) / f for f in folders}
+    for p in paths.values():
+        p.mkdir(parents=True, exist_ok=True)
+    return {f: str(p) for f, p in paths.items()}
+
+
+def write_report(path: str, title: str, parts: list[tuple[str, DataFrame]]) -> None:
+    """A Markdown report of small results, a section each."""
+    Path(path).write_text("\n".join([f"# {title}", "", *[markdown_table(df, name) for name, df in parts]]), encoding="utf-8")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tesela.functions import scalars as S
 from tesela.operators import cascade, clusters, dedup, joins, metrics, panel, profiles, ranking, windows
-from tesela.operators.neighbours import nearest
+from tesela.operators.encoding import one_hot, yes_no
+from tesela.operators.neighbours import nearest, vote
+from tesela.operators.sampling import sampled
 from tesela.plans import explore
 from tesela.runtime import has_at_most, require_columns, salted_lookup
 from tesela.sources import fetched, files, sinks
@@ -55,7 +57,7 @@ def test_small_functions(spark):
     assert one(spark, lambda c: S.first_present(c, F.lit(" b ")), " ") == "b"
     assert one(spark, lambda c: S.source_label(("a", c), ("b", F.lit(1))), None, "int") == "b"
     assert one(spark, lambda c: S.minutes_between(c, F.lit("2021-01-01 00:30:00").cast("timestamp_ntz")), dt.datetime(2021, 1, 1), "timestamp_ntz") == 30.0
-    assert S.feature_family("reclamos_lag_1") == "lag" and S.feature_family("km") == "operational"
+    assert S.feature_family("reclamos_lag_1") == "lag" and S.feature_family("km") == "base_feature" and S.feature_family("y_km_lag_1") == "target" and S.feature_family("llovio") == "weather" and S.feature_family("reclamos_count") == "zone_or_claims"
 
 
 def test_joins(spark, rows):
@@ -148,6 +150,10 @@ def test_zones(spark):
     points = spark.createDataFrame(data, "destino_id bigint, lat double, lon double, peso bigint")
     placed = clusters.bounded_zones(points, 5.0)
     assert placed.count() == placed.select("destino_id").distinct().count() == 300
+    # many points in few cells: the sequential step sees the cells
+    crowd = points.where("lat is not null").crossJoin(spark.range(20)).select(F.expr("destino_id * 100 + id").alias("destino_id"), F.expr("lat + id * 1e-5").alias("lat"), "lon", "peso", F.lit("x").alias("tile"))
+    thick = clusters.bounded_zones(crowd, 5.0)
+    assert thick.count() == 6000 and clusters.zone_diameters(thick.join(crowd, "destino_id"), "zona").agg(F.max("diametro_km")).first()[0] <= 5.0
     spread = clusters.zone_diameters(placed.join(points, "destino_id"), "zona")
     assert spread.agg(F.max("diametro_km")).first()[0] <= 5.0 + 1e-9 and spread.agg(F.sum("puntos")).first()[0] == 300
     exact, swept = clusters.zone_diameters(points.withColumn("z", F.lit(1)), "z", 500).first(), clusters.zone_diameters(points.withColumn("z", F.lit(1)), "z", 10).first()
@@ -179,10 +185,60 @@ def test_nearest(spark):
     assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
 
 
+def test_nearest_among_ties_and_repeats(spark):
+    data = [(i, [1.0, 0.0]) for i in range(1, 400)] + [(500, [0.0, 0.0]), (501, [0.5, 0.0]), (502, [1.0, 0.0])]
+    df = spark.createDataFrame(data, "id bigint, v array<double>").repartition(3)
+    got = [(r.puesto, r.vecino, r.dist) for r in nearest(df.where("id = 500"), df, "id", "v", 4).orderBy("puesto").collect()]
+    assert got == [(1, 501, 0.5), (2, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0)]
+    labels = df.select(F.col("id").alias("vecino"), F.when(F.col("id") == 501, 7).otherwise(3).alias("voto"))
+    near = nearest(df.where("id = 500"), df, "id", "v", 2)
+    assert vote(near, labels).first().voto == 3 and vote(near, labels, 1 / F.col("dist")).first().voto == 7
+
+
+def test_samples_and_encodings(spark):
+    df = spark.range(4000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("c"))
+    part = sampled(df, ["id"], 0.05)
+    assert 120 < part.count() < 280 and sorted(part.collect()) == sorted(sampled(df.repartition(7), ["id"], 0.05).collect()) and sampled(df, ["id"], 1.0).count() == 4000
+    coded = one_hot(df, "c")
+    assert coded.columns == ["id", "c", "c_b"] and coded.where("c_b = 1").count() == 1333 and coded.where("c is null and c_b != 0").count() == 0
+    flags = spark.createDataFrame([(" Yes",), ("no",), (None,)], "f string")
+    assert [r.f for r in yes_no(flags, "f").collect()] == [1, 0, None]
+
+
+def test_service_dimension(spark):
+    claims = spark.createDataFrame([("r1", D0, "z", "agua"), ("r2", D0, "z", "luz")], "reclamo_id string, fecha date, zona_id string, servicio_normalizado string")
+    days = spark.createDataFrame([(D0, "z")], "fecha date, zona_id string")
+    assert explore.service_dimension(days, claims)[:2] == ("claims_proxy", "servicio") and explore.service_dimension(days, claims)[2].count() == 2
+    assert explore.service_dimension(claims, least=2)[:2] == ("direct", "servicio_normalizado") and explore.service_dimension(claims)[0] == "none"
+    assert explore.detect_column(days, explore.DATE_COLUMNS) == "fecha" and explore.detect_column(days, ["x"]) is None
+
+
+def test_texts_and_numbers(spark):
+    assert one(spark, S.title_case, "  casa   CENTRAL ") == "Casa Central"
+    assert one(spark, S.number_or_error, " 2.5 ") == 2.5 and one(spark, S.number_or_error, None) is None
+    with pytest.raises(Exception, match="not a number: x"):
+        one(spark, S.number_or_error, "x")
+    assert S.run_id(dt.datetime(2025, 1, 31, 23, 59, 59, tzinfo=dt.timezone.utc)) == "20250131T235959Z"
+
+
+def test_batches_of_fetched_answers(spark, tmp_path):
+    scope = spark.createDataFrame([(f"k{i}",) for i in range(7)], "k string")
+    answer = lambda key: {"status": {"k3": "zero_results", "k4": "api_error"}.get(key["k"], "ok"), "valor": key["k"]}
+    path = str(tmp_path / "cache")
+    first = fetched.run_batches(scope, path, ["k"], answer, ["k"], batch_size=2, most_batches=2).collect()
+    assert [(r.pedidos, r.motivo) for r in first] == [(2, "sigue"), (2, "sigue"), (0, "lotes_agotados")]
+    second = fetched.run_batches(scope, path, ["k"], answer, ["k"], batch_size=5, retry_failed=True).collect()
+    assert [(r.pedidos, r.ok, r.errores, r.motivo) for r in second] == [(3, 2, 1, "sigue"), (0, 0, 0, "sin_pendientes")]
+    third = fetched.run_batches(scope, path, ["k"], lambda key: {"status": "denied", "valor": ""}, ["k"], retry_failed=True).collect()
+    assert [(r.pedidos, r.motivo) for r in third] == [(1, "estado_fatal")]
+    late = iter([0.0, 9e9, 9e9])
+    assert fetched.run_batches(scope, str(tmp_path / "other"), ["k"], answer, ["k"], clock=lambda: next(late)).collect()[0].motivo == "tiempo_agotado"
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(1, "a", D0), (1, "a", D0), (None, None, D0)], "n int, s string, f date")
     q = {r.columna: r for r in profiles.quality_profile(df).collect()}
-    assert q["n"].nulos == 1 and q["n"].nulos_ratio == 0.3333 and q["s"].distintos == 1
+    assert q["n"].ejemplos == "1 (2), <NA> (1)" and q["n"].nulos == 1 and q["n"].nulos_ratio == 0.3333 and q["s"].distintos == 1
     o = profiles.table_overview(df, "t", "f").first()
     assert (o.filas, o.repetidas, o.desde) == (3, 1, D0)
     assert profiles.quality_profile(df.limit(0)).first().nulos_ratio is None
