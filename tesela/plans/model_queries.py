@@ -12,12 +12,13 @@ from tesela.plans.registry import Registry
 from tesela.sources.tables import table
 
 query = Registry()
-FEATURES = [f"reclamos_count_{x}" for x in ("lag_1", "lag_7", "roll_7_mean", "roll_28_mean")] + ["traslado_min_total_lag_1", "day_of_week", "month"]
+FEATURES = ["reclamos_count_lag_1", "reclamos_count_lag_7", "tiempo_total_operativo_min_lag_1", "tiempo_total_operativo_min_roll_7_mean", "costo_total_compuesto_ars_lag_1", "costo_total_compuesto_ars_roll_28_mean", "lluvia_mm_lag_1", "lluvia_mm_roll_7_mean", "day_of_week", "month", "quarter"]
+TARGETS = [f"y_{m}_t1" for m in panel.TARGETS.values()]
 
 
 def _panel(spark, d):
     rows = panel.calendar_features(panel.supervised(panel_queries.zone_panel(spark, d))).where("target_available_t1")
-    return windows.forward_filled(rows, "zona_id", "fecha", ["reclamos_count_roll_7_mean"])
+    return windows.forward_filled(rows, "zona_id", "fecha", FEATURES).dropna(subset=[*FEATURES, *TARGETS])
 
 
 def _regression(spark, d):
@@ -35,13 +36,14 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
 
 
+_CALENDAR = {"day_of_week": "isodow(fecha) - 1", "month": "month(fecha)", "quarter": "quarter(fecha)"}
+_UNIT = {f: 1e4 if f.startswith("costo") else 1e2 if f.startswith("tiempo") else 1.0 for f in FEATURES}  # keeps the elimination exact enough; least squares don't depend on it
 _ROWS = (
     panel_queries._SUPERVISED
     + ", w as (select zona_id, fecha, "
-    + ", ".join(f"cast({c} as double) as {c}" for c in FEATURES if c not in ("reclamos_count_roll_7_mean", "day_of_week", "month"))
-    + ", coalesce(reclamos_count_roll_7_mean, last_value(reclamos_count_roll_7_mean ignore nulls) over (partition by zona_id order by fecha rows unbounded preceding)) as reclamos_count_roll_7_mean, "
-    + "cast(isodow(fecha) - 1 as double) as day_of_week, cast(month(fecha) as double) as month, cast(y_reclamos_count_t1 as double) as y, ('0x' || md5(zona_id || '|' || fecha)[1:8])::bigint % 100 as parte from s where target_available_t1), "
-    + f"x as (select zona_id, fecha, parte, y, [1.0, {', '.join(FEATURES)}]::double[] as v from w where "
+    + ", ".join(f"cast({_CALENDAR[c]} as double) as {c}" if c in _CALENDAR else f"cast(coalesce({c}, last_value({c} ignore nulls) over v) as double) as {c}" for c in FEATURES)
+    + ", cast(y_reclamos_count_t1 as double) as y, ('0x' || md5(zona_id || '|' || fecha)[1:8])::bigint % 100 as parte from s where target_available_t1 window v as (partition by zona_id order by fecha rows unbounded preceding)), "
+    + f"x as (select zona_id, fecha, parte, y, [1.0, {', '.join(f'{f} / {_UNIT[f]}' for f in FEATURES)}]::double[] as v, [1.0, {', '.join(FEATURES)}]::double[] as u from w where "
     + " and ".join(f"{c} is not null" for c in [*FEATURES, "y"])
     + ")"
 )
@@ -89,10 +91,10 @@ for _name in models.REGRESSORS:
 _F = range(2, _N + 1)
 _BAYES = (
     _ROWS
-    + f", c as (select y > 0 as c, count(*) as k, [{', '.join(f'avg(v[{i}])' for i in _F)}] as mu, [{', '.join(f'var_pop(v[{i}])' for i in _F)}] as va from x where parte < 70 group by 1), "
-    + f"e as (select 1e-9 * greatest({', '.join(f'var_pop(v[{i}])' for i in _F)}) as e from x where parte < 70), "
+    + f", c as (select y > 0 as c, count(*) as k, [{', '.join(f'avg(u[{i}])' for i in _F)}] as mu, [{', '.join(f'var_pop(u[{i}])' for i in _F)}] as va from x where parte < 70 group by 1), "
+    + f"e as (select 1e-9 * greatest({', '.join(f'var_pop(u[{i}])' for i in _F)}) as e from x where parte < 70), "
     + "g as (select zona_id, fecha, y > 0 as y, c.c, ln(cast(k as double)) + "
-    + " + ".join(f"(-0.5 * ln(2 * pi() * (va[{i - 1}] + e)) - pow(v[{i}] - mu[{i - 1}], 2) / (2 * (va[{i - 1}] + e)))" for i in _F)
+    + " + ".join(f"(-0.5 * ln(2 * pi() * (va[{i - 1}] + e)) - pow(u[{i}] - mu[{i - 1}], 2) / (2 * (va[{i - 1}] + e)))" for i in _F)
     + " as l from x, c, e where parte >= 70), "
     "qq as (select cast(any_value(y) as integer) as y, round(1 / (1 + exp(max(l) filter (where not c) - max(l) filter (where c))), 9) as p from g group by zona_id, fecha), "
     "t as (select p, sum(count(*) filter (where y = 1)) over w / sum(count(*) filter (where y = 1)) over () as tpr, sum(count(*) filter (where y = 0)) over w / sum(count(*) filter (where y = 0)) over () as fpr from qq group by p window w as (order by p desc rows unbounded preceding)), "

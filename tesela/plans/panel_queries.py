@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,8 @@ from tesela.functions import scalars as S
 from tesela.operators import cascade, dedup, joins, metrics, orphans, panel, ranking, windows
 from tesela.operators.quantiles import exact_quantile
 from tesela.plans.registry import Registry
-from tesela.runtime import cut
+from tesela.runtime import checkpoint_dir, cut
+from tesela.sources import files, sinks
 from tesela.sources.tables import table
 
 query = Registry()
@@ -160,7 +163,8 @@ def rain_classes(spark, d):
     """Rain by kind of observation code."""
     mm = F.when(F.col("lluvia_mm").between(0, 500), F.col("lluvia_mm"))
     rows = table(spark, d, "lluvia_diaria_clean").select(S.rain_code(F.col("observacion_codigo")).alias("categoria"), mm.alias("mm"))
-    return rows.groupBy("categoria").agg(F.count(F.lit(1)).alias("filas"), F.count_if(F.col("mm") > 0).alias("con_lluvia"), (F.sum(F.col("mm").cast("decimal(18,4)")).cast("double") / F.count("mm")).alias("media"), F.median("mm").alias("mediana"))
+    out = rows.groupBy("categoria").agg(F.count(F.lit(1)).alias("filas"), F.count_if(F.col("mm") > 0).alias("con_lluvia"), (F.sum(F.col("mm").cast("decimal(18,4)")).cast("double") / F.count("mm")).alias("media"))
+    return out.join(exact_quantile(rows, "categoria", "mm", 0.5, "mediana"), "categoria", "left")
 
 
 _SUM_SQL = ", ".join(f"coalesce(cast(sum(cast({c} as decimal(18,4))) as double), 0) as {n}" for n, c in panel.SUMS.items())
@@ -436,4 +440,45 @@ def keyed_lookup(spark, d):
     return joins.looked_up(tasks, names, "k", "tarea").select("tarea_row_id", "tarea", F.coalesce("tarea", F.lit("sin_catalogo")).alias("tarea_nombre"))
 
 
+@query("with c as (select zona_id, destino_key, count(*) as reclamos from reclamos_zonificados where zona_id is not null group by 1, 2), z as (select distinct zona_id, destino_key from zonas_clusterizadas where zona_id is not null) select z.zona_id, z.destino_key, coalesce(reclamos, 0) as reclamos from z left join c on z.zona_id = c.zona_id and z.destino_key = c.destino_key")
+def zone_destinations(spark, d):
+    """Claims of each zone's destinations: joined on the destination and on the zone it depends on."""
+    zones = table(spark, d, "zonas_clusterizadas", ["zona_id", "destino_key"]).where("zona_id is not null").distinct()
+    claims = table(spark, d, "reclamos_zonificados", ["zona_id", "destino_key"]).where("zona_id is not null").groupBy("zona_id", "destino_key").agg(F.count(F.lit(1)).alias("reclamos"))
+    return joins.checked_join(zones, claims, ["zona_id", "destino_key"], validate="1:1").select("zona_id", "destino_key", F.coalesce("reclamos", F.lit(0)).alias("reclamos"))
+
+
+@query("select c.cache_row_id, c.sede_id, c.destino_key, c.routing_status from distancias_cache c where exists (select 1 from reclamos_zonificados z where z.sede_id = c.sede_id and z.destino_key = c.destino_key)")
+def cache_in_scope(spark, d):
+    """Answers of the route cache for depots and destinations that claims ask for."""
+    scope = table(spark, d, "reclamos_zonificados", ["sede_id", "destino_key"])
+    return table(spark, d, "distancias_cache", ["cache_row_id", "sede_id", "destino_key", "routing_status"]).join(scope, ["sede_id", "destino_key"], "left_semi").select("cache_row_id", "sede_id", "destino_key", "routing_status")
+
+
+@query("select reclamo_id, cargado_en, coalesce(nullif(trim(direccion), ''), nullif(trim(localidad), '')) as lugar from reclamos_clean")
+def claim_places(spark, d):
+    """The address of each claim, else its locality."""
+    return table(spark, d, "reclamos_clean").select("reclamo_id", "cargado_en", S.first_present(F.col("direccion"), F.col("localidad")).alias("lugar"))
+
+
+_STORED = ["csv", "historia", "json", "parquet"]
+
+
+@query(" union all ".join(f"select '{via}' as via, n_nationkey, n_name from nation" for via in _STORED))
+def stored_tables(spark, d):
+    """A small table written to the shared checkpoint folder by each sink and read back by its source."""
+    rows, folder = table(spark, d, "nation", ["n_nationkey", "n_name"]), f"{checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    sinks.write_csv(rows, f"{folder}/csv")
+    sinks.append_history(rows.where("n_nationkey < 10"), f"{folder}/historia")
+    sinks.append_history(rows.where("n_nationkey >= 10"), f"{folder}/historia")
+    rows.write.json(f"{folder}/json")
+    sinks.write_table(rows, f"{folder}/parquet", rows.columns)
+    schema = "n_nationkey int, n_name string"
+    back = {"csv": files.read_csv(spark, f"{folder}/csv", schema), "historia": files.read_or_empty(spark, f"{folder}/historia", schema), "json": spark.read.schema(schema).json(f"{folder}/json"), "parquet": files.read_or_empty(spark, f"{folder}/parquet", schema)}
+    out = files.empty(spark, f"via string, {schema}")
+    for via in _STORED:
+        out = out.unionByName(back[via].select(F.lit(via).alias("via"), "n_nationkey", "n_name"))
+    return out
+
+
 QUERIES, ORACLES = query.QUERIES, query.ORACLES

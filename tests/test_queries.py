@@ -44,13 +44,15 @@ def test_against_sql(spark, duck, name):
     assert got == want
 
 
-FAST = sorted(n for n in set(entry.queries()) - set(entry.oracle_sql()) if not n.startswith(("fit_", "classify_", "linear_", "forest_")))
+# models whose operators tests/test_models.py tries on planted signals; here a few run on the tables
+SLOW = ("fit_", "classify_", "forest_")
+PLAIN = sorted(n for n in set(entry.queries()) - set(entry.oracle_sql()) if not n.startswith(SLOW))
 
 
-@pytest.mark.parametrize("name", [*FAST, "fit_linear", "classify_logistic", "fit_kmeans_elbow"])
+@pytest.mark.parametrize("name", [*PLAIN, "fit_poisson", "classify_logistic", "fit_tree_sizes"])
 def test_runs(spark, name):
     df = entry.queries()[name](spark, DATA)
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() > 0
 
 
 def test_entry(spark):
