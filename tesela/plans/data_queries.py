@@ -72,6 +72,48 @@ def p7_filled(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_counts, p4_found, p4_tails, p4_sources, p5_found, p5_trailing, p6_found, p7_found, p7_filled)}
 
+_MONTH_SQL = "case m[1:3] " + " ".join(f"when '{n[:3]}' then {k}" for k, v in instants.MONTHS.items() for n in dict.fromkeys(x[:3] for x in v)) + " end"
+# the spellings one after the other, with DuckDB's own rules of time zones
+_P1 = r"""
+with t as (
+  select row_idx, c.zona_horaria as zona, c.orden_fecha as orden, lower(trim(dt_inicio)) as a, trim(dt_inicio) as crudo, trim(fechainicio) as f, lower(trim(horainicio)) as h from tramites x left join canales c using (canal)
+), p as (
+  select *, unnest([{'de': 'a', 'd': a}, {'de': 'b', 'd': f}], recursive := true) from t
+), q as (
+  select *, regexp_extract(d, '^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})', ['y', 'm', 'd']) as iso, regexp_extract(d, '^(\d{4})(\d{2})(\d{2})(?:t?\d{4,6}$| |$)', ['y', 'm', 'd']) as junta, regexp_extract(d, '^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?:\D|$)', ['x', 'z', 'y']) as num,
+    regexp_extract(d, '^(\d{1,2})(?: de | |-)([a-z]{3,})(?: de | |-)(\d{4})', ['d', 'm', 'y']) as texto, regexp_extract(d, '^([a-z]{3,}) (\d{1,2}), (\d{4})', ['m', 'd', 'y']) as ingles
+  from p
+), r as (
+  select *, case when iso.y != '' then iso.y when junta.y != '' then junta.y when num.y != '' then case when length(num.y) = 2 then '20' || num.y else num.y end when texto.y != '' then texto.y when ingles.y != '' then ingles.y end as yy,
+    case when iso.y != '' then iso.m when junta.y != '' then junta.m when num.y != '' then case when orden = 'MDY' then num.x else num.z end else (select cast({mes} as varchar) from (select case when texto.y != '' then texto.m else ingles.m end as m)) end as mm,
+    case when iso.y != '' then iso.d when junta.y != '' then junta.d when num.y != '' then case when orden = 'MDY' then num.z else num.x end when texto.y != '' then texto.d when ingles.y != '' then ingles.d end as dd
+  from q
+), s as (
+  select *, try_cast(yy || '-' || lpad(mm, 2, '0') || '-' || lpad(dd, 2, '0') as date) as dia,
+    case when de = 'a' then regexp_extract(a, '(?:[ t])(\d{1,2}):(\d{2})(?::(\d{2}))?', ['h', 'i', 's']) else regexp_extract(h, '^(\d{1,2})[:.](\d{2})(?:[:](\d{2}))?(?:\D|$)', ['h', 'i', 's']) end as reloj,
+    regexp_extract(a, '^\d{8}t?(\d{2})(\d{2})(\d{2})?$', ['h', 'i', 's']) as corrido, lpad(regexp_extract(h, '^(\d{1,4})(?:\.0)?$', 1), 4, '0') as cifras, regexp_extract(case when de = 'a' then a else coalesce(h, '') end, '\d ([ap])\.? ?m\.?$', 1) as mitad,
+    regexp_extract(a, ':\d{2}(?:\.\d+)? ?([-+])(\d{2}):?(\d{2})', ['s', 'h', 'm']) as desvio, regexp_matches(a, '\d ?(z|utc|gmt)$') as cero, regexp_extract(crudo, '([A-Z][a-z]+(?:/[A-Za-z_]+)+)', 1) as nombre
+  from r
+), u as (
+  select *, case when de = 'a' and corrido.h != '' then corrido.h when reloj.h != '' then reloj.h when de = 'b' and length(cifras) = 4 and cifras != '0000' then cifras[1:2] when de = 'b' then '0' end as hh,
+    case when de = 'a' and corrido.h != '' then corrido.i when reloj.h != '' then reloj.i when de = 'b' and length(cifras) = 4 then cifras[3:4] else '0' end as ii, case when de = 'a' and corrido.h != '' then nullif(corrido.s, '') when reloj.h != '' then nullif(reloj.s, '') end as ss
+  from s
+), v as (
+  select *, case when mitad = '' then cast(hh as integer) when cast(hh as integer) = 12 then case when mitad = 'a' then 0 else 12 end when mitad = 'p' and cast(hh as integer) < 12 then cast(hh as integer) + 12 else cast(hh as integer) end as ho, cast(ii as integer) as mi, coalesce(cast(ss as integer), 0) as se from u
+), w as (
+  select *, dia is not null and ho between 0 and 23 and mi between 0 and 59 and se between 0 and 59 as bien,
+    case when de = 'b' and not coalesce(ho between 0 and 23 and mi between 0 and 59 and se between 0 and 59, false) then cast(dia as timestamp) else dia + to_hours(ho) + to_minutes(mi) + to_seconds(se) end as lugar, case when de = 'a' and nombre != '' then nombre else zona end as huso
+  from v
+), z as (
+  select *, case when de = 'a' and regexp_full_match(a, '\d{10}') then a::bigint when de = 'a' and regexp_full_match(a, '\d{13}') then a::bigint // 1000
+    when de = 'a' and not bien or dia is null then null when de = 'a' and desvio.s != '' then epoch(lugar)::bigint - case desvio.s when '-' then -1 else 1 end * (desvio.h::bigint * 3600 + desvio.m::bigint * 60) when de = 'a' and cero then epoch(lugar)::bigint end as fijo, epoch(timezone(huso, lugar))::bigint as tarde
+  from w
+), k as (
+  -- of two instants of one local time the earlier
+  select row_idx, de, case when fijo is not null then fijo when dia is not null and (de = 'b' or bien) then case when timezone(huso, to_timestamp(tarde - 3600)) = lugar then tarde - 3600 else tarde end end as utc_s from z
+)
+select row_idx, coalesce(max(utc_s) filter (where de = 'a'), max(utc_s) filter (where de = 'b')) as utc_s from k group by row_idx having coalesce(max(utc_s) filter (where de = 'a'), max(utc_s) filter (where de = 'b')) is not null""".replace("{mes}", _MONTH_SQL)
+
 _P3 = r"""
 with r as (
   select tarea_row_id, 'reclamo_id' as campo, case when regexp_full_match(reclamo_id, '\s*0*\d+(\.0*)?\s*[-/_\x{2010}-\x{2015}]\s*0*\d+(\.0*)?\s*')
@@ -246,6 +288,7 @@ select row_id, round(case when v0 >= 0 then v.mm else md.mm end, 6) as mm_llena,
 from v left join best b0 on b0.objetivo = 0 and b0.v = list_value(v0, v1, v2, v3, v4, v5) left join md on md.x = b0.x left join best b3 on b3.objetivo = 3 and b3.v = list_value(v0, v1, v2, v3, v4, v5)"""
 
 ORACLES = {
+    "p1_found": _P1,
     "p3_found": _P3 + " select tarea_row_id, campo, clase, periodo from c where clase is not null",
     "p3_counts": _P3 + " select case when campo = 'reclamo_id' then 'reclamos_clean' else 'tareas_ref' end as tabla, clase, periodo, count(*) as referencias from c where clase is not null group by 1, 2, 3",
     "p4_found": _P4,
