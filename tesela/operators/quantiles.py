@@ -52,9 +52,10 @@ def _narrowed(rows: DataFrame, brackets: DataFrame, key: str, accuracy: int) ->
     within = (F.col("_v") >= F.col("_b.lo")) & (F.col("_v") <= F.col("_b.hi"))
     grid = [g / _GRID for g in range(_GRID + 1)]
     found = each.groupBy(key, "_n", "_b").agg(F.count_if(F.col("_v") < F.col("_b.lo")).alias("_below"), F.count_if(within).alias("_k"), F.percentile_approx(F.when(within, F.col("_v")), grid, accuracy).alias("_q"))
-    place = (F.col("_b.p") * (F.col("_n") - 1) - F.col("_below")) / F.col("_k") * _GRID
-    step = 1 + 4 * _GRID / accuracy
-    low, high = F.floor(place - step).cast("int"), F.ceil(place + step).cast("int")
+    # the places of the ranks before and behind the two that are interpolated, with room for the sketch's error
+    rank, step = F.col("_b.p") * (F.col("_n") - 1) - F.col("_below"), 1 + 4 * _GRID / accuracy
+    place = lambda r: r / F.col("_k") * _GRID
+    low, high = F.floor(place(F.floor(rank) - 1) - step).cast("int"), F.ceil(place(F.ceil(rank) + 2) + step).cast("int")
     lo = F.when(low <= 0, F.col("_b.lo")).otherwise(F.get("_q", low))
     hi = F.when(high >= _GRID, F.col("_b.hi")).otherwise(F.get("_q", high))
     return found.groupBy(key, "_n").agg(F.collect_list(F.struct(F.col("_b.i").alias("i"), F.col("_b.p").alias("p"), lo.alias("lo"), hi.alias("hi"))).alias("_b"))
