@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesela.runtime import cut, salted_lookup
+from tesela.runtime import cut, lookup, salted_lookup
 
 #: Most rows of a bracket that are ranked in one task; a wider bracket is narrowed again.
 BRACKET_ROWS = 2_000_000
@@ -35,7 +35,7 @@ def exact_quantiles(df: DataFrame, key: str, value: str, ps: dict[str, float], a
     share = 2.5 * e
     while most * share > BRACKET_ROWS and share > 1e-9:
         brackets, share = cut(_narrowed(rows, brackets, key, accuracy)), share * 4 / _GRID
-    inside = salted_lookup(rows, brackets, [key], "inner", spread=F.xxhash64("_v")).select(key, "_n", "_v", F.explode("_b").alias("_b")).where("_v <= _b.hi")
+    inside = lookup(rows, brackets, [key], "inner", spread=F.xxhash64("_v")).select(key, "_n", "_v", F.explode("_b").alias("_b")).where("_v <= _b.hi")
     counted = inside.groupBy(key, "_n", F.col("_b.i").alias("_i"), F.col("_b.p").alias("_p"), F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(key, "_i").orderBy(F.col("_v").asc_nulls_first())
     ranked = counted.withColumn("_end", F.sum("_c").over(upto)).withColumn("_rank", F.col("_p") * (F.col("_n") - 1))

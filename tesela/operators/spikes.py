@@ -2,7 +2,7 @@
 
 A reading is judged as its log-ratio to the source's own level, less a seasonal shift. Peaks are residuals
 beyond a per-source threshold; a generalised Pareto distribution fitted to the excesses by moments
-turns a fixed risk into a cutoff per source.
+turns a fixed risk into a cutoff per source. Readings beyond the cutoffs are candidates for spikes.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tesela.operators.instants import MONTHS, civil_days, month_length
 from tesela.operators.quantiles import exact_quantile, exact_quantiles
 from tesela.operators.runs import day_runs, equal_runs
-from tesela.runtime import cut, fixed, salted_lookup
+from tesela.runtime import cut, fixed, lookup
 
 #: The seasonal shift is kept within a factor of two either way, and the peak threshold at or within that
 #: factor, so that every reading four times off its source's level is among the peaks.
@@ -25,7 +25,7 @@ SHIFT = math.log(2.0)
 def source_ratios(rows: DataFrame, row: str, source: str, value: str, level_p: float) -> DataFrame:
     """``rows`` with a source and a positive finite ``value``, with ``level``, the exact quantile ``level_p`` of the source's values."""
     rows = rows.where(F.col(source).isNotNull() & (F.col(value) > 0) & (F.col(value) < float("inf")))
-    return salted_lookup(rows, exact_quantile(rows, source, value, level_p, "level"), [source], "inner", spread=F.xxhash64(row))
+    return lookup(rows, cut(exact_quantile(rows, source, value, level_p, "level")), [source], "inner", spread=F.xxhash64(row))
 
 
 def peaks_over_threshold(df: DataFrame, row: str, source: str, season: str, value: str, level_p: float, two_sided: bool, risk: float = 1e-3) -> DataFrame:
@@ -37,18 +37,21 @@ def peaks_over_threshold(df: DataFrame, row: str, source: str, season: str, valu
     equal ones, has its threshold plus their mean as cutoff. All rows enter all statistics. Unless ``two_sided``, low
     residuals are no peaks and ``lower`` and ``tail_lower`` are null.
     """
-    raw = source_ratios(df.select(row, source, season, value), row, source, value, level_p).withColumn("_raw", F.ln(F.col(value) / F.col("level")))
+    ratio = F.col(value) / F.col("level")
+    # a ratio too small or too large for a double still has a logarithm
+    logs = F.coalesce(F.when(ratio < float("inf"), F.ln(ratio)), F.ln(value) - F.ln("level"))
+    raw = source_ratios(df.select(row, source, season, value), row, source, value, level_p).withColumn("_raw", logs)
     seasons = raw.groupBy(source, season).agg(F.sum("_raw").alias("_s"), F.count(F.lit(1)).alias("_k"))
     overall = seasons.groupBy(source).agg((F.sum("_s") / F.sum("_k")).alias("_mean"))
     shift = F.greatest(F.lit(-SHIFT), F.least(F.lit(SHIFT), F.col("_s") / F.col("_k") - F.col("_mean")))
     shifts = seasons.join(overall, source).select(source, F.col(season).alias("_season"), shift.alias("_shift"))
     shifts = shifts.withColumn("_season", F.coalesce(F.col("_season").cast("string"), F.lit("")))
-    resid = salted_lookup(raw.withColumn("_season", F.coalesce(F.col(season).cast("string"), F.lit(""))), shifts, [source, "_season"], "inner", spread=F.xxhash64(row))
+    resid = lookup(raw.withColumn("_season", F.coalesce(F.col(season).cast("string"), F.lit(""))), cut(shifts), [source, "_season"], "inner", spread=F.xxhash64(row))
     resid = cut(resid.withColumn("residual", F.round(F.col("_raw") - F.col("_shift"), 9)).drop("_raw", "_shift", "_season"))
-    bounds = exact_quantiles(resid, source, "residual", {"_q9": 0.9, "_q1": 0.1})
+    bounds = exact_quantiles(resid, source, "residual", {"_q9": 0.9} | ({"_q1": 0.1} if two_sided else {}))
     lower = F.greatest(F.lit(-SHIFT), F.round("_q1", 9)) if two_sided else F.lit(None).cast("double")
     bounds = bounds.select(source, lower.alias("lower"), F.least(F.lit(SHIFT), F.round("_q9", 9)).alias("upper"))
-    marked = cut(salted_lookup(resid, bounds, [source], "inner", spread=F.xxhash64(row)))
+    marked = lookup(resid, cut(bounds), [source], "inner", spread=F.xxhash64(row))
     over, under = F.col("residual") - F.col("upper"), F.col("lower") - F.col("residual")
     tails = marked.groupBy(source).agg(
         F.count(F.lit(1)).alias("_n"), F.max("upper").alias("_up"), F.max("lower").alias("_lowr"),
@@ -64,12 +67,26 @@ def peaks_over_threshold(df: DataFrame, row: str, source: str, season: str, valu
         pareto = F.when(F.abs(shape) < 1e-6, -scale * F.ln(share)).otherwise(scale / shape * (F.pow(share, -shape) - 1))
         return F.when(k == 0, 0.0).when((k < 2) | (v <= 1e-12) | (share >= 1), m).otherwise(pareto)
 
-    cutoffs = tails.select(source, F.round(F.col("_up") + beyond("hi"), 9).alias("tail_upper"), F.round(F.col("_lowr") - beyond("lo"), 9).alias("tail_lower"))
-    out = salted_lookup(marked, cutoffs, [source], "inner", spread=F.xxhash64(row))
+    cutoffs = tails.select(source, F.col("_up").alias("upper"), F.col("_lowr").alias("lower"), F.round(F.col("_up") + beyond("hi"), 9).alias("tail_upper"), F.round(F.col("_lowr") - beyond("lo"), 9).alias("tail_lower"))
+    out = lookup(resid, cut(cutoffs), [source], "inner", spread=F.xxhash64(row))
     passes = lambda up, low: (F.col("residual") > F.col(up)) | F.coalesce(F.col("residual") < F.col(low), F.lit(False))
     return out.withColumn("is_peak", passes("upper", "lower")).withColumn("is_beyond", passes("tail_upper", "tail_lower"))
 
 
+def spike_candidates(df: DataFrame, row: str, source: str, season: str, value: str, level_p: float, two_sided: bool, times: float, risk: float = 0.05) -> DataFrame:
+    """The rows of ``peaks_over_threshold`` beyond their source's tail cutoffs, among them every reading more than ``times`` off its level.
+
+    Wrong readings are part of the tail that is fitted, so ``risk`` should be some times their share. A reading ``times`` off
+    has a log-ratio past ``ln(times)``, of which its season takes SHIFT at most; a cutoff that lies farther out than what
+    remains is held there, less room for the rounding of residuals.
+    """
+    reach = F.lit(math.log(times) - SHIFT - 1e-8)
+    scored = peaks_over_threshold(df, row, source, season, value, level_p, two_sided, risk)
+    high = F.col("residual") > F.least(reach, "tail_upper")
+    low = F.col("residual") < F.greatest(-reach, "tail_lower")
+    return scored.where(high | low if two_sided else high)
+
+
 def rain_readings(sheets: DataFrame) -> DataFrame:
     """Hand-copied sheets as ``fila, fuente, fecha, mes, valor``: readable numbers on real dates, other rows left out.
 
@@ -89,15 +106,15 @@ def rain_readings(sheets: DataFrame) -> DataFrame:
 def rain_flags(readings: DataFrame, stuck_days: int = 5, top_mm: float = 1825.0, times: float = 4.0) -> DataFrame:
     """``fila, clase`` of wrong rain readings: impossible, else stuck, else spike.
 
-    Stuck covers all rows of the days of a run. Spikes pass ``times`` the gauge's 90th percentile of positive possible readings: a
-    fixed multiple of the source's level, in which the tail fit has no say. Readings without a gauge can only be impossible.
+    Stuck covers all rows of the days of a run. Spikes are the candidates beyond the gauge's tail cutoff that pass ``times`` its 90th
+    percentile of positive possible readings. Readings without a gauge can only be impossible.
     """
     readings = cut(readings)
     impossible = (F.col("valor") < 0) | (F.col("valor") > top_mm) | F.isnan("valor")
     possible = readings.where(~impossible)
     stuck = day_runs(possible.where("valor > 0"), "fuente", "fecha", "valor").where(F.col("run_length") >= stuck_days).select("fuente", "fecha", "valor", F.lit(True).alias("_stuck"))
-    ratios = source_ratios(possible.select("fila", "fuente", "valor"), "fila", "fuente", "valor", 0.9)
-    spikes = ratios.where(F.col("valor") > times * F.col("level")).select("fila", F.lit(True).alias("_spike"))
+    candidates = spike_candidates(possible, "fila", "fuente", "mes", "valor", 0.9, False, times)
+    spikes = candidates.where(F.col("valor") > times * F.col("level")).select("fila", F.lit(True).alias("_spike"))
     marked = readings.join(stuck, ["fuente", "fecha", "valor"], "left").join(spikes, "fila", "left")
     kind = F.when(impossible, "impossible").when(F.col("_stuck"), "stuck").when(F.col("_spike"), "spike")
     return marked.select("fila", kind.alias("clase")).where("clase is not null")
@@ -124,15 +141,15 @@ def possible_answers(answers: DataFrame, top_s: float = 86_400.0, top_kmh: float
 def route_flags(answers: DataFrame, stuck_rows: int = 5, top_s: float = 86_400.0, top_kmh: float = 250.0, times: float = 4.0) -> DataFrame:
     """``fila, clase`` of wrong route durations: impossible, else stuck, else spike.
 
-    A null duration is not finite. An answer without a positive distance has no pace and can't be a spike. Spikes are a fixed
-    multiple of the source's median pace, as in ``rain_flags``.
+    A null duration is not finite. An answer without a positive distance has no pace and can't be a spike. Spikes are the candidates
+    beyond the source's tail cutoffs on either side that are ``times`` off its median pace.
     """
     answers = cut(answers)
     impossible = _impossible_route(top_s, top_kmh)
     stuck = equal_runs(answers, "fila", "fuente", "orden", "valor").where(F.col("run_length") >= stuck_rows).select("fila", F.lit(True).alias("_stuck"))
-    ratios = source_ratios(answers.where(~impossible).select("fila", "fuente", "ritmo"), "fila", "fuente", "ritmo", 0.5)
+    candidates = spike_candidates(answers.where(~impossible), "fila", "fuente", "hora", "ritmo", 0.5, True, times)
     off = (F.col("ritmo") > times * F.col("level")) | (F.col("ritmo") < F.col("level") / times)
-    spikes = ratios.where(off).select("fila", F.lit(True).alias("_spike"))
+    spikes = candidates.where(off).select("fila", F.lit(True).alias("_spike"))
     kind = F.when(impossible, "impossible").when(F.col("_stuck"), "stuck").when(F.col("_spike"), "spike")
     return answers.join(stuck, "fila", "left").join(spikes, "fila", "left").select("fila", kind.alias("clase")).where("clase is not null")
 

@@ -65,6 +65,11 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def lookup(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left", spread: Column | None = None) -> DataFrame:
+    """``salted_lookup`` without its shuffle of ``rows`` where ``per_key``, which should be cut, is counted to be a small table."""
+    return rows.join(F.broadcast(per_key), keys, how) if has_at_most(per_key, SMALL_TABLE_ROWS) else salted_lookup(rows, per_key, keys, how, spread=spread)
+
+
 def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     """Add ``columns``, each computed exactly once per row.
 

@@ -6,8 +6,10 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tesela.operators import quantiles
+from tesela import runtime
+from tesela.operators import quantiles, spikes
 from tesela.operators.quantiles import exact_quantile
 from tesela.operators.runs import day_runs, equal_runs
 from tesela.operators.spikes import peaks_over_threshold, rain_flags, rain_readings, route_answers, route_flags, tail_cutoffs, tail_readings
@@ -111,6 +113,47 @@ def test_tail_cutoffs_are_passed_about_as_often_as_their_risk(spark):
     assert {k: v.lecturas for k, v in by.items()} == dict(zip(names, np.bincount(source).tolist())) and all(v.picos >= v.fuera for v in by.values())
 
 
+def season_readings(n=6000):
+    """Readings whose level shifts with the season by more than the shift is allowed to take, with wrong ones among them."""
+    rng = np.random.default_rng(9)
+    source, season = rng.choice(list("abcde"), n, p=[0.5, 0.3, 0.15, 0.045, 0.005]), rng.integers(1, 13, n)
+    value = np.round(rng.lognormal(1, 0.3, n) * np.where(season < 4, 6.0, 1.0) * rng.choice([1.0, 5.0, 0.1], n, p=[0.96, 0.02, 0.02]), 3)
+    return pd.DataFrame({"fila": range(n), "fuente": source, "mes": season, "valor": value})
+
+
+@pytest.mark.parametrize("times, two_sided", [(1.5, True), (4.0, False), (9.0, True)])
+def test_candidates_lie_beyond_the_tail_cutoffs_and_hold_every_spike(spark, times, two_sided):
+    pdf = season_readings()
+    # a ratio beyond what a double holds, either way, and a source of a single reading
+    far = pd.DataFrame({"fila": range(10_000, 10_043), "fuente": ["w"] * 21 + ["x"] * 21 + ["y"], "mes": 1, "valor": [1e200] * 20 + [1e-200] * 21 + [1e200, 3.0]})
+    pdf = pd.concat([pdf, far])
+    df = spark.createDataFrame(pdf)
+    got = set(spikes.spike_candidates(df, "fila", "fuente", "mes", "valor", 0.9, two_sided, times).toPandas().fila)
+    level = pdf.groupby("fuente").valor.transform(lambda v: v.quantile(0.9))
+    assert got >= set(pdf[(pdf.valor > times * level) | (two_sided & (pdf.valor < level / times))].fila)
+    if times >= 4:  # the cutoffs, held at what the season leaves of the multiple
+        scored = peaks_over_threshold(df, "fila", "fuente", "mes", "valor", 0.9, two_sided, 0.05).toPandas()
+        reach = np.log(times / 2) - 1e-8
+        low = scored.residual < np.maximum(-reach, scored.tail_lower.astype(float)) if two_sided else False
+        assert got == set(scored[(scored.residual > np.minimum(reach, scored.tail_upper)) | low].fila)
+        assert got >= set(scored[scored.is_beyond].fila) and len(got) < len(pdf) / 2 and (scored.tail_upper < reach).any()
+
+
+@pytest.mark.parametrize("small", [runtime.SMALL_TABLE_ROWS, 0])
+def test_spikes_are_found_through_the_tail_cutoffs(spark, monkeypatch, small):
+    monkeypatch.setattr(runtime, "SMALL_TABLE_ROWS", small)  # lookups by broadcast, and by a salted shuffle
+    pdf = season_readings().assign(fecha=lambda x: pd.to_datetime("2020-01-01") + pd.to_timedelta(2 * x.fila, "D"), orden=lambda x: x.fila, hora=lambda x: x.mes, metros=1000.0, ritmo=lambda x: x.valor * 100 / 1000)
+    rain = spark.createDataFrame(pdf[["fila", "fuente", "fecha", "mes", "valor"]]).withColumn("fecha", F.col("fecha").cast("date"))
+    routes = spark.createDataFrame(pdf[["fila", "fuente", "orden", "hora", "metros", "ritmo"]].assign(valor=pdf.valor * 100))
+    high, middle = (pdf.groupby("fuente").valor.transform(lambda v, p=p: v.quantile(p)) for p in (0.9, 0.5))
+    over, off = set(pdf[pdf.valor > 4 * high].fila), set(pdf[((pdf.valor > 4 * middle) | (pdf.valor < middle / 4)) & (pdf.valor * 100 * 250 / 3600 >= 1)].fila)
+    found = lambda flags: {r.fila for r in flags.where("clase = 'spike'").collect()}
+    assert over and off and found(rain_flags(rain)) == over and found(route_flags(routes)) == off
+    whole = spikes.peaks_over_threshold
+    monkeypatch.setattr(spikes, "peaks_over_threshold", lambda *args, **kw: whole(*args, **kw).where("not is_peak"))
+    assert not found(rain_flags(rain)) and not found(route_flags(routes))
+
+
 def test_a_wide_bracket_is_narrowed(spark, monkeypatch):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({"k": rng.choice(["a", "a", "b"], 60_000), "v": rng.normal(size=60_000)})
